@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,16 +20,24 @@ TABLE = 40_000
 SPACE = 32
 
 
-def _memory() -> types.ModuleType:
-    """State that lasts as long as the worker: letter classes and n-gram vectors."""
-    name = "_quillon_langid_memory"
-    if name not in sys.modules:
-        m = types.ModuleType(name)
-        m.letter, m.vector, m.slot = {}, {}, {}
-        m.table, m.used = np.empty((TABLE, DIMS), np.int8), 0
-        m.lookup = None
-        sys.modules[name] = m
-    return sys.modules[name]
+class _Memory:
+    """What a worker keeps between tasks: letter classes, letter vectors and n-gram vectors."""
+
+    def __init__(self) -> None:
+        self.vector: dict[int, np.ndarray] = {}
+        self.slot: dict[int, int] = {}
+        self.table = np.empty((TABLE, DIMS), np.int8)
+        self.used = 0
+        self.lookup: np.ndarray | None = None
+
+
+_held: list[_Memory] = []
+
+
+def _memory() -> _Memory:
+    if not _held:
+        _held.append(_Memory())
+    return _held[0]
 
 
 def _letter_vector(point: int) -> np.ndarray:

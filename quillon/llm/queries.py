@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillon.llm import fingerprint, langid, neardup, sharding
+from quillon.llm import bpe, decontam, fingerprint, html, langid, neardup, quality, sharding, substr, tokencount
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,9 +47,91 @@ def op5_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", fingerprint.to_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """Place of a public tokenizer's file, the same on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    pages = _table(spark, sf_dir, "pages")
+    return html.extract(pages, html.fit(pages))
+
+
+def op6_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count of every document."""
+    rows = tokencount.count_tokens(_table(spark, sf_dir, "documents"), tokenizer_file())
+    return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages in every document: words under a window, items with a window."""
+    rows = decontam.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    hit = decontam.hit_words()
+    return rows.select(
+        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (hit > 0).alias("contaminated"),
+    )
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the text decoded from them, as digests."""
+    return bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_file())
+
+
+def op9_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document under a window that an earlier document has."""
+    return substr.dedup_substrings(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from labels in the folds 1 to 4."""
+    docs = _table(spark, sf_dir, "documents")
+    known = _table(spark, sf_dir, "labels").where(F.coalesce(~_held_out(), F.lit(False)))
+    rows = quality.score(docs, quality.fit(docs, known))
+    return rows.select("doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+#: Hits of every window of ten benchmark words (fewer: the whole item) in every document.
+OP7_SQL = """
+WITH item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL
+), win AS (
+  SELECT DISTINCT item, len(w[i:i+9]) AS n, array_to_string(w[i:i+9], ' ') AS s
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM item WHERE len(w) > 0)
+), doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), size AS (SELECT DISTINCT n FROM win), place AS (
+  SELECT doc_id, n, unnest(range(1, len(w) - n + 2)) AS i, w FROM doc, size WHERE len(w) >= n
+), hit AS (
+  SELECT p.doc_id, p.i, p.n, win.item FROM (SELECT doc_id, n, i, array_to_string(w[i:i+n-1], ' ') AS s FROM place) p JOIN win ON p.s = win.s AND p.n = win.n
+), word AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM hit) GROUP BY doc_id),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+#: Words under a window of 13 that starts in a document with a smaller id too.
+OP9_SQL = """
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+place AS (SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, w FROM doc WHERE len(w) >= 13),
+win AS (SELECT doc_id, i, array_to_string(w[i:i+12], ' ') AS s FROM place),
+late AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM win) WHERE doc_id > least),
+gone AS (SELECT DISTINCT doc_id, k FROM (SELECT doc_id, unnest(range(i, i + 13)) AS k FROM late)),
+word AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS k, unnest(w) AS x FROM doc),
+kept AS (
+  SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, k) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM doc LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_shard": op1_shard, "op2_language": op2_language, "op3_fingerprint": op3_fingerprint, "op5_neardup": op5_neardup}
+    named = (op1_shard, op2_language, op3_fingerprint, op4_extract, op5_neardup, op6_tokens, op7_decontaminate, op8_bpe, op9_substrings, op10_quality)
+    return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontaminate": OP7_SQL, "op9_substrings": OP9_SQL}

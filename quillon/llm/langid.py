@@ -183,18 +183,13 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
     return dict(sorted(out.items()))
 
 
-def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """Add lang_pred and score (the cosine with the winning prototype, 0 at least) to the id and the ``keep`` columns.
-
-    A null text, one without a letter, or no prototypes at all: ``und`` with score 0. Ties go to the first language in
-    alphabetical order. Repeated rows are judged alike; an empty table gives no rows. Prototypes: languages x DIMS.
-    """
+def _judged(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str, keep: list[str]) -> DataFrame:
+    """The ``keep`` columns under the names __k0, __k1, ..., with __lang_pred and __score."""
     prepare(docs.sparkSession)
     names = list(prototypes)
     if names:
         matrix = np.stack([prototypes[n] for n in names])
         matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
-    keep = keep or []
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,7 +208,21 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "__lang_pred", "__score"])
 
-    own = docs.select(F.col(id_col).alias("doc_id"), *[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("__text"))
-    schema = own.drop("__text").schema.add("__lang_pred", "string").add("__score", "double")
-    out = own.mapInArrow(judge, schema)
-    return out.select("doc_id", *[F.col(f"__k{i}").alias(c) for i, c in enumerate(keep)], F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
+    own = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("__text"))
+    return own.mapInArrow(judge, own.drop("__text").schema.add("__lang_pred", "string").add("__score", "double"))
+
+
+def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred and score (the cosine with the winning prototype, 0 at least) of every row's whole text.
+
+    A null text, one without a letter, or no prototypes at all: ``und`` with score 0. Ties go to the first language in
+    alphabetical order. Repeated rows are judged alike; an empty table gives no rows. Prototypes: languages x DIMS.
+    """
+    out = _judged(docs, prototypes, text_col, [id_col])
+    return out.select(F.col("__k0").alias("doc_id"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
+
+
+def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", least: float = 0.0) -> DataFrame:
+    """The rows of ``docs`` that have a language (and a score of ``least`` at least), all columns as they are."""
+    out = _judged(docs, prototypes, text_col, docs.columns).where((F.col("__lang_pred") != "und") & (F.col("__score") >= least))
+    return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -13,6 +13,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from quillon.llm.arrow import prepare, texts
 from quillon.llm.tokencount import PIECE, SPACES, spans, trimmed
@@ -193,7 +194,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, own.select("doc_id").schema.add("ids", "array<int>"))
+    return own.mapInArrow(run, own.select("doc_id").schema.add("ids", ArrayType(IntegerType())))
 
 
 def decode_documents(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

@@ -43,17 +43,18 @@ def simhash(text: bytes, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """doc_id and fp (the 64 bits as a signed long) of every row; a null text has no words, so its bits are zero."""
+    """doc_id, text_hash and fp (the 64 bits as a signed long) of every row; a null text has no words, so its bits are zero."""
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = batch.column(1).cast(pa.large_binary()).to_pylist()
+            raw = batch.column(2).cast(pa.large_binary()).to_pylist()
             fps = np.array([simhash(x or b"", size) for x in raw], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "text_hash", "fp"])
 
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return own.mapInArrow(run, own.select("doc_id").schema.add("fp", "long"))
+    text = F.col(text_col).cast("string")
+    own = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return own.mapInArrow(run, own.select("doc_id", "text_hash").schema.add("fp", "long"))
 
 
 def probes(fps: DataFrame) -> DataFrame:
@@ -199,7 +200,9 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable over links, itself included) of every row.
+    """doc_id, text_hash, fp, root (a fingerprint that names the component) and component_id of every row.
+
+    component_id is the smallest doc_id reachable over links, its own included.
 
     Null texts and texts without words share the fingerprint zero and link like any other. Rows with a null id are
     kept; they count for reachability but not for the smallest id. Repeated rows are one node. Empty table: no rows.
@@ -212,22 +215,30 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = materialize(connected_components(links(classes.select("fp"))), "fp-roots")
     joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp")
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    member = roots.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    single = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left_anti").select("fp", F.col("least").alias("component_id"))
+    member = roots.join(least, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    single = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left_anti").select("fp", F.col("fp").alias("root"), F.col("least").alias("component_id"))
     of_fp = materialize(member.union(single), "fp-components")
-    return rows.join(of_fp, "fp").select("doc_id", "fp", "component_id")
+    return rows.join(of_fp, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` of which one stays per component: the one with the smallest id; all columns as they are.
 
-    Where several rows carry that id, the one with the smallest text hash stays (equal rows: any one of them).
+    Where several rows of a component carry that id, the one with the smallest text hash stays (equal rows: one of
+    them). A component of null ids alone keeps one row. Names of our own are not taken if ``docs`` has them.
     """
-    name = "__component"
-    while name in docs.columns:
-        name += "_"
+    key, ids, hashes = (_free(docs, n) for n in ("__key", "__id", "__hash"))
     first = near_components(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    keep = first.groupBy(F.col("doc_id").alias(name)).agg(F.count(F.lit(1)).alias(name + "n"))
-    kept = docs.join(keep, docs[id_col].eqNullSafe(keep[name]), "left_semi")
-    order = Window.partitionBy(id_col).orderBy(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    return kept.withColumn(name, F.row_number().over(order)).where(F.col(name) == 1).drop(name)
+    stay = first.groupBy("root", "doc_id").agg(F.min("text_hash").alias("text_hash"))
+    stay = stay.select(F.xxhash64("doc_id", "text_hash").alias(key), F.col("doc_id").alias(ids), F.col("text_hash").alias(hashes))
+    rows = docs.withColumn(key + "k", F.xxhash64(F.col(id_col), F.xxhash64(F.col(text_col).cast("string"))))
+    same = F.col(id_col).eqNullSafe(F.col(ids)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(hashes))
+    kept = rows.join(stay, (F.col(key + "k") == F.col(key)) & same, "left_semi")
+    order = Window.partitionBy(key + "k", id_col).orderBy(F.lit(1))
+    return kept.withColumn(key, F.row_number().over(order)).where(F.col(key) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _free(docs: DataFrame, name: str) -> str:
+    while any(c.startswith(name) for c in docs.columns):
+        name += "_"
+    return name

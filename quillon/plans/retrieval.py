@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillon.config import DEFAULTS, Settings
@@ -121,3 +121,20 @@ def rerank(hits: DataFrame, score: Column | None, pos: str = "final_pos", pool:
 
 def presets(**changes: object) -> Settings:
     return replace(DEFAULTS, **changes)
+
+
+def write_corpus(corpus: Corpus, root: str) -> None:
+    """Write an index once for many searches: postings sorted by term, so that a search's terms prune row groups."""
+    root = root.rstrip("/")
+    corpus.vectors.write.mode("overwrite").parquet(f"{root}/vectors")
+    corpus.lexical.postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{root}/postings")
+    corpus.lexical.lengths.write.mode("overwrite").parquet(f"{root}/lengths")
+    corpus.lexical.stats.write.mode("overwrite").parquet(f"{root}/stats")
+    if corpus.sparse is not None:
+        corpus.sparse.repartition("chunk_id").sortWithinPartitions("chunk_id").write.mode("overwrite").parquet(f"{root}/sparse")
+
+
+def read_corpus(spark: SparkSession, root: str, sparse: bool = True) -> Corpus:
+    root = root.rstrip("/")
+    read = lambda name: spark.read.parquet(f"{root}/{name}")
+    return Corpus(read("vectors"), LexicalIndex(read("postings"), read("lengths"), read("stats")), read("sparse") if sparse else None)

@@ -151,3 +151,18 @@ def within_radius(queries: DataFrame, index: DataFrame, radius: int = 3) -> Data
     first = F.array_position(agree, F.lit(True)) - 1
     pairs = q.join(x, (F.col("tab") == F.col("xtab")) & (F.col("bits") == F.col("xbits")) & (distance <= radius) & (first == F.col("tab")))
     return pairs.select("query_fp", "fp", distance.alias("distance"))
+
+
+def near_counts(rows: DataFrame, radius: int = 3, every: int = 50) -> DataFrame:
+    """``rows`` (doc_id, fp and more) with near_docs: how many other rows have a fingerprint within the radius.
+
+    Asked for the rows whose id is divisible by ``every``, against all rows; null for the others, null ids included.
+    ``rows`` should be a written table, since it is read as queries, as index and as result. The index has one row per
+    distinct fingerprint with its count, so copies make no key hot; only the queries are joined with their counts.
+    """
+    asked = rows.where(F.pmod(F.col("doc_id"), F.lit(every)) == 0)
+    counts = rows.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    pairs = within_radius(asked, counts, radius).join(counts, "fp")
+    near = pairs.groupBy("query_fp").agg(F.sum("n").alias("n")).select(F.col("query_fp").alias("fp"), (F.col("n") - 1).alias("near_docs"))
+    rest = rows.where(F.coalesce(F.pmod(F.col("doc_id"), F.lit(every)) != 0, F.lit(True)))
+    return asked.join(near, "fp", "left").unionByName(rest.withColumn("near_docs", F.lit(None).cast("long")))

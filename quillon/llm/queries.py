@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import bpe, decontam, fingerprint, html, langid, neardup, quality, sharding, substr, tokencount
+from quillon.llm.store import materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +34,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SimHash of every document and of its edited text, with likenesses."""
-    rows = fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
-    return rows.select(
+    """SimHash of every document and of its edited text, with likenesses; near_docs for every fiftieth id."""
+    rows = materialize(fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents")), "fingerprints")
+    return fingerprint.near_counts(rows).select(
         "doc_id", "n_chars", "edited_sha256", fingerprint.to_hex(F.col("fp")).alias("fingerprint"),
-        fingerprint.to_hex(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next",
+        fingerprint.to_hex(F.col("edited_fp")).alias("edited_fingerprint"), "near_edited", "near_next", "near_docs",
     )
 
 

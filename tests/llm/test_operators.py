@@ -180,6 +180,14 @@ def test_block_tables_find_all_within_radius(spark):
         assert set(pairs) == want and len(pairs) == len(want) and found.count() > 0
 
 
+def test_near_counts(spark, docs):
+    rows = fingerprint.fingerprint_documents(docs).select("doc_id", "fp").collect()
+    table = spark.createDataFrame([tuple(r) for r in rows], "doc_id long, fp long")
+    got = Counter(tuple(r) for r in fingerprint.near_counts(table, 3, 10).select("doc_id", "fp", "near_docs").collect())
+    near = lambda a: sum(bin((a ^ r.fp) & (2**64 - 1)).count("1") <= 3 for r in rows) - 1
+    assert got == Counter((r.doc_id, r.fp, near(r.fp) if r.doc_id is not None and r.doc_id % 10 == 0 else None) for r in rows)
+
+
 # -- 5 near duplicates
 
 

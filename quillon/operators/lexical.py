@@ -22,10 +22,21 @@ class LexicalIndex:
     stats: DataFrame
 
 
-def build_index(chunks: DataFrame, id_col: str = "chunk_id", doc_col: str = "doc_id", text_col: str = "text") -> LexicalIndex:
-    """Positional postings of all chunks; one shuffle by (term, chunk), positions ascending."""
+def query_terms(queries: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term): the distinct terms that a batch of queries asks for."""
+    return queries.select(F.explode(F.flatten(phrases(F.col(text_col)))).alias("term")).distinct()
+
+
+def build_index(chunks: DataFrame, id_col: str = "chunk_id", doc_col: str = "doc_id", text_col: str = "text", only: DataFrame | None = None) -> LexicalIndex:
+    """Positional postings of all chunks; one shuffle by (term, chunk), positions ascending.
+
+    ``only`` (term): postings of these terms alone, cut before the shuffle, for one batch of queries; lengths and corpus
+    statistics still come from all chunks.
+    """
     base = chunks.select(F.col(id_col).alias("chunk_id"), F.col(doc_col).alias("doc_id"), tokens(F.col(text_col)).alias("t"))
     each = base.select("chunk_id", F.posexplode("t").alias("pos", "term"))
+    if only is not None:
+        each = each.join(only, "term", "left_semi")
     postings = each.groupBy("term", "chunk_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
     lengths = base.select("chunk_id", "doc_id", F.size("t").alias("len"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))

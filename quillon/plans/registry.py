@@ -18,7 +18,7 @@ from quillon.functions import text as T
 from quillon.operators import context, lifecycle, markdown, metadata, metrics, verification
 from quillon.operators.dense import dense_topk, sparse_coverage, sparse_rank
 from quillon.operators.fusion import candidate_pool, document_cap, document_mmr, weighted_rrf
-from quillon.operators.lexical import LexicalIndex, bm25, build_index
+from quillon.operators.lexical import LexicalIndex, bm25, build_index, query_terms
 from quillon.plans.retrieval import Corpus, expand_queries, explain, hybrid_search, merge_variants, rerank, run_variant
 from quillon.providers import overlap_score
 from quillon.streaming import jobs
@@ -46,8 +46,8 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), "text", "lang")
 
 
-def _index(spark: SparkSession, d: str) -> LexicalIndex:
-    return build_index(_chunks(spark, d))
+def _index(spark: SparkSession, d: str, all_terms: bool = False) -> LexicalIndex:
+    return build_index(_chunks(spark, d), only=None if all_terms else query_terms(_queries(spark, d)))
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -69,8 +69,8 @@ def _query_sparse(spark: SparkSession, d: str) -> DataFrame:
     return _weights(table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"), "qid")
 
 
-def _corpus(spark: SparkSession, d: str) -> Corpus:
-    return Corpus(_vectors(spark, d), _index(spark, d), _weights(_chunks(spark, d), "chunk_id"))
+def _corpus(spark: SparkSession, d: str, all_terms: bool = False) -> Corpus:
+    return Corpus(_vectors(spark, d), _index(spark, d, all_terms), _weights(_chunks(spark, d), "chunk_id"))
 
 
 def _hybrid(spark: SparkSession, d: str, diversity: str = "off", **more: object) -> DataFrame:
@@ -140,7 +140,7 @@ def tokenize_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @register(f"WITH {_TOK} SELECT w AS term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY w")
 def postings_df(spark: SparkSession, d: str) -> DataFrame:
-    p = _index(spark, d).postings
+    p = _index(spark, d, all_terms=True).postings
     return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("positions")).cast("long").alias("cf"))
 
 

@@ -20,8 +20,8 @@ from quillon.llm.tokencount import trimmed
 FIT_ROWS = 8000
 #: Word slots, dimensions, non-zero entries of an index vector, neighbours on each side, hidden units, seed.
 SLOTS, DIMS, ONES, REACH, HIDDEN, SEED = 1 << 14, 64, 8, 2, 32, 20240613
-#: Tokens of a text that are pooled at once.
-SPAN = 1 << 18
+#: Tokens of a text that are pooled at once; length of a pooled row.
+SPAN, FEATURES = 1 << 18, 2 * DIMS + 4
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _slots: dict[str, int] = {}
@@ -77,16 +77,18 @@ def word_vectors(sums: np.ndarray) -> np.ndarray:
 
 
 def pool(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Mean and spread of the word vectors, and the logarithm of their number; zeros without a word."""
+    """Mean and spread of the word vectors, the mean's length, how alike neighbours and next neighbours are, and the logarithm of the number of words; zeros without a word."""
     if not len(ids):
-        return np.zeros(2 * DIMS + 1)
-    first, second = np.zeros(DIMS), np.zeros(DIMS)
+        return np.zeros(FEATURES)
+    first, second, alike = np.zeros(DIMS), np.zeros(DIMS), np.zeros(2)
     for i in range(0, len(ids), SPAN):
         rows = vectors[ids[i : i + SPAN]]
         first += rows.sum(0, dtype=np.float64)
         second += np.einsum("ij,ij->j", rows, rows)
+        for k in (1, 2):
+            alike[k - 1] += np.einsum("ij,ij->", rows[:-k], rows[k:])
     mean = first / len(ids)
-    return np.concatenate([mean, np.sqrt(np.maximum(second / len(ids) - mean**2, 0)), [np.log1p(len(ids))]])
+    return np.concatenate([mean, np.sqrt(np.maximum(second / len(ids) - mean**2, 0)), [np.linalg.norm(mean)], alike / len(ids), [np.log1p(len(ids))]])
 
 
 @dataclass
@@ -183,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(pooled, pa.binary())], ["k", "y", "f"])
 
     rows = sample.mapInArrow(features, sample.select("k", "y").schema.add("f", "binary")).toPandas().sort_values("k")
-    table = np.stack([np.frombuffer(f, np.float64) for f in rows["f"]]) if len(rows) else np.zeros((0, 2 * DIMS + 1))
+    table = np.stack([np.frombuffer(f, np.float64) for f in rows["f"]]) if len(rows) else np.zeros((0, FEATURES))
     return train(table, rows["y"].to_numpy(np.int64), vectors)
 
 
@@ -194,7 +196,7 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = texts(batch)
-            pooled = np.stack([pool(slots(t), net.vectors) for t in own]) if own else np.zeros((0, 2 * DIMS + 1))
+            pooled = np.stack([pool(slots(t), net.vectors) for t in own]) if own else np.zeros((0, FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(net.score(pooled), pa.float64())], ["doc_id", "score"])
 
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -15,7 +15,10 @@ K1, B, FLOOR_IDF = 1.2, 0.75, 1e-6
 
 @dataclass
 class LexicalIndex:
-    """postings(term, chunk_id, positions), lengths(chunk_id, doc_id, len) and stats(n, avg_len), one row."""
+    """postings(term, chunk_id, doc_id, len, positions), lengths(chunk_id, doc_id, len) and stats(n, avg_len), one row.
+
+    A posting carries its chunk's length and document, so that scoring needs no join with the table of all chunks.
+    """
 
     postings: DataFrame
     lengths: DataFrame
@@ -34,10 +37,10 @@ def build_index(chunks: DataFrame, id_col: str = "chunk_id", doc_col: str = "doc
     statistics still come from all chunks.
     """
     base = chunks.select(F.col(id_col).alias("chunk_id"), F.col(doc_col).alias("doc_id"), tokens(F.col(text_col)).alias("t"))
-    each = base.select("chunk_id", F.posexplode("t").alias("pos", "term"))
+    each = base.select("chunk_id", "doc_id", F.size("t").alias("len"), F.posexplode("t").alias("pos", "term"))
     if only is not None:
         each = each.join(only, "term", "left_semi")
-    postings = each.groupBy("term", "chunk_id").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    postings = each.groupBy("term", "chunk_id", "doc_id", "len").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
     lengths = base.select("chunk_id", "doc_id", F.size("t").alias("len"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len"))
     return LexicalIndex(postings, lengths, stats)
@@ -52,15 +55,15 @@ def bm25(index: LexicalIndex, queries: DataFrame, k: int = 30, docs: DataFrame |
     parts = parsed.select("qid", "n_phrases", F.posexplode("p").alias("no", "words")).select(
         "qid", "n_phrases", "no", F.size("words").alias("n_words"), F.posexplode("words").alias("j", "term")
     )
-    found = parts.join(index.postings, "term").select("qid", "n_phrases", "no", "n_words", "chunk_id", "j", F.transform("positions", lambda p: p - F.col("j")).alias("at"))
-    phrase = found.groupBy("qid", "n_phrases", "no", "n_words", "chunk_id").agg(F.collect_list("at").alias("lists"))
+    found = parts.join(index.postings, "term").select("qid", "n_phrases", "no", "n_words", "chunk_id", "doc_id", "len", "j", F.transform("positions", lambda p: p - F.col("j")).alias("at"))
+    phrase = found.groupBy("qid", "n_phrases", "no", "n_words", "chunk_id", "doc_id", "len").agg(F.collect_list("at").alias("lists"))
     phrase = phrase.where(F.size("lists") == F.col("n_words"))
     tf = F.size(F.aggregate(F.slice("lists", 2, F.greatest(F.size("lists") - 1, F.lit(0))), F.element_at("lists", 1), lambda a, b: F.array_intersect(a, b)))
-    phrase = phrase.select("qid", "n_phrases", "no", "chunk_id", tf.cast("double").alias("tf")).where("tf > 0")
+    phrase = phrase.select("qid", "n_phrases", "no", "chunk_id", "doc_id", "len", tf.cast("double").alias("tf")).where("tf > 0")
     df = phrase.groupBy("qid", "no").agg(F.count(F.lit(1)).alias("df"))
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = df.crossJoin(F.broadcast(index.stats)).select("qid", "no", F.when(raw > 0, raw).otherwise(FLOOR_IDF).alias("idf"), "avg_len")
-    scored = phrase.join(weight, ["qid", "no"]).join(index.lengths, "chunk_id")
+    scored = phrase.join(weight, ["qid", "no"])
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
     total = scored.groupBy("qid", "chunk_id", "doc_id", "n_phrases").agg(F.sum(part).alias("bm25_score"), F.count(F.lit(1)).alias("have")).where("have = n_phrases")
     if docs is not None:

@@ -70,7 +70,8 @@ def _query_sparse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, d: str, all_terms: bool = False) -> Corpus:
-    return Corpus(_vectors(spark, d), _index(spark, d, all_terms), _weights(_chunks(spark, d), "chunk_id"))
+    index = _index(spark, d, all_terms)
+    return Corpus(_vectors(spark, d), index, _weights(_chunks(spark, d), "chunk_id"), sparse_coverage(index.lengths, "len > 0"))
 
 
 def _hybrid(spark: SparkSession, d: str, diversity: str = "off", **more: object) -> DataFrame:

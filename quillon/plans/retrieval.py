@@ -33,6 +33,14 @@ class Corpus:
     vectors: DataFrame
     lexical: LexicalIndex
     sparse: DataFrame | None = None
+    coverage: DataFrame | None = None  # (coverage), one row: the share of chunks with sparse weights, where it is known
+
+    def sparse_share(self) -> float:
+        """Share of chunks that have sparse weights."""
+        if self.coverage is not None:
+            return self.coverage.first()[0] or 0.0
+        have = self.sparse.select("chunk_id").distinct().withColumn("has", F.lit(True))
+        return sparse_coverage(self.lexical.lengths.join(have, "chunk_id", "left"), "has").first()[0]
 
 
 def diversity_mode(mode: str | None, settings: Settings) -> str:
@@ -68,8 +76,7 @@ def hybrid_search(
     lexical = bm25(corpus.lexical, queries if "bm25" in signals else nothing, k, docs)
     pool = candidate_pool(dense, lexical)
     if "sparse" in signals and corpus.sparse is not None and query_sparse is not None:
-        share = sparse_coverage(corpus.lexical.lengths.join(corpus.sparse.select("chunk_id").distinct().withColumn("has", F.lit(True)), "chunk_id", "left"), "has").first()[0]
-        if share >= settings.sparse_coverage:
+        if corpus.sparse_share() >= settings.sparse_coverage:
             pool = sparse_rank(pool, query_sparse, corpus.sparse)
     fused = weighted_rrf(pool, settings.rrf_k, settings.dense_weight, settings.bm25_weight, settings.sparse_weight, settings.top_k)
     return diversify(fused, diversity_mode(diversity, settings), settings)

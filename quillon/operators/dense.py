@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.runtime import ship_package
+from quillon.runtime import ship_package, written
 
-#: Query vectors that go to the workers at once.
-QUERY_BLOCK = 1024
+#: Query vectors that go to the workers at once, and blocks that the driver holds before it writes a block's result first.
+QUERY_BLOCK, HELD_BLOCKS = 1024, 8
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -26,20 +27,19 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, docs: DataFr
     ``vectors``: chunk_id, doc_id, embedding; ``queries``: qid, embedding; ``docs`` (doc_id) filters before ranking.
     The stated queries go against all vectors in blocks of QUERY_BLOCK: one pass and one matrix product per block, of
     which each task keeps its own k best per query, so a query's shuffle is k rows per task. Rows without a vector, or
-    with one of another length than the first query's, are passed over. Equal similarities (9 places) go by chunk_id.
+    with one of another length than the query's, are passed over. The driver streams the queries and holds HELD_BLOCKS
+    blocks; the results of further blocks are written to the shared folder before the next block is read. Equal similarities (9 places) go by chunk_id.
     """
     spark = vectors.sparkSession
     ship_package(spark)
     base = vectors.where("embedding IS NOT NULL").select("chunk_id", "doc_id", F.col("embedding").cast("array<double>").alias("embedding"))
     if docs is not None:
         base = base.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("chunk_id", "doc_id", "embedding")
-    asked = queries.where("embedding IS NOT NULL").select("qid", F.col("embedding").cast("array<double>").alias("embedding")).orderBy("qid")
+    asked = queries.where("embedding IS NOT NULL").select("qid", F.col("embedding").cast("array<double>").alias("embedding"))
     schema = base.select("chunk_id", "doc_id").schema
     schema = type(schema)([queries.select("qid").schema[0], *schema.fields]).add("similarity", "double")
     out = None
-    rows = list(asked.toLocalIterator())
-    for at in range(0, len(rows), QUERY_BLOCK):
-        block = rows[at : at + QUERY_BLOCK]
+    for number, block in enumerate(batched(asked.toLocalIterator(), QUERY_BLOCK)):
         ids = [r.qid for r in block]
         wanted = np.array([r.embedding for r in block], np.float64)
         wanted /= np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-300)
@@ -64,6 +64,8 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, docs: DataFr
 
         schema_q = to_arrow_type(schema[0].dataType)
         part = base.mapInArrow(best, schema)
+        if number >= HELD_BLOCKS:
+            part = written(part, "dense-block")
         out = part if out is None else out.unionByName(part)
     if out is None:
         out = spark.createDataFrame([], schema)

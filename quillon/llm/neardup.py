@@ -125,6 +125,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             written += 1
 
     def complete(bucket: np.ndarray, role: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if bucket[0] == open_bucket:  # the rest of a bucket whose blocks have begun, however short
+            n = int(np.searchsorted(bucket, open_bucket, "right"))
+            yield from blocks(int(open_bucket), fp[:n])
+            bucket, role, fp = bucket[n:], role[n:], fp[n:]
+            if not len(bucket):
+                return
         edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
         sizes = np.diff(np.append(edges, len(bucket)))
         long_run = np.repeat(sizes > SHORT, sizes)
@@ -137,7 +143,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in np.flatnonzero(sizes > SHORT):
             at, n = int(edges[k]), int(sizes[k])
             if role[at] == 0:  # else visitors alone, who meet elsewhere
-                if open_bucket == bucket[at] or n > BLOCK:
+                if n > BLOCK:
                     yield from blocks(int(bucket[at]), fp[at : at + n])
                 else:
                     a, b = spanning(fp[at : at + n])

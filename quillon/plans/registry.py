@@ -482,7 +482,21 @@ def pack_context(spark: SparkSession, d: str) -> DataFrame:
     return out.select("qid", F.size("used").cast("long").alias("n_used"), F.size("dropped").cast("long").alias("n_dropped"), "prompt_tokens", "output_tokens", "status")
 
 
-@register()
+_STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
+_EXPANDED = """
+WITH q AS (
+  SELECT CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR) AS qid, text,
+    list_filter(list_transform(regexp_split_to_array(trim(regexp_replace(lower(text), '[¿?]', '', 'g')), '\\s+'), lambda w: trim(w, '''"(),.:;')), lambda w: w <> '' AND NOT list_contains([STOP], w)) AS k
+  FROM conversations WHERE role = 'user'),
+v AS (
+  SELECT qid, 0 AS variant_no, 'original' AS type, text FROM q
+  UNION ALL SELECT qid, 1, 'stopword', CASE WHEN len(k) > 0 THEN array_to_string(k, ' ') ELSE text END FROM q
+  UNION ALL SELECT qid, 2, 'last_terms', CASE WHEN len(k) > 0 THEN array_to_string(k[greatest(1, len(k) - 4):], ' ') ELSE text END FROM q)
+SELECT qid, variant_no, type, text FROM (SELECT *, row_number() OVER (PARTITION BY qid, text ORDER BY variant_no) AS n FROM v) WHERE n = 1
+"""
+
+
+@register(_EXPANDED.replace("STOP", _STOP))
 def expanded_queries(spark: SparkSession, d: str) -> DataFrame:
     return expand_queries(table(spark, d, "conversations").where("role = 'user'").select(F.concat_ws("-", "conv_id", "turn").alias("qid"), "text"))
 

@@ -7,8 +7,10 @@ from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quillon.runtime import ship_package, written
 
@@ -21,6 +23,13 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _blocks(asked: DataFrame) -> Iterator[list]:
+    """Query rows in blocks whose vectors have one length."""
+    for rows in batched(asked.toLocalIterator(), QUERY_BLOCK):
+        for size in sorted({len(r.embedding) for r in rows}):
+            yield [r for r in rows if len(r.embedding) == size]
+
+
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, docs: DataFrame | None = None) -> DataFrame:
     """(qid, chunk_id, doc_id, similarity, dense_score, dense_rank): the k nearest chunks by cosine.
 
@@ -28,7 +37,8 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, docs: DataFr
     The stated queries go against all vectors in blocks of QUERY_BLOCK: one pass and one matrix product per block, of
     which each task keeps its own k best per query, so a query's shuffle is k rows per task. Rows without a vector, or
     with one of another length than the query's, are passed over. The driver streams the queries and holds HELD_BLOCKS
-    blocks; the results of further blocks are written to the shared folder before the next block is read. Equal similarities (9 places) go by chunk_id.
+    blocks; the results of further blocks are written to the shared folder before the next block is read. Equal
+    similarities (9 places) go by chunk_id.
     """
     spark = vectors.sparkSession
     ship_package(spark)
@@ -38,31 +48,33 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, docs: DataFr
     asked = queries.where("embedding IS NOT NULL").select("qid", F.col("embedding").cast("array<double>").alias("embedding"))
     schema = base.select("chunk_id", "doc_id").schema
     schema = type(schema)([queries.select("qid").schema[0], *schema.fields]).add("similarity", "double")
+    qid_type = to_arrow_type(schema[0].dataType)
     out = None
-    for number, block in enumerate(batched(asked.toLocalIterator(), QUERY_BLOCK)):
+    for number, block in enumerate(_blocks(asked)):
         ids = [r.qid for r in block]
         wanted = np.array([r.embedding for r in block], np.float64)
         wanted /= np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-300)
 
         def best(batches: Iterator[pa.RecordBatch], ids=ids, wanted=wanted) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                keep = pa.compute.equal(pa.compute.list_value_length(batch.column(2)), wanted.shape[1])
-                batch = batch.filter(keep)
+                batch = batch.filter(pc.equal(pc.list_value_length(batch.column(2)), wanted.shape[1]))
                 if not batch.num_rows:
                     continue
                 have = _matrix(batch.column(2))
                 have /= np.maximum(np.linalg.norm(have, axis=1, keepdims=True), 1e-300)
                 similar = wanted @ have.T
+                near = np.round(similar, 9)
                 n = min(k, batch.num_rows)
-                cut = np.partition(np.round(similar, 9), -n, axis=1)[:, -n]
-                q, c = np.nonzero(np.round(similar, 9) >= cut[:, None])
+                q, c = np.nonzero(near >= np.partition(near, -n, axis=1)[:, -n][:, None])
+                # of equal ones the smallest ids, so that a vector that many rows share adds k rows at most
+                order = np.lexsort((pc.rank(batch.column(0)).to_numpy()[c], -near[q, c], q))
+                q, c = q[order], c[order]
+                first = np.arange(len(q)) - np.searchsorted(q, q) < n
+                q, c = q[first], pa.array(c[first])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in q], schema_q), batch.column(0).take(pa.array(c)), batch.column(1).take(pa.array(c)), pa.array(similar[q, c])], ["qid", "chunk_id", "doc_id", "similarity"]
+                    [pa.array([ids[i] for i in q], qid_type), batch.column(0).take(c), batch.column(1).take(c), pa.array(similar[q, c.to_numpy()])], ["qid", "chunk_id", "doc_id", "similarity"]
                 )
 
-        from pyspark.sql.pandas.types import to_arrow_type
-
-        schema_q = to_arrow_type(schema[0].dataType)
         part = base.mapInArrow(best, schema)
         if number >= HELD_BLOCKS:
             part = written(part, "dense-block")

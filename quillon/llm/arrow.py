@@ -11,7 +11,7 @@ from pyspark.sql import SparkSession
 from quillon.runtime import ship_package
 
 #: A batch that Spark hands to Python ends at this many rows or bytes, whichever comes first.
-BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def prepare(spark: SparkSession) -> None:

@@ -2,8 +2,8 @@
 
 The reference text is every document that comes before (smaller id). It is indexed in blocks: all 13-word windows of all
 documents, dealt to blocks by their minimizer, the smallest hash of the five-word runs inside. Windows that follow one
-another mostly share a minimizer, so they travel as one posting: the minimizer, its place, and a short hash per window.
-Equal windows have equal minimizers and so meet in one block, which tells which of them an earlier document has.
+another mostly share a minimizer, so they travel as one posting: the minimizer, its place, and the 64-bit hash of each
+window. Equal windows have equal minimizers and so meet in one block, which tells which of them an earlier document has.
 
 A document is then parsed greedily from the left: a factor begins at the first window that the reference has and goes on
 as long as the next window, checked at the factor's boundary, is in the reference too. Factors have 13 words at least;
@@ -171,14 +171,13 @@ def _postings(blocks: int):
             for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(block)).tolist()):
                 p, n = posts[a:b], size[a:b]
                 each = np.repeat(p - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                short = (hashed[each] >> np.uint64(40)).astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3]
                 small = (
                     np.diff(doc[p], prepend=0).astype("<i8").tobytes() + np.diff(at[p], prepend=0).astype("<i4").tobytes() + n.astype(np.uint8).tobytes()
                 )
                 packed = pack(small)
                 head = np.array([b - a, len(packed)], "<i8").tobytes()
                 tail = (key[a:b] & _ANCHOR).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + digest[p].astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-                out.append((int(block[a]), None, None, head + packed + tail + short.tobytes()))
+                out.append((int(block[a]), None, None, head + packed + tail + hashed[each].astype("<u8").tobytes()))
             if out:
                 yield _rows(out)
 
@@ -198,7 +197,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
         full[:, :width] = part.reshape(-1, width)
         return full.reshape(-1).view(kind)
 
-    return doc, at, count.astype(np.int64), wide(rest[: 6 * n], 6, "<u8"), wide(rest[6 * n : 9 * n], 3, "<i4"), wide(rest[9 * n :], 3, "<u4")
+    return doc, at, count.astype(np.int64), wide(rest[: 6 * n], 6, "<u8"), wide(rest[6 * n : 9 * n], 3, "<i4"), wide(rest[9 * n :], 8, "<u8")
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,13 +208,13 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def answer() -> Iterator[pa.RecordBatch]:
         parts = [np.concatenate(c) for c in zip(*map(_unpack, held))]
         held.clear()
-        doc, at, count, anchor, digest, short = parts
+        doc, at, count, anchor, digest, whole = parts
         each = np.repeat(np.arange(len(doc)), count)
         place = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
-        key = _mix(anchor[each] ^ (short.astype(np.uint64) << np.uint64(40)) ^ (short.astype(np.uint64) * _BASE))
+        anchor = anchor[each]
         owner = doc[each]
-        order = np.argsort(key)
-        heads = _runs(key[order])
+        order = np.lexsort((anchor, whole))
+        heads = _runs(whole[order], anchor[order])
         least = np.repeat(np.minimum.reduceat(owner[order], heads), np.diff(np.append(heads, len(order))))
         late = order[owner[order] > least]
         d, g, s = owner[late], digest[each[late]], at[each[late]] + place[late]

@@ -456,6 +456,16 @@ def test_windows_do_not_cross_documents(spark):
     assert got == {1: 0, 2: 0, 3: 0, 4: 13}
 
 
+def test_windows_around_a_common_line_are_told_apart(spark):
+    rng = random.Random(9)
+    line = " ".join(f"f{k}" for k in range(8))  # one of its runs of five words is the minimizer of nearly all windows around
+    noise = lambda: " ".join(str(rng.getrandbits(60)) for _ in range(12))
+    rows = [(i, f"{noise()} {line} {noise()}") for i in range(6000)]
+    assert all(n == 0 for _, _, n, _ in brute_kept(rows))
+    got = substr.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
+    assert got.where("n_removed > 0").count() == 0
+
+
 # -- 10 quality
 
 

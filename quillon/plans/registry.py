@@ -419,6 +419,12 @@ def validate_documents(spark: SparkSession, d: str) -> DataFrame:
     return report.where("code = 'frontmatter_missing'").select("path", "code", "severity")
 
 
+@register()
+def validation_report(spark: SparkSession, d: str) -> DataFrame:
+    """Every issue of every document; validate_documents is the part of it that SQL can express."""
+    return markdown.validate(table(spark, d, "documents"), "doc_id", "text")
+
+
 @register("SELECT substr(sha1(CAST(doc_id AS VARCHAR) || ':' || '1' || ':' || left(text, 200)), 1, 16) AS chunk_id, doc_id, greatest(1, length(text) // 4)::INT AS approx, greatest(1, strlen(text))::INT AS upper_bound FROM documents")
 def chunk_ids(spark: SparkSession, d: str) -> DataFrame:
     c = F.col

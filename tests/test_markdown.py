@@ -94,3 +94,22 @@ def test_chunk_rows_and_inspection(spark):
     assert {r.doc_id for r in rows} == {"d"} and all(len(r.chunk_id) == 16 for r in rows)
     seen = {r.doc_id: r for r in M.inspect(df).collect()}
     assert (seen["d"].n_headings, seen["d"].n_tables) == (5, 1) and seen["e"].n_headings == 0
+
+
+def test_registered_report_is_whole(spark, tmp_path):
+    from quillon.plans import registry
+
+    body = "word " * 60
+    front = FRONT.replace("tags: [b, ' a ', b, '', 3]\n", "")
+    texts = {
+        1: None, 2: "short", 3: f"# T\n### Deep\n{body}", 4: f"{front}{body}", 5: f"{front}" + "x" * 7000, 6: f"---\nx\n{body}",
+        7: f"{front}{body}\n| a |\n|---|\n" + "| 1 |\n" * 201, 8: f"---\na: [\n---\n# T\n{body}", 9: f"---\n- x\n---\n# T\n{body}",
+    }
+    want = {
+        ("1", "ERROR", "empty_file", None), ("2", "WARN", "min_content", None), ("2", "WARN", "frontmatter_missing", None), ("2", "WARN", "missing_title", None),
+        ("3", "WARN", "frontmatter_missing", None), ("3", "WARN", "heading_hierarchy_skip", 2), ("5", "WARN", "section_too_long", 9), ("5", "INFO", "long_line", 10),
+        ("6", "WARN", "frontmatter_unclosed", 1), ("6", "WARN", "missing_title", None), ("7", "WARN", "large_table", 11), ("8", "ERROR", "frontmatter_invalid_yaml", 1), ("9", "ERROR", "frontmatter_not_mapping", 1),
+    }
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.QUERIES["validation_report"](spark, str(tmp_path)).select("path", "severity", "code", "line_number").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want

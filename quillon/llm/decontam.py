@@ -93,7 +93,10 @@ def build_index(docs: DataFrame, terms: dict[bytes, int], id_col: str = "doc_id"
 
 
 def _matches(terms: np.ndarray, starts: np.ndarray, postings: np.ndarray, windows: Windows, slop: int) -> tuple[np.ndarray, np.ndarray]:
-    """Window number and position of each match: lists are intersected from the rarest term on, shifted by offset."""
+    """Window number and start of each match: lists are intersected from the rarest term on, shifted by offset.
+
+    With ``slop``, every start that has each term within so many words of its place; it may lie outside the document.
+    """
     frequency = np.zeros(len(windows.terms) + 1, np.int64)  # the last stands for the padding
     frequency[terms] = np.diff(starts)
     slot = np.full(len(windows.terms) + 1, -1, np.int64)
@@ -108,7 +111,7 @@ def _matches(terms: np.ndarray, starts: np.ndarray, postings: np.ndarray, window
             s = slot[row[j]]
             own = postings[starts[s] : starts[s + 1]]
             if at is None:
-                at = own - j
+                at = np.unique(own[:, None] - j + np.arange(-slop, slop + 1)) if slop else own - j
                 continue
             i = np.searchsorted(own, at + j - slop)
             at = at[(i < len(own)) & (own[np.minimum(i, len(own) - 1)] <= at + j + slop)]
@@ -124,7 +127,7 @@ def _matches(terms: np.ndarray, starts: np.ndarray, postings: np.ndarray, window
 def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
     """doc_id, key, n_words, items (ids of items with a match) and spans ([start, end) word ranges under a match) of every row.
 
-    ``slop`` 0: exact phrases. Above: proximity matches, every term within so many words of its place in the window.
+    ``slop`` 0: exact phrases. Above: proximity matches, every term within so many words of its place in the window, wherever that starts.
     """
     if not 0 <= slop <= SLOP_MOST:
         raise ValueError(f"slop is from 0 to {SLOP_MOST}")
@@ -137,7 +140,7 @@ def search(index: DataFrame, windows: Windows, slop: int = 0) -> DataFrame:
                 wide = np.uint32 if base[-1] < 1 << 32 else np.uint64
                 lists = np.frombuffer(row["postings"], wide).astype(np.int64)
                 which, where = _matches(np.frombuffer(row["terms"], np.int32), np.frombuffer(row["starts"], np.int64), lists, windows, slop)
-                doc = np.searchsorted(base, np.maximum(where, 0), "right") - 1
+                doc = np.searchsorted(base, where + slop, "right") - 1  # the first term lies within slop of the start
                 items: list[list[str]] = [[] for _ in counts]
                 spans: list[list[dict]] = [[] for _ in counts]
                 order = np.argsort(doc, kind="stable")

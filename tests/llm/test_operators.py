@@ -406,6 +406,20 @@ def test_proximity(spark):
         decontam.find(df, tests, 99)
 
 
+def test_proximity_does_not_depend_on_the_block(spark):
+    rng = random.Random(4)
+    item, slop = ["t0", "t1", "t2", "t3"], 2
+    rows = [(i, " ".join(rng.choices([*item, "x", "y"], k=rng.choice([4, 5, 6, 9])))) for i in range(150)] + [(150, "t3 t0 t1 t2"), (151, "t0 t1 t2 " * 40)]
+    places = {i: [[k for k, w in enumerate(t.split()) if w == x] for x in item] for i, t in rows}
+    starts = {i: [a for a in range(-4, 130) if all(any(abs(p - a - j) <= slop for p in own) for j, own in enumerate(at))] for i, at in places.items()}
+    words = {i: {k for a in s for k in range(a - slop, a + 4 + slop) if 0 <= k < len(dict(rows)[i].split())} for i, s in starts.items()}
+    tests = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for dealt in (df.coalesce(1), df.repartition(7)):
+        got = {r.doc_id: (len(r["items"]), r.n) for r in decontam.find(dealt, tests, slop).select("doc_id", "items", decontam.hit_words().alias("n")).collect()}
+        assert got == {i: (int(bool(s)), len(words[i])) for i, s in starts.items()}
+
+
 # -- 9 substrings
 
 

@@ -1,13 +1,12 @@
-"""Substring dedup by relative Lempel-Ziv parsing against a distributed reference index.
+"""Substring dedup by a hash join of word windows, in place of relative Lempel-Ziv parsing.
 
 The reference text is every document that comes before (smaller id). It is indexed in blocks: all 13-word windows of all
 documents, dealt to blocks by their minimizer, the smallest hash of the five-word runs inside. Windows that follow one
 another mostly share a minimizer, so they travel as one posting: the minimizer, its place, and the 64-bit hash of each
 window. Equal windows have equal minimizers and so meet in one block, which tells which of them an earlier document has.
 
-A document is then parsed greedily from the left: a factor begins at the first window that the reference has and goes on
-as long as the next window, checked at the factor's boundary, is in the reference too. Factors have 13 words at least;
-what they cover is duplicate.
+No text is kept in the blocks and nothing is factored against them: what is duplicate is the union of all windows found,
+and neighbouring windows may come from different earlier documents. A run of windows found is called a factor below.
 """
 
 from __future__ import annotations

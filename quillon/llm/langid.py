@@ -223,6 +223,11 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
 
 
 def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` that have a language (and a score of ``least`` at least), all columns as they are."""
+    """The rows of ``docs`` that have a language (and a score of ``least`` at least), all columns as they are.
+
+    Without prototypes no row can be judged, and all stay.
+    """
+    if not prototypes:
+        return docs
     out = _judged(docs, prototypes, text_col, docs.columns).where((F.col("__lang_pred") != "und") & (F.col("__score") >= least))
     return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(docs.columns)])

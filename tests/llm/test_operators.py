@@ -112,6 +112,11 @@ def test_language(spark, none):
     assert langid.fit(none) == {} and langid.predict(none, p).count() == 0 and {r.lang_pred for r in langid.predict(df, {}).collect()} == {"und"}
 
 
+def test_without_a_labelled_row_all_stay(spark):
+    df = spark.createDataFrame([(1, "some words", None), (2, "more of them", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in langid.keep_known(df, langid.fit(df)).collect()) == [1, 2, 3]
+
+
 def test_profiles_are_sums_of_bound_vectors():
     text = "Abc  a1b"
     codes, counts = langid.grams(text)

@@ -1,12 +1,15 @@
-"""Substring dedup by a hash join of word windows, in place of relative Lempel-Ziv parsing.
-
-The reference text is every document that comes before (smaller id). It is indexed in blocks: all 13-word windows of all
-documents, dealt to blocks by their minimizer, the smallest hash of the five-word runs inside. Windows that follow one
-another mostly share a minimizer, so they travel as one posting: the minimizer, its place, and the 64-bit hash of each
-window. Equal windows have equal minimizers and so meet in one block, which tells which of them an earlier document has.
-
-No text is kept in the blocks and nothing is factored against them: what is duplicate is the union of all windows found,
-and neighbouring windows may come from different earlier documents. A run of windows found is called a factor below.
+"""Substring dedup by relative Lempel-Ziv parsing.
+
+The reference text is every document that comes before (smaller id), kept in blocks of word sequences. Where a document
+may be factored is found by anchors: every 13-word window has one run of GRAM words with the least hash, so windows that
+are equal have equal anchors and the pieces of text around an anchor meet in one block. A block factors each piece
+against the pieces of earlier documents: the longest run of words from the left that such a piece has too is a factor if
+it is a window long, and the parse goes on at its border, where the windows that straddle it are looked up on their own.
+Hashes only propose; a factor counts when its words equal the reference's, byte by byte. Factors of neighbouring pieces
+with one source are joined again where the document is cut.
+
+Anchors that are too common to be a block's (found by a first pass over all documents) rank behind all others. Windows
+that have none but such are posted one by one, dealt by their own hash, so that no anchor makes a block hot.
 """
 
 from __future__ import annotations
@@ -23,8 +26,10 @@ from pyspark.sql import functions as F
 from quillon.llm.arrow import prepare, utf8
 from quillon.llm.store import materialize
 
-#: Words of a window and of a minimizer; reference blocks per shuffle partition; bytes hashed at once.
-WINDOW, GRAM, BLOCKS, CHUNK = 13, 5, 4, 1 << 20
+#: Words of a window and of an anchor; words of documents for each reference block; bytes hashed at once.
+WINDOW, GRAM, BLOCK_WORDS, CHUNK = 13, 4, 400_000, 1 << 20
+#: An anchor is common with this share of all anchors (over 16 for each partition, bounded): so many are sent out at most.
+LEAST_SHARE = 2.0**-20
 
 _rng = np.random.default_rng(20240611)
 _BYTE = _rng.integers(1, 1 << 63, 256, np.uint64)
@@ -34,7 +39,10 @@ _WINDOW_POWERS = [np.uint64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(
 _GRAM_POWERS = [np.uint64(pow(0xA0761D6478BD642F, k, 1 << 64)) for k in range(GRAM)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_ANCHOR = np.uint64((1 << 48) - 1)
+_COMMON = np.uint64(1 << 63)
+
+#: A factor as it travels: first window, number of windows, and the source's document and first window.
+FACTOR = np.dtype([("start", "<i4"), ("count", "<i4"), ("source", "<i8"), ("source_start", "<i4")])
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -45,14 +53,20 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def word_bounds(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First and past-the-last byte of every word of the rows in ``raw``; no word crosses a row's border."""
+def joined_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of the rows in ``raw`` joined by one space each, with every word's first and past-the-last byte and its row."""
     solid = ~_SPACE[raw]
     border = np.zeros(len(raw) + 1, bool)
     border[offsets] = True
-    before = np.concatenate([[False], solid[:-1]]) & ~border[:-1]
-    after = np.concatenate([solid[1:], [False]]) & ~border[1:]
-    return np.flatnonzero(solid & ~before), np.flatnonzero(solid & ~after) + 1
+    begins = solid & ~(np.concatenate([[False], solid[:-1]]) & ~border[:-1])
+    start = np.flatnonzero(begins)
+    end = np.flatnonzero(solid & ~(np.concatenate([solid[1:], [False]]) & ~border[1:])) + 1
+    stop = np.cumsum(end - start + 1) - 1
+    text = np.full(int(stop[-1]) + 1 if len(stop) else 0, 0x20, np.uint8)
+    letters = np.ones(len(text), bool)
+    letters[stop] = False
+    text[letters] = raw[solid]
+    return text, stop - (end - start), stop, np.searchsorted(offsets, start, "right") - 1
 
 
 _kept_powers: list[np.ndarray] = []
@@ -105,164 +119,280 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _ranges(doc: np.ndarray, digest: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """Window starts, in order of document and place, as (document, digest, pairs of first start and count)."""
+def sources(text: bytes, lo: np.ndarray, hi: np.ndarray, row: np.ndarray, hashed: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For each window the number of an equal one whose owner comes before, -1 if there is none.
+
+    Windows stand in order of ``row`` and place; ``lo`` and ``hi`` are their bytes in ``text``. Equal hashes propose the
+    least owner's window; runs of windows with one run as their source are compared as wholes, byte by byte. Where
+    bytes differ, all windows with that hash are told apart by their bytes, so any hash gives the same answer.
+    """
+    found = np.full(len(hashed), -1, np.int64)
+    order = np.argsort(hashed)
+    equal = hashed[order[1:]] == hashed[order[:-1]]
+    several = np.zeros(len(order), bool)
+    several[1:] = equal
+    several[:-1] |= equal
+    some = np.sort(order[several])
+    if not len(some):
+        return found
+    order = some[np.lexsort((owner[some], hashed[some]))]
+    heads = _runs(hashed[order])
+    size = np.diff(np.append(heads, len(order)))
+    least = np.repeat(order[heads], size)
+    late = owner[order] > owner[least]
+    found[order[late]] = least[late]
+    cand = np.flatnonzero(found >= 0)
+    if not len(cand):
+        return found
+    src = found[cand]
+    new = np.ones(len(cand), bool)
+    new[1:] = (cand[1:] != cand[:-1] + 1) | (src[1:] != src[:-1] + 1) | (row[cand[1:]] != row[cand[:-1]]) | (row[src[1:]] != row[src[:-1]])
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(cand)) - 1
+    a, b, c, d = (x.tolist() for x in (lo[cand[first]], hi[cand[last]], lo[src[first]], hi[src[last]]))
+    wrong = [k for k in range(len(a)) if text[a[k] : b[k]] != text[c[k] : d[k]]]
+    if wrong:
+        bad = np.concatenate([hashed[cand[first[k] : last[k] + 1]] for k in wrong])
+        known: dict[bytes, int] = {}
+        for i in order[np.isin(hashed[order], bad)].tolist():  # by hash, owner, place
+            earlier = known.setdefault(text[lo[i] : hi[i]], i)
+            found[i] = earlier if owner[i] > owner[earlier] else -1
+    return found
+
+
+def _factors(doc: np.ndarray, digest: np.ndarray, start: np.ndarray, source: np.ndarray, source_start: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """Windows with their sources, in any order, as (document, digest, its longest factors)."""
     if not len(doc):
         return
+    by = np.lexsort((start, digest, doc))
+    doc, digest, start, source, source_start = (x[by] for x in (doc, digest, start, source, source_start))
     cut = np.ones(len(doc), bool)
-    cut[1:] = (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1]) | (start[1:] != start[:-1] + 1)
+    cut[1:] = (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1]) | (start[1:] != start[:-1] + 1) | (source[1:] != source[:-1]) | (source_start[1:] != source_start[:-1] + 1)
     at = np.flatnonzero(cut)
-    size = np.diff(np.append(at, len(doc)))
-    pairs = np.stack([start[at], size], 1).astype(np.int32)
-    rows = _runs(doc[at], digest[at])
-    ends = np.append(rows[1:], len(at))
-    for a, b in zip(rows.tolist(), ends.tolist()):
-        yield int(doc[at[a]]), int(digest[at[a]]), pairs[a:b].tobytes()
+    rows = np.empty(len(at), FACTOR)
+    rows["start"], rows["count"], rows["source"], rows["source_start"] = start[at], np.diff(np.append(at, len(doc))), source[at], source_start[at]
+    heads = _runs(doc[at], digest[at])
+    for a, b in zip(heads.tolist(), np.append(heads[1:], len(at)).tolist()):
+        yield int(doc[at[a]]), int(digest[at[a]]), rows[a:b].tobytes()
+
+
+_POSTED = "p int, doc long, digest long, blob binary"
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
     cols = list(zip(*rows)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.binary()))], ["p", "doc", "digest", "blob"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["p", "doc", "digest", "blob"])
+
+
+class Windows:
+    """The windows of a batch of documents: bytes, hashes, and the place of the anchor of each."""
+
+    def __init__(self, batch: pa.RecordBatch, common: np.ndarray, hash_bits: int = 64) -> None:
+        raw, offsets = utf8(batch.column(2))
+        buffer, lo, hi, of = joined_words(raw, offsets)
+        self.words = len(lo)
+        self.text = buffer.tobytes()
+        self.lo, self.hi = lo, hi
+        h = word_hashes(buffer, lo, hi)
+        whole, gram = _rolled(h, _WINDOW_POWERS), _rolled(h, _GRAM_POWERS)
+        self.inside = np.flatnonzero(of[: len(whole)] == of[WINDOW - 1 :]) if len(whole) else np.zeros(0, np.int64)
+        if not len(self.inside):
+            return
+        self.gram = gram = gram >> np.uint64(1)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, gram), len(common) - 1)
+            self.gram = gram = np.where(common[at] == gram, gram | _COMMON, gram)
+        view = np.lib.stride_tricks.sliding_window_view(gram, WINDOW - GRAM + 1)
+        turn = np.concatenate([view[self.inside[i : i + 65536]].argmin(1) for i in range(0, len(self.inside), 65536)])
+        self.anchor = self.inside + turn
+        self.row = of[self.inside]
+        self.hashed = whole[self.inside] >> np.uint64(64 - hash_bits)
+        first = np.searchsorted(of, np.arange(len(offsets) - 1))
+        self.place = (self.inside - first[self.row]).astype(np.int64)
+
+
+def _tally(share: float):
+    """(gram, n): each task's commonest anchors, at least half the share of its own; and (null, words of all documents)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, counts, seen, words = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            w = Windows(batch, np.zeros(0, np.uint64))
+            words += w.words
+            if not len(w.inside):
+                continue
+            own = w.gram[w.anchor[_runs(w.anchor, w.row)]]
+            seen += len(own)
+            own, n = np.unique(own, return_counts=True)
+            grams, back = np.unique(np.concatenate([grams, own]), return_inverse=True)
+            counts = np.bincount(back, np.concatenate([counts, n]), len(grams)).astype(np.int64)
+            kept = counts >= share / 4 * seen  # what is rarer so far is forgotten: an undercount of a quarter at most
+            grams, counts = grams[kept], counts[kept]
+        kept = counts >= share / 2 * seen
+        found = [*grams[kept].view(np.int64).tolist(), None, None]
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([*counts[kept].tolist(), words, None], pa.int64()), pa.array([None] * (len(found) - 1) + [seen], pa.int64())], ["gram", "n", "anchors"])
 
+    return run
 
-def _postings(blocks: int):
-    """Rows for the reference blocks: packed postings (null doc), and windows already known to be duplicate (with doc)."""
+
+def _postings(blocks: int, common: np.ndarray, hash_bits: int):
+    """Rows for the reference blocks: packed pieces of text (null doc), and factors that the batch knows by itself (with doc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            raw, offsets = utf8(batch.column(2))
-            start, end = word_bounds(raw, offsets)
-            if len(start) < WINDOW:
-                continue
-            of = np.searchsorted(offsets, start, "right") - 1
-            of = of.astype(np.int32)
-            first = np.searchsorted(start, offsets[:-1])  # each row's first word
-            h = word_hashes(raw, start, end)
-            whole, gram = _rolled(h, _WINDOW_POWERS), _rolled(h, _GRAM_POWERS)
-            del h
-            inside = np.flatnonzero(of[: len(whole)] == of[WINDOW - 1 :])
-            if not len(inside):
+            w = Windows(batch, common, hash_bits)
+            if not len(w.inside):
                 continue
-            view = np.lib.stride_tricks.sliding_window_view(gram, WINDOW - GRAM + 1)
-            turn = np.concatenate([view[inside[i : i + 65536]].argmin(1) for i in range(0, len(inside), 65536)])
-            anchor = inside + turn
-            hashed, row = whole[inside], of[inside]
-            doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[row]
-            digest = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int32)[row]
-            at = (inside - first[row]).astype(np.int64)
-            # what this batch knows by itself: only the smallest id's windows need asking for
-            order = np.argsort(hashed)
-            heads = _runs(hashed[order])
-            least = np.empty(len(doc), np.int64)
-            least[order] = np.repeat(np.minimum.reduceat(doc[order], heads), np.diff(np.append(heads, len(doc))))
-            later = doc > least
-            out = [(int(d % blocks), d, g, b) for d, g, b in _ranges(doc[later], digest[later], at[later])]
-            posts = _runs(anchor, row)
-            size = np.diff(np.append(posts, len(anchor)))
-            asks = np.logical_or.reduceat(~later, posts)
+            doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[w.row]
+            digest = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[w.row]
+            inside, at = w.inside, w.place
+            # what this batch knows by itself: only the smallest id's windows are posted
+            src = sources(w.text, w.lo[inside], w.hi[inside + WINDOW - 1], w.row, w.hashed, doc)
+            known = np.flatnonzero(src >= 0)
+            out = [(int(d % blocks), d, g, b) for d, g, b in _factors(doc[known], digest[known], at[known], doc[src[known]], at[src[known]])]
+            value = w.gram[w.anchor]
+            alone = value >= _COMMON
+            heads = np.ones(len(inside), bool)
+            heads[1:] = (w.anchor[1:] != w.anchor[:-1]) | (w.row[1:] != w.row[:-1]) | (at[1:] != at[:-1] + 1) | alone[1:]
+            posts = np.flatnonzero(heads)
+            size = np.diff(np.append(posts, len(inside)))
+            asks = np.logical_or.reduceat(src < 0, posts)
             posts, size = posts[asks], size[asks]
-            key = gram[anchor[posts]]
-            block = ((key >> np.uint64(48)) % np.uint64(blocks)).astype(np.int64)
-            by = np.argsort(block, kind="stable")
-            posts, size, key, block = posts[by], size[by], key[by], block[by]
-            cuts = _runs(block) if len(block) else np.zeros(0, np.int64)
-            for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(block)).tolist()):
-                p, n = posts[a:b], size[a:b]
-                each = np.repeat(p - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                small = (
-                    np.diff(doc[p], prepend=0).astype("<i8").tobytes() + np.diff(at[p], prepend=0).astype("<i4").tobytes() + n.astype(np.uint8).tobytes()
-                )
-                packed = pack(small)
-                head = np.array([b - a, len(packed)], "<i8").tobytes()
-                tail = (key[a:b] & _ANCHOR).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + digest[p].astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
-                out.append((int(block[a]), None, None, head + packed + tail + hashed[each].astype("<u8").tobytes()))
+            if len(posts):
+                key = np.where(alone[posts], w.hashed[posts], _mix(value[posts]))
+                block = (key % np.uint64(blocks)).astype(np.int64)
+                by = np.argsort(block, kind="stable")
+                posts, size, block = posts[by], size[by], block[by]
+                lo, hi = w.lo[inside[posts]].tolist(), w.hi[inside[posts + size - 1] + WINDOW - 1].tolist()
+                cuts = _runs(block)
+                for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(block)).tolist()):
+                    p = posts[a:b]
+                    head = np.array([b - a], "<i8").tobytes() + doc[p].astype("<i8").tobytes() + digest[p].astype("<i8").tobytes() + at[p].astype("<i4").tobytes() + size[a:b].astype("<i4").tobytes()
+                    out.append((int(block[a]), None, None, pack(head + b"\n".join([w.text[x:y] for x, y in zip(lo[a:b], hi[a:b])]))))
             if out:
                 yield _rows(out)
 
     return run
 
 
-def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
-    n, size = np.frombuffer(blob, "<i8", 2).tolist()
-    small = zstandard.ZstdDecompressor().decompress(blob[16 : 16 + size])
-    doc = np.cumsum(np.frombuffer(small, "<i8", n))
-    at = np.cumsum(np.frombuffer(small, "<i4", n, 8 * n).astype(np.int64))
-    count = np.frombuffer(small, np.uint8, n, 12 * n)
-    rest = np.frombuffer(blob, np.uint8, offset=16 + size)
-
-    def wide(part: np.ndarray, width: int, kind: str) -> np.ndarray:
-        full = np.zeros((len(part) // width, np.dtype(kind).itemsize), np.uint8)
-        full[:, :width] = part.reshape(-1, width)
-        return full.reshape(-1).view(kind)
-
-    return doc, at, count.astype(np.int64), wide(rest[: 6 * n], 6, "<u8"), wide(rest[6 * n : 9 * n], 3, "<i4"), wide(rest[9 * n :], 8, "<u8")
-
-
-def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block: the windows of each that an earlier document has."""
-    held: list[bytes] = []
-    now = None
-
-    def answer() -> Iterator[pa.RecordBatch]:
-        parts = [np.concatenate(c) for c in zip(*map(_unpack, held))]
-        held.clear()
-        doc, at, count, anchor, digest, whole = parts
-        each = np.repeat(np.arange(len(doc)), count)
-        place = np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
-        anchor = anchor[each]
-        owner = doc[each]
-        order = np.lexsort((anchor, whole))
-        heads = _runs(whole[order], anchor[order])
-        least = np.repeat(np.minimum.reduceat(owner[order], heads), np.diff(np.append(heads, len(order))))
-        late = order[owner[order] > least]
-        d, g, s = owner[late], digest[each[late]], at[each[late]] + place[late]
-        by = np.lexsort((s, g, d))
-        rows = [(0, *x) for x in _ranges(d[by], g[by], s[by])]
-        for i in range(0, len(rows), 5000):
-            yield _rows(rows[i : i + 5000])
+def _unpack(blob: bytes) -> tuple:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    doc, digest = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(2, n)
+    at, size = np.frombuffer(raw, "<i4", 2 * n, 8 + 16 * n).reshape(2, n)
+    return doc, digest, at, size, raw[8 + 24 * n :]
+
+
+def factor_block(blobs: list[bytes], hash_bits: int = 64) -> Iterator[tuple[int, int, bytes]]:
+    """(document, digest, factors) of a reference block: each piece against the pieces of earlier documents."""
+    parts = [_unpack(b) for b in blobs]
+    doc, digest, at, size = (np.concatenate(c).astype(np.int64) for c in list(zip(*parts))[:4])
+    text = b"\n".join([p[4] for p in parts])
+    buffer = np.frombuffer(text, np.uint8)
+    gaps = np.flatnonzero((buffer == 0x20) | (buffer == 0x0A))
+    lo, hi = np.concatenate([[0], gaps + 1]), np.append(gaps, len(buffer))
+    whole = _rolled(word_hashes(buffer, lo, hi), _WINDOW_POWERS)
+    row = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    word = np.repeat(np.cumsum(size + WINDOW - 1) - (size + WINDOW - 1), size) + place
+    place += at[row]
+    src = sources(text, lo[word], hi[word + WINDOW - 1], row, whole[word] >> np.uint64(64 - hash_bits), doc[row])
+    found = np.flatnonzero(src >= 0)
+    src = src[found]
+    yield from _factors(doc[row[found]], digest[row[found]], place[found], doc[row[src]], place[src])
+
+
+def _resolve(hash_bits: int):
+    """Rows sorted by block: the factors of every document's pieces."""
 
-    for batch in batches:
-        for p, doc, digest, blob in zip(*(batch.column(i).to_pylist() for i in range(4))):
-            if p != now and held:
-                yield from answer()
-            now = p
-            if doc is None:
-                held.append(blob)
-            else:
-                yield _rows([(p, doc, digest, blob)])
-    if held:
-        yield from answer()
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[bytes] = []
+        now = None
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            rows = [(0, *x) for x in factor_block(held, hash_bits)]
+            held.clear()
+            for i in range(0, len(rows), 5000):
+                yield _rows(rows[i : i + 5000])
+
+        for batch in batches:
+            for p, doc, digest, blob in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if p != now and held:
+                    yield from answer()
+                now = p
+                if doc is None:
+                    held.append(blob)
+                else:
+                    yield _rows([(p, doc, digest, blob)])
+        if held:
+            yield from answer()
+
+    return run
 
 
-def _digest() -> object:
-    return F.xxhash64("text").bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
+def _partitions(rows: DataFrame) -> int:
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
 
 
-def duplicate_windows(rows: DataFrame) -> DataFrame:
-    """(doc, digest, blob): the windows, as packed (start, count) pairs, that occur in a document with a smaller id.
+def find_factors(rows: DataFrame, hash_bits: int = 64) -> DataFrame:
+    """(doc, digest, blob): the factors of each document, packed as FACTOR, over the text of documents with smaller ids.
 
-    ``rows`` has doc_id (long), digest and text. Every batch sends each block one packed row, with one entry per distinct
-    window at most, so a passage that a third of all documents share makes no block hot. Written to the shared folder.
+    ``rows`` has doc_id (long), digest and text. Every batch posts a window once, for its smallest id, so a passage that
+    a third of all documents share makes no block hot. ``hash_bits`` bounds the proposing hash (the answer is the same).
+    The driver receives the common anchors, 2 / share of them at most. Written to the shared folder.
     """
     spark = rows.sparkSession
     prepare(spark)
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
+    parts = _partitions(rows)
     own = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "digest", "text")
-    posted = own.mapInArrow(_postings(BLOCKS * parts), "p int, doc long, digest int, blob binary")
+    share = max(1 / (16 * parts), LEAST_SHARE)
+    tally = own.mapInArrow(_tally(share), "gram long, n long, anchors long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("anchors").alias("anchors"))
+    tally = materialize(tally, "anchors")
+    whole = tally.where("gram IS NULL").first()
+    words, anchors = (whole.n or 0, whole.anchors or 0) if whole else (0, 0)
+    common = np.sort(np.array([r.gram for r in tally.where(F.col("gram").isNotNull() & (F.col("n") >= share / 2 * anchors)).collect()], np.int64).view(np.uint64))
+    blocks = max(parts, -(-words // BLOCK_WORDS))
+    posted = own.mapInArrow(_postings(blocks, common, hash_bits), _POSTED)
     dealt = posted.repartition(parts, "p").sortWithinPartitions("p")
-    found = dealt.mapInArrow(_resolve, "p int, doc long, digest int, blob binary")
-    return materialize(found.select("doc", "digest", "blob"), "factors")
+    return materialize(dealt.mapInArrow(_resolve(hash_bits), _POSTED).select("doc", "digest", "blob"), "factors")
+
+
+def parse(blobs: list[bytes]) -> np.ndarray:
+    """A document's factors by first word, those joined that follow one another in one source."""
+    rows = np.unique(np.frombuffer(b"".join(blobs), FACTOR))
+    if not len(rows):
+        return rows
+    new = np.ones(len(rows), bool)
+    start, count = rows["start"].astype(np.int64), rows["count"].astype(np.int64)
+    lead = rows["source_start"].astype(np.int64) - start
+    new[1:] = (start[1:] != start[:-1] + count[:-1]) | (rows["source"][1:] != rows["source"][:-1]) | (lead[1:] != lead[:-1])
+    at = np.flatnonzero(new)
+    out = rows[at].copy()
+    out["count"] = np.add.reduceat(count, at)
+    return out
+
+
+def covered(words: int, factors: np.ndarray) -> np.ndarray:
+    """Which words the factors cover."""
+    cover = np.zeros(words + 1, np.int32)
+    start = factors["start"].astype(np.int64)
+    np.add.at(cover, start, 1)
+    np.add.at(cover, start + factors["count"] + WINDOW - 1, -1)
+    return np.cumsum(cover)[:words] > 0
 
 
-def parse(words: int, pairs: list[bytes]) -> np.ndarray:
-    """Which words the factors cover: each goes from a window found to the last of the windows found in a row."""
-    cover = np.zeros(words + WINDOW + 1, np.int32)
-    for blob in pairs:
-        p = np.frombuffer(blob, np.int32).reshape(-1, 2).astype(np.int64)
-        np.add.at(cover, p[:, 0], 1)
-        np.add.at(cover, p[:, 0] + p[:, 1] + WINDOW - 1, -1)
-    return np.cumsum(cover)[:words] > 0
+def _lined(docs: DataFrame, found: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
+    """Factors and texts of each document in one partition, factors first. Rows with a null id have no factors and stay spread."""
+    both = found.select("doc", "digest", "blob").unionByName(rows.withColumnRenamed("doc_id", "doc"), allowMissingColumns=True)
+    place = F.when(F.col("doc").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc", "digest"))
+    both = both.withColumn("place", place).repartition(_partitions(docs), "place").sortWithinPartitions("doc", "digest", F.col("blob").isNull())
+    return both.select("doc", "digest", "blob", "text", *columns)
+
+
+def _digested(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"), *more)
 
 
 _TEXT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -272,20 +402,19 @@ def _cut(want_text: bool):
     """Rows sorted by document, factors before texts: the words that stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, pairs = None, []
+        key, blobs = None, []
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             for doc, digest, blob, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if (doc, digest) != key:
-                    key, pairs = (doc, digest), []
+                    key, blobs = (doc, digest), []
                 if blob is not None:
-                    pairs.append(blob)
+                    blobs.append(blob)
                     continue
-                raw = (text or "").encode()
-                own = raw.split()
+                own = (text or "").encode().split()
                 kept = own
-                if pairs and doc is not None:
-                    gone = parse(len(own), pairs)
+                if blobs and doc is not None:
+                    gone = covered(len(own), parse(blobs))
                     kept = [w for w, g in zip(own, gone.tolist()) if not g]
                 joined = b" ".join(kept)
                 out[0].append(doc)
@@ -298,23 +427,43 @@ def _cut(want_text: bool):
     return run
 
 
-def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", want_text: bool = False) -> DataFrame:
+def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", want_text: bool = False, hash_bits: int = 64) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if wanted, kept: the words that no earlier document's window covers.
 
     Words are runs of other than ASCII white space. A window of 13 words is duplicate if a row with a smaller doc_id has
     it; all is judged on the input. ``kept`` is the text itself where nothing goes, else the kept words joined by one
     space. Null texts have no words (and stay null); rows with a null id neither lose words nor count as earlier; rows
-    with equal ids don't count as earlier for one another, and are told apart by 24 bits of their text's hash; an empty
-    table gives no rows.
+    with equal ids don't count as earlier for one another, and are told apart by the 64-bit hash of their text; an empty
+    table gives no rows; other columns are ignored, whatever their names.
+    """
+    rows = _digested(docs, id_col, text_col)
+    return _lined(docs, find_factors(rows, hash_bits), rows).mapInArrow(_cut(want_text), _TEXT)
+
+
+def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, start, n_words, source_id, source_start: the factors of every document, places in words from 0.
+
+    Rows with a null id or text have none; rows with equal ids are listed under that id each.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("digest", _digest())
-    found = duplicate_windows(rows)
-    none = F.lit(None)
-    lined = found.select("doc", "digest", "blob", none.cast("string").alias("text")).unionByName(rows.select(F.col("doc_id").alias("doc"), "digest", none.cast("binary").alias("blob"), "text"))
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.coalesce(F.col("doc"), F.col("digest").cast("long"))  # null ids: by text
-    together = lined.repartition(n, spread).sortWithinPartitions("doc", "digest", F.col("blob").isNull())
-    return together.mapInArrow(_cut(want_text), _TEXT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, blobs = None, []
+
+        def listed() -> pa.RecordBatch:
+            f = parse(blobs)
+            cols = (np.full(len(f), key[0] if blobs else 0), f["start"], f["count"].astype(np.int64) + WINDOW - 1, f["source"], f["source_start"])
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, np.int64)) for c in cols], ["doc_id", "start", "n_words", "source_id", "source_start"])
+
+        for batch in batches:
+            for doc, digest, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if (doc, digest) != key:
+                    yield listed()
+                    key, blobs = (doc, digest), []
+                blobs.append(blob)
+        yield listed()
+
+    found = find_factors(_digested(docs, id_col, text_col)).repartition(_partitions(docs), "doc", "digest").sortWithinPartitions("doc", "digest")
+    return found.mapInArrow(run, "doc_id long, start long, n_words long, source_id long, source_start long")
 
 
 def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
@@ -324,13 +473,9 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cha
     the row, whatever their names, so the texts are shuffled once.
     """
     others = [c for c in docs.columns if c not in (id_col, text_col)]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.struct(F.lit(1).alias("row"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]).alias("rest"))
-    rows = rows.withColumn("digest", _digest())
-    found = duplicate_windows(rows)
-    lined = found.select("doc", "digest", "blob").unionByName(rows.select(F.col("doc_id").alias("doc"), "digest", "text", "rest"), allowMissingColumns=True)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = F.coalesce(F.col("doc"), F.col("digest").cast("long"))
-    together = lined.select("doc", "digest", "blob", "text", "rest").repartition(n, spread).sortWithinPartitions("doc", "digest", F.col("blob").isNull())
+    rest = F.struct(F.lit(1).alias("row"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
+    rows = _digested(docs, id_col, text_col, rest.alias("rest"))
+    together = _lined(docs, find_factors(rows), rows, "rest")
     schema = together.select(F.col("doc").alias("doc_id"), "text", "rest").schema
     out = together.mapInArrow(_replace, schema)
     back = {id_col: F.col("doc_id").cast(docs.schema[id_col].dataType), text_col: F.col("text")} | {c: F.col(f"rest.c{i}") for i, c in enumerate(others)}
@@ -341,18 +486,18 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cha
 
 def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by document, factors before texts: the rows with what is left of their texts."""
-    key, pairs = None, []
+    key, blobs = None, []
     for batch in batches:
         stay, left = [], []
         for i, (doc, digest, blob, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
             if (doc, digest) != key:
-                key, pairs = (doc, digest), []
+                key, blobs = (doc, digest), []
             if blob is not None:
-                pairs.append(blob)
+                blobs.append(blob)
                 continue
-            if pairs and doc is not None and text:
+            if blobs and doc is not None and text:
                 own = text.encode().split()
-                gone = parse(len(own), pairs)
+                gone = covered(len(own), parse(blobs))
                 text = b" ".join([w for w, g in zip(own, gone.tolist()) if not g]).decode()
             stay.append(i)
             left.append(text)

@@ -459,11 +459,30 @@ def test_substrings(spark, docs, none):
     assert Counter((i, hashlib.sha256(b" ".join((t or "").encode().split())).hexdigest()) for i, t in ((r.doc_id, r.text) for r in out.collect())) == Counter((i, h) for (i, _, _, h), c in brute_kept(ROWS).items() for _ in range(c))
 
 
+@pytest.mark.parametrize("bits", [8, 1])
+def test_hashes_only_propose(spark, docs, bits):
+    short = [(i, t) for i, t in ROWS if len(t or "") < 20000]
+    got = substr.dedup_substrings(frame(spark, short), hash_bits=bits).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert Counter(tuple(r) for r in got.collect()) == brute_kept(short)
+
+
+def test_factors_are_text_of_earlier_documents(spark, docs):
+    words = {i: (t or "").split() for i, t in ROWS if i is not None and i not in (7, 8)}  # ids that occur once
+    ids = [i for i, _ in ROWS]
+    rows = [r for r in substr.factors(docs).collect() if r.doc_id in words and r.source_id in words]
+    assert len(rows) > 50 and max(r.n_words for r in rows) > 100
+    for r in rows:
+        own, ref = words[r.doc_id], words[r.source_id]
+        assert r.source_id < r.doc_id and r.n_words >= 13 and ids.count(r.doc_id) == 1
+        assert own[r.start : r.start + r.n_words] == ref[r.source_start : r.source_start + r.n_words]
+
+
 def test_word_hashes_depend_on_bytes_alone():
     raw = np.frombuffer(b"ab cd ab  abab\tcd" + b"z" * 50 + b" cd", np.uint8)
-    start, end = substr.word_bounds(raw, np.array([0, len(raw)]))
-    h = substr.word_hashes(raw, start, end)
-    words = [raw[a:b].tobytes() for a, b in zip(start, end)]
+    text, start, end, row = substr.joined_words(raw, np.array([0, 3, len(raw)]))
+    assert text.tobytes() == b" ".join(raw.tobytes().split()) + b" " and row.tolist() == [0] + [1] * (len(start) - 1)
+    h = substr.word_hashes(text, start, end)
+    words = [text[a:b].tobytes() for a, b in zip(start, end)]
     assert words == raw.tobytes().split() and len(set(h.tolist())) == len(set(words))
     assert len({(w, x) for w, x in zip(words, h.tolist())}) == len(set(words))
 
@@ -477,12 +496,14 @@ def test_windows_do_not_cross_documents(spark):
 
 def test_windows_around_a_common_line_are_told_apart(spark):
     rng = random.Random(9)
-    line = " ".join(f"f{k}" for k in range(8))  # one of its runs of five words is the minimizer of nearly all windows around
+    line = " ".join(f"f{k}" for k in range(8))  # its runs of four words are common anchors
     noise = lambda: " ".join(str(rng.getrandbits(60)) for _ in range(12))
     rows = [(i, f"{noise()} {line} {noise()}") for i in range(6000)]
-    assert all(n == 0 for _, _, n, _ in brute_kept(rows))
-    got = substr.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(8))
-    assert got.where("n_removed > 0").count() == 0
+    rows += [(10000 + i, f"{line} {line} {line} {'tail' if i % 2 else 'end'} {i}") for i in range(50)]  # windows of nothing but common anchors
+    rows = [(i, t) for i, t in rows]
+    got = substr.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string").repartition(8)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    assert Counter(tuple(r) for r in got.collect()) == brute_kept(rows)
+    assert got.where("doc_id < 10000 AND n_removed > 0").count() == 0
 
 
 # -- 10 quality

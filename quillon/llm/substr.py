@@ -19,15 +19,16 @@ from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.arrow import prepare, utf8
-from quillon.llm.store import materialize
+from quillon.llm.store import drop, materialize
 
 #: Words of a window and of an anchor; words of documents for each reference block; bytes hashed at once.
-WINDOW, GRAM, BLOCK_WORDS, CHUNK = 13, 4, 400_000, 1 << 20
+WINDOW, GRAM, BLOCK_WORDS, CHUNK = 13, 3, 400_000, 1 << 20
 #: An anchor is common with this share of all anchors (over 16 for each partition, bounded): so many are sent out at most.
 LEAST_SHARE = 2.0**-20
 
@@ -41,8 +42,11 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _COMMON = np.uint64(1 << 63)
 
-#: A factor as it travels: first window, number of windows, and the source's document and first window.
-FACTOR = np.dtype([("start", "<i4"), ("count", "<i4"), ("source", "<i8"), ("source_start", "<i4")])
+#: Level at which pieces of text are packed.
+PACK = 5
+#: A factor as it travels: first window, number of windows, the source's document and first window, and the hash of its
+#: words, by which rows that share an id know their own.
+FACTOR = np.dtype([("start", "<i4"), ("count", "<i4"), ("source", "<i8"), ("source_start", "<i4"), ("check", "<u8")])
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -66,7 +70,8 @@ def joined_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     letters = np.ones(len(text), bool)
     letters[stop] = False
     text[letters] = raw[solid]
-    return text, stop - (end - start), stop, np.searchsorted(offsets, start, "right") - 1
+    kind = np.int32 if len(raw) < 1 << 30 else np.int64
+    return text, (stop - (end - start)).astype(kind), stop.astype(kind), (np.searchsorted(offsets, start, "right") - 1).astype(kind)
 
 
 _kept_powers: list[np.ndarray] = []
@@ -160,35 +165,39 @@ def sources(text: bytes, lo: np.ndarray, hi: np.ndarray, row: np.ndarray, hashed
     return found
 
 
-def _factors(doc: np.ndarray, digest: np.ndarray, start: np.ndarray, source: np.ndarray, source_start: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """Windows with their sources, in any order, as (document, digest, its longest factors)."""
-    if not len(doc):
+def _factors(text: bytes, lo: np.ndarray, hi: np.ndarray, row: np.ndarray, doc: np.ndarray, place: np.ndarray, src: np.ndarray) -> Iterator[tuple[int, bytes]]:
+    """(document, its longest factors) of windows in order of row and place, with the equal window of each in ``src``."""
+    found = np.flatnonzero(src >= 0)
+    if not len(found):
         return
-    by = np.lexsort((start, digest, doc))
-    doc, digest, start, source, source_start = (x[by] for x in (doc, digest, start, source, source_start))
-    cut = np.ones(len(doc), bool)
-    cut[1:] = (doc[1:] != doc[:-1]) | (digest[1:] != digest[:-1]) | (start[1:] != start[:-1] + 1) | (source[1:] != source[:-1]) | (source_start[1:] != source_start[:-1] + 1)
-    at = np.flatnonzero(cut)
-    rows = np.empty(len(at), FACTOR)
-    rows["start"], rows["count"], rows["source"], rows["source_start"] = start[at], np.diff(np.append(at, len(doc))), source[at], source_start[at]
-    heads = _runs(doc[at], digest[at])
-    for a, b in zip(heads.tolist(), np.append(heads[1:], len(at)).tolist()):
-        yield int(doc[at[a]]), int(digest[at[a]]), rows[a:b].tobytes()
+    s = src[found]
+    cut = np.ones(len(found), bool)
+    cut[1:] = (found[1:] != found[:-1] + 1) | (row[found[1:]] != row[found[:-1]]) | (doc[s[1:]] != doc[s[:-1]]) | (place[s[1:]] != place[s[:-1]] + 1)
+    first = np.flatnonzero(cut)
+    a, z, s = found[first], found[np.append(first[1:], len(found)) - 1], s[first]
+    rows = np.empty(len(a), FACTOR)
+    rows["start"], rows["count"], rows["source"], rows["source_start"] = place[a], z - a + 1, doc[s], place[s]
+    rows["check"] = [xxhash.xxh64_intdigest(text[x:y]) for x, y in zip(lo[a].tolist(), hi[z].tolist())]
+    by = np.argsort(doc[a], kind="stable")
+    rows, owner = rows[by], doc[a][by]
+    heads = _runs(owner)
+    for x, y in zip(heads.tolist(), np.append(heads[1:], len(rows)).tolist()):
+        yield int(owner[x]), rows[x:y].tobytes()
 
 
-_POSTED = "p int, doc long, digest long, blob binary"
+_POSTED = "p int, doc long, blob binary"
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    cols = list(zip(*rows)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["p", "doc", "digest", "blob"])
+    cols = list(zip(*rows)) or [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int64(), pa.binary()))], ["p", "doc", "blob"])
 
 
 class Windows:
     """The windows of a batch of documents: bytes, hashes, and the place of the anchor of each."""
 
     def __init__(self, batch: pa.RecordBatch, common: np.ndarray, hash_bits: int = 64) -> None:
-        raw, offsets = utf8(batch.column(2))
+        raw, offsets = utf8(batch.column(1))
         buffer, lo, hi, of = joined_words(raw, offsets)
         self.words = len(lo)
         self.text = buffer.tobytes()
@@ -208,7 +217,7 @@ class Windows:
         self.row = of[self.inside]
         self.hashed = whole[self.inside] >> np.uint64(64 - hash_bits)
         first = np.searchsorted(of, np.arange(len(offsets) - 1))
-        self.place = (self.inside - first[self.row]).astype(np.int64)
+        self.place = (self.inside - first[self.row]).astype(np.int32)
 
 
 def _tally(share: float):
@@ -239,22 +248,21 @@ def _postings(blocks: int, common: np.ndarray, hash_bits: int):
     """Rows for the reference blocks: packed pieces of text (null doc), and factors that the batch knows by itself (with doc)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=1).compress
+        pack = zstandard.ZstdCompressor(level=PACK).compress
         for batch in batches:
             w = Windows(batch, common, hash_bits)
             if not len(w.inside):
                 continue
             doc = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)[w.row]
-            digest = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[w.row]
             inside, at = w.inside, w.place
+            lo, hi = w.lo[inside], w.hi[inside + WINDOW - 1]
             # what this batch knows by itself: only the smallest id's windows are posted
-            src = sources(w.text, w.lo[inside], w.hi[inside + WINDOW - 1], w.row, w.hashed, doc)
-            known = np.flatnonzero(src >= 0)
-            out = [(int(d % blocks), d, g, b) for d, g, b in _factors(doc[known], digest[known], at[known], doc[src[known]], at[src[known]])]
+            src = sources(w.text, lo, hi, w.row, w.hashed, doc)
+            out = [(d % blocks, d, b) for d, b in _factors(w.text, lo, hi, w.row, doc, at, src)]
             value = w.gram[w.anchor]
             alone = value >= _COMMON
             heads = np.ones(len(inside), bool)
-            heads[1:] = (w.anchor[1:] != w.anchor[:-1]) | (w.row[1:] != w.row[:-1]) | (at[1:] != at[:-1] + 1) | alone[1:]
+            heads[1:] = (w.anchor[1:] != w.anchor[:-1]) | (w.row[1:] != w.row[:-1]) | alone[1:]
             posts = np.flatnonzero(heads)
             size = np.diff(np.append(posts, len(inside)))
             asks = np.logical_or.reduceat(src < 0, posts)
@@ -264,12 +272,14 @@ def _postings(blocks: int, common: np.ndarray, hash_bits: int):
                 block = (key % np.uint64(blocks)).astype(np.int64)
                 by = np.argsort(block, kind="stable")
                 posts, size, block = posts[by], size[by], block[by]
-                lo, hi = w.lo[inside[posts]].tolist(), w.hi[inside[posts + size - 1] + WINDOW - 1].tolist()
+                begin, end = lo[posts].tolist(), hi[posts + size - 1].tolist()
                 cuts = _runs(block)
                 for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(block)).tolist()):
                     p = posts[a:b]
-                    head = np.array([b - a], "<i8").tobytes() + doc[p].astype("<i8").tobytes() + digest[p].astype("<i8").tobytes() + at[p].astype("<i4").tobytes() + size[a:b].astype("<i4").tobytes()
-                    out.append((int(block[a]), None, None, pack(head + b"\n".join([w.text[x:y] for x, y in zip(lo[a:b], hi[a:b])]))))
+                    owner = np.diff(doc[p], prepend=0).astype("<i8").tobytes()
+                    head = pack(owner + at[p].astype("<i4").tobytes() + size[a:b].astype("<i4").tobytes())
+                    body = pack(b"\n".join([w.text[x:y] for x, y in zip(begin[a:b], end[a:b])]))
+                    out.append((int(block[a]), None, np.array([b - a, len(head)], "<i8").tobytes() + head + body))
             if out:
                 yield _rows(out)
 
@@ -277,30 +287,31 @@ def _postings(blocks: int, common: np.ndarray, hash_bits: int):
 
 
 def _unpack(blob: bytes) -> tuple:
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n = int(np.frombuffer(raw, "<i8", 1)[0])
-    doc, digest = np.frombuffer(raw, "<i8", 2 * n, 8).reshape(2, n)
-    at, size = np.frombuffer(raw, "<i4", 2 * n, 8 + 16 * n).reshape(2, n)
-    return doc, digest, at, size, raw[8 + 24 * n :]
+    unpack = zstandard.ZstdDecompressor().decompress
+    n, size = np.frombuffer(blob, "<i8", 2).tolist()
+    head = unpack(blob[16 : 16 + size])
+    at, count = np.frombuffer(head, "<i4", 2 * n, 8 * n).reshape(2, n)
+    return np.cumsum(np.frombuffer(head, "<i8", n)), at, count, unpack(blob[16 + size :])
 
 
-def factor_block(blobs: list[bytes], hash_bits: int = 64) -> Iterator[tuple[int, int, bytes]]:
-    """(document, digest, factors) of a reference block: each piece against the pieces of earlier documents."""
+def factor_block(blobs: list[bytes], hash_bits: int = 64) -> Iterator[tuple[int, bytes]]:
+    """(document, factors) of a reference block: each piece against the pieces of earlier documents."""
     parts = [_unpack(b) for b in blobs]
-    doc, digest, at, size = (np.concatenate(c).astype(np.int64) for c in list(zip(*parts))[:4])
-    text = b"\n".join([p[4] for p in parts])
+    doc, at, size = (np.concatenate(c) for c in list(zip(*parts))[:3])
+    text = b"\n".join([p[3] for p in parts])
+    del parts
     buffer = np.frombuffer(text, np.uint8)
-    gaps = np.flatnonzero((buffer == 0x20) | (buffer == 0x0A))
-    lo, hi = np.concatenate([[0], gaps + 1]), np.append(gaps, len(buffer))
+    kind = np.int32 if len(text) < 1 << 30 else np.int64
+    gaps = np.flatnonzero((buffer == 0x20) | (buffer == 0x0A)).astype(kind)
+    lo, hi = np.concatenate([np.zeros(1, kind), gaps + kind(1)]), np.append(gaps, kind(len(buffer)))
     whole = _rolled(word_hashes(buffer, lo, hi), _WINDOW_POWERS)
     row = np.repeat(np.arange(len(size)), size)
     place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
     word = np.repeat(np.cumsum(size + WINDOW - 1) - (size + WINDOW - 1), size) + place
     place += at[row]
-    src = sources(text, lo[word], hi[word + WINDOW - 1], row, whole[word] >> np.uint64(64 - hash_bits), doc[row])
-    found = np.flatnonzero(src >= 0)
-    src = src[found]
-    yield from _factors(doc[row[found]], digest[row[found]], place[found], doc[row[src]], place[src])
+    lo, hi, whole = lo[word], hi[word + WINDOW - 1], whole[word] >> np.uint64(64 - hash_bits)
+    src = sources(text, lo, hi, row, whole, doc[row])
+    yield from _factors(text, lo, hi, row, doc[row], place, src)
 
 
 def _resolve(hash_bits: int):
@@ -317,14 +328,14 @@ def _resolve(hash_bits: int):
                 yield _rows(rows[i : i + 5000])
 
         for batch in batches:
-            for p, doc, digest, blob in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            for p, doc, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 if p != now and held:
                     yield from answer()
                 now = p
                 if doc is None:
                     held.append(blob)
                 else:
-                    yield _rows([(p, doc, digest, blob)])
+                    yield _rows([(p, doc, blob)])
         if held:
             yield from answer()
 
@@ -336,31 +347,38 @@ def _partitions(rows: DataFrame) -> int:
 
 
 def find_factors(rows: DataFrame, hash_bits: int = 64) -> DataFrame:
-    """(doc, digest, blob): the factors of each document, packed as FACTOR, over the text of documents with smaller ids.
+    """(doc, blob): the factors of each document, packed as FACTOR, over the text of documents with smaller ids.
 
-    ``rows`` has doc_id (long), digest and text. Every batch posts a window once, for its smallest id, so a passage that
+    ``rows`` has doc_id (long) and text. Every batch posts a window once, for its smallest id, so a passage that
     a third of all documents share makes no block hot. ``hash_bits`` bounds the proposing hash (the answer is the same).
     The driver receives the common anchors, 2 / share of them at most. Written to the shared folder.
     """
     spark = rows.sparkSession
     prepare(spark)
     parts = _partitions(rows)
-    own = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "digest", "text")
+    own = rows.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", "text")
     share = max(1 / (16 * parts), LEAST_SHARE)
     tally = own.mapInArrow(_tally(share), "gram long, n long, anchors long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("anchors").alias("anchors"))
     tally = materialize(tally, "anchors")
     whole = tally.where("gram IS NULL").first()
     words, anchors = (whole.n or 0, whole.anchors or 0) if whole else (0, 0)
     common = np.sort(np.array([r.gram for r in tally.where(F.col("gram").isNotNull() & (F.col("n") >= share / 2 * anchors)).collect()], np.int64).view(np.uint64))
+    drop(tally)
     blocks = max(parts, -(-words // BLOCK_WORDS))
     posted = own.mapInArrow(_postings(blocks, common, hash_bits), _POSTED)
     dealt = posted.repartition(parts, "p").sortWithinPartitions("p")
-    return materialize(dealt.mapInArrow(_resolve(hash_bits), _POSTED).select("doc", "digest", "blob"), "factors")
+    return materialize(dealt.mapInArrow(_resolve(hash_bits), _POSTED).select("doc", "blob"), "factors")
 
 
-def parse(blobs: list[bytes]) -> np.ndarray:
-    """A document's factors by first word, those joined that follow one another in one source."""
+def parse(blobs: list[bytes], words: list[bytes] | None = None) -> np.ndarray:
+    """A document's factors by first word, those joined that follow one another in one source.
+
+    Of factors under a repeated id, those count whose words stand at their place in ``words``.
+    """
     rows = np.unique(np.frombuffer(b"".join(blobs), FACTOR))
+    if words is not None:
+        spans = zip(rows["start"].tolist(), (rows["start"] + rows["count"] + WINDOW - 1).tolist(), rows["check"].tolist())
+        rows = rows[np.array([b <= len(words) and xxhash.xxh64_intdigest(b" ".join(words[a:b])) == c for a, b, c in spans], bool)]
     if not len(rows):
         return rows
     new = np.ones(len(rows), bool)
@@ -384,15 +402,14 @@ def covered(words: int, factors: np.ndarray) -> np.ndarray:
 
 def _lined(docs: DataFrame, found: DataFrame, rows: DataFrame, *columns: str) -> DataFrame:
     """Factors and texts of each document in one partition, factors first. Rows with a null id have no factors and stay spread."""
-    both = found.select("doc", "digest", "blob").unionByName(rows.withColumnRenamed("doc_id", "doc"), allowMissingColumns=True)
-    place = F.when(F.col("doc").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc", "digest"))
-    both = both.withColumn("place", place).repartition(_partitions(docs), "place").sortWithinPartitions("doc", "digest", F.col("blob").isNull())
-    return both.select("doc", "digest", "blob", "text", *columns)
+    both = found.select("doc", "blob").unionByName(rows.withColumnRenamed("doc_id", "doc"), allowMissingColumns=True)
+    place = F.when(F.col("doc").isNull(), F.monotonically_increasing_id()).otherwise(F.xxhash64("doc"))
+    both = both.withColumn("place", place).repartition(_partitions(docs), "place").sortWithinPartitions("doc", F.col("blob").isNull())
+    return both.select("doc", "blob", "text", *columns)
 
 
-def _digested(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("digest"), *more)
+def _own(docs: DataFrame, id_col: str, text_col: str, *more) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
 
 
 _TEXT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
@@ -405,16 +422,16 @@ def _cut(want_text: bool):
         key, blobs = None, []
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
-            for doc, digest, blob, text in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                if (doc, digest) != key:
-                    key, blobs = (doc, digest), []
+            for doc, blob, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if doc != key:
+                    key, blobs = doc, []
                 if blob is not None:
                     blobs.append(blob)
                     continue
                 own = (text or "").encode().split()
                 kept = own
                 if blobs and doc is not None:
-                    gone = covered(len(own), parse(blobs))
+                    gone = covered(len(own), parse(blobs, own))
                     kept = [w for w, g in zip(own, gone.tolist()) if not g]
                 joined = b" ".join(kept)
                 out[0].append(doc)
@@ -433,10 +450,10 @@ def dedup_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     Words are runs of other than ASCII white space. A window of 13 words is duplicate if a row with a smaller doc_id has
     it; all is judged on the input. ``kept`` is the text itself where nothing goes, else the kept words joined by one
     space. Null texts have no words (and stay null); rows with a null id neither lose words nor count as earlier; rows
-    with equal ids don't count as earlier for one another, and are told apart by the 64-bit hash of their text; an empty
-    table gives no rows; other columns are ignored, whatever their names.
+    with equal ids don't count as earlier for one another, and each loses its own words; an empty table gives no rows;
+    other columns are ignored, whatever their names.
     """
-    rows = _digested(docs, id_col, text_col)
+    rows = _own(docs, id_col, text_col)
     return _lined(docs, find_factors(rows, hash_bits), rows).mapInArrow(_cut(want_text), _TEXT)
 
 
@@ -451,18 +468,18 @@ def factors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
         def listed() -> pa.RecordBatch:
             f = parse(blobs)
-            cols = (np.full(len(f), key[0] if blobs else 0), f["start"], f["count"].astype(np.int64) + WINDOW - 1, f["source"], f["source_start"])
+            cols = (np.full(len(f), key or 0), f["start"], f["count"].astype(np.int64) + WINDOW - 1, f["source"], f["source_start"])
             return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, np.int64)) for c in cols], ["doc_id", "start", "n_words", "source_id", "source_start"])
 
         for batch in batches:
-            for doc, digest, blob in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if (doc, digest) != key:
+            for doc, blob in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                if doc != key:
                     yield listed()
-                    key, blobs = (doc, digest), []
+                    key, blobs = doc, []
                 blobs.append(blob)
         yield listed()
 
-    found = find_factors(_digested(docs, id_col, text_col)).repartition(_partitions(docs), "doc", "digest").sortWithinPartitions("doc", "digest")
+    found = find_factors(_own(docs, id_col, text_col)).repartition(_partitions(docs), "doc").sortWithinPartitions("doc")
     return found.mapInArrow(run, "doc_id long, start long, n_words long, source_id long, source_start long")
 
 
@@ -474,7 +491,7 @@ def rewrite(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cha
     """
     others = [c for c in docs.columns if c not in (id_col, text_col)]
     rest = F.struct(F.lit(1).alias("row"), *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(others)])
-    rows = _digested(docs, id_col, text_col, rest.alias("rest"))
+    rows = _own(docs, id_col, text_col, rest.alias("rest"))
     together = _lined(docs, find_factors(rows), rows, "rest")
     schema = together.select(F.col("doc").alias("doc_id"), "text", "rest").schema
     out = together.mapInArrow(_replace, schema)
@@ -489,17 +506,17 @@ def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, blobs = None, []
     for batch in batches:
         stay, left = [], []
-        for i, (doc, digest, blob, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)))):
-            if (doc, digest) != key:
-                key, blobs = (doc, digest), []
+        for i, (doc, blob, text) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)))):
+            if doc != key:
+                key, blobs = doc, []
             if blob is not None:
                 blobs.append(blob)
                 continue
             if blobs and doc is not None and text:
                 own = text.encode().split()
-                gone = covered(len(own), parse(blobs))
+                gone = covered(len(own), parse(blobs, own))
                 text = b" ".join([w for w, g in zip(own, gone.tolist()) if not g]).decode()
             stay.append(i)
             left.append(text)
         rows = batch.take(pa.array(stay, pa.int64()))
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(left, pa.string()), rows.column(4)], ["doc_id", "text", "rest"])
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(left, pa.string()), rows.column(3)], ["doc_id", "text", "rest"])

@@ -454,6 +454,58 @@ def test_decontamination(spark, docs, none, monkeypatch, pass_bytes):
     assert decontam.find(none, tests).count() == 0 and decontam.find(docs, tests.limit(0)).where(F.size("items") > 0).count() == 0
 
 
+def test_one_index_serves_every_benchmark(spark, docs, monkeypatch):
+    monkeypatch.setattr(decontam, "PASS_BYTES", 4000)
+    text = dict((i, t) for i, t in ROWS if i is not None)
+    index = decontam.build_index(docs)
+    monkeypatch.setattr(decontam, "build_index", None)  # is not built again
+    for items in ([(1, text[9]), (2, text[40])], [(3, " ".join(text[i] for i in range(60))), (4, text[126])]):
+        tests = spark.createDataFrame(items, "item_id long, text string")
+        rows = decontam.find(docs, tests, index=index).select("doc_id", "n_words", decontam.hit_words().alias("n"), "items").collect()
+        assert Counter((r.doc_id, r.n_words, r.n, tuple(r.items)) for r in rows) == brute_hits(ROWS, items)
+
+
+def test_clashing_names_and_ids_of_any_type(spark):
+    passage = " ".join(f"w{i}" for i in range(12))
+    rows = [("a", passage, 1, 2, 3, 4), (None, f"x {passage}", 1, 2, 3, 4), ("b", "clean", 1, 2, 3, 4), (None, None, 1, 2, 3, 4)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, bad_doc int, bad_key int, __doc int, __key int")
+    out = decontam.drop_contaminated(df, spark.createDataFrame([(1, passage)], "item_id int, text string"))
+    assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(map(str, df.where("text IS NULL OR text = 'clean'").collect()))
+
+
+@pytest.mark.parametrize("tries,slop", [(1, 0), (50, 0), (1 << 20, 0), (40, 2)])
+def test_matches_in_small_lots(monkeypatch, tries, slop):
+    monkeypatch.setattr(decontam, "TRIES", tries)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choices("abc", k=rng.randint(0, 60))) for _ in range(40)]
+    items = [(str(i), " ".join(rng.choices("abcd", k=rng.choice([1, 3, 10, 14]))).encode()) for i in range(30)] + [("z", b"")]
+    windows = decontam.Windows(items)
+    row = decontam._block([*range(40)], decontam.pa.int64(), [0] * 40, [t.encode() for t in texts]).to_pylist()[0]
+    block = decontam.Block(row, windows)
+    which, where = decontam.matches(block, windows, slop)
+    want = set()
+    for d, t in enumerate(texts):
+        w = t.encode().split()
+        names = {v: k for k, v in windows.terms.items()}
+        for k, r in enumerate(windows.matrix.tolist()):
+            own = [names[x] for x in r if x >= 0]
+            for a in range(-slop, len(w) + slop):
+                if all(any(0 <= a + j + s < len(w) and w[a + j + s] == x for s in range(-slop, slop + 1)) for j, x in enumerate(own)):
+                    want.add((k, int(block.base[d]) + a))
+    assert len(which) == len(set(zip(which.tolist(), where.tolist()))) and set(zip(which.tolist(), where.tolist())) == want
+
+
+def test_long_items_are_cut_into_parts(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "PASS_BYTES", 500)
+    rng = random.Random(7)
+    long = " ".join(f"t{rng.randint(0, 10**6)}" for _ in range(9000))
+    own = long.split()
+    df = spark.createDataFrame([(i, " ".join(own[a : a + 10])) for i, a in enumerate([0, 4090, 4095, 4096, 4100, 8191, 8192, 8990])] + [(99, " ".join(own[5:14]))], "doc_id long, text string")
+    tests = spark.createDataFrame([(1, long)], "item_id long, text string")
+    monkeypatch.setattr(decontam, "PASS_BYTES", 40_000)
+    assert sorted(r.doc_id for r in decontam.find(df, tests).where(F.size("items") > 0).collect()) == [*range(8)]
+
+
 def test_proximity(spark):
     df = spark.createDataFrame([(1, "one two extra three four"), (2, "one two three four"), (3, "four three two one"), (4, "one x y z two three four")], "doc_id long, text string")
     tests = spark.createDataFrame([(1, "one two three four")], "item_id long, text string")

@@ -389,11 +389,30 @@ def test_counts_equal_the_library(spark, library, none, monkeypatch):
     assert [got[i].n_tokens for i in range(len(texts))] == [len(x) for x in library(texts)] and (got[None].n_tokens, got[None].n_bytes) == (0, 0)
     assert [got[i].n_bytes for i in range(len(texts))] == [len(t.encode()) for t in texts]
     assert tokencount.count_tokens(none, tokenizer_file()).count() == 0
+    counter = tokencount.Counter(tokenizer_file())
+    assert counter.split
+    monkeypatch.setattr(tokencount, "SPAN", 40)
+    monkeypatch.setattr(tokencount, "CALL", 100)
+    assert counter.counts(texts, [len(t.encode()) for t in texts]) == [len(x) for x in library(texts)]
     for text in texts[:300] + texts[-40:]:
         parts = list(tokencount.spans(text, 7))
         assert "".join(parts) == text and sum(map(len, library(parts))) == len(library([text])[0])
 
 
+def test_counts_under_other_files(spark):
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    texts = [t for t in odd_texts() if "\x00" not in t] + ["lower CASE words  here " * 30_000]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    words = Tokenizer.from_file(tokenizer_file("word_bpe_49k.json"))
+    words.no_truncation()
+    for name, want in (("piece_bpe_32k.model", [len(x) for x in model.encode(texts)]), ("word_bpe_49k.json", [len(e) for e in words.encode_batch(texts, add_special_tokens=False)])):
+        got = {r.doc_id: r.n_tokens for r in tokencount.count_tokens(df, tokenizer_file(name)).collect()}
+        assert [got[i] for i in range(len(texts))] == want
+
+
 def test_encoder_equals_the_library_and_round_trips(spark, library, none):
     texts = odd_texts()
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)] + [(None, None, 1)], "doc_id long, text string, ids int")

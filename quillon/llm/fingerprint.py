@@ -67,34 +67,47 @@ def _part(key: Column, bounds: list[int]) -> Column:
 def _followed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """part, rn, ghost, doc_id, text, next_text: rows in descending id within parts, each with the following row's text.
 
-    Parts are ranges of ids, bounded by approximate quantiles of the whole id column (as many as shuffle partitions), so
-    no task sees more than a part. The first row of each part is also sent, as a ghost, to the end of the part before
-    it; the very first ends the very last part.
+    Parts are ranges of ids, bounded by approximate quantiles of the whole id column, one per shuffle partition or input
+    split, whichever are more, so no task sees more than a part. An id that takes several quantiles (null ids count as
+    one) is dealt to as many parts of its own, ranges of the text's hash. The first row of each part is also sent, as a
+    ghost, to the end of the part before it; the very first ends the very last part.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))).withColumn("h", F.xxhash64("text"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
     marks = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []
-    rows = rows.withColumn("part", _part(F.col("key"), sorted(set(marks))))
+    often = {k: marks.count(k) for k in set(marks) if marks.count(k) > 1}
+    part = F.lit(n) - _part(F.col("key"), sorted(set(marks)))  # ascending as ids descend
+    rows = rows.withColumn("part", part.cast("long") * (n + 1) + _share(F.col("key"), F.col("h"), often))
     heads = rows.groupBy("part").agg(F.max("key").alias("head"))  # a row per part
-    around = Window.orderBy(F.col("part").desc())  # over as many rows as there are parts
+    first = rows.join(F.broadcast(heads), "part").where("key = head").groupBy("part", "head").agg(F.min("h").alias("h0"))
+    around = Window.orderBy("part")  # over as many rows as there are parts
     whole = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = heads.select(F.col("part").alias("of"), "head", F.coalesce(F.lag("part").over(around), F.last("part").over(whole)).alias("to"))
-    ghosts = rows.join(F.broadcast(before), (F.col("part") == F.col("of")) & (F.col("key") == F.col("head")))
-    first = Window.partitionBy("of").orderBy(F.xxhash64("text"))
-    ghosts = ghosts.withColumn("k", F.row_number().over(first)).where("k = 1").select("doc_id", "text", "key", F.col("to").alias("part"), F.lit(1).alias("ghost"))
-    order = Window.partitionBy("part").orderBy("ghost", F.col("key").desc(), F.xxhash64("text"))
+    before = first.select(F.col("part").alias("of"), "head", "h0", F.coalesce(F.lag("part").over(around), F.last("part").over(whole)).alias("to"))
+    ghosts = rows.join(F.broadcast(before), (F.col("part") == F.col("of")) & (F.col("key") == F.col("head")) & (F.col("h") == F.col("h0")))
+    one = F.row_number().over(Window.partitionBy("of").orderBy("h"))  # of equal rows
+    ghosts = ghosts.withColumn("k", one).where("k = 1").select("doc_id", "text", "key", "h", F.col("to").alias("part"), F.lit(1).alias("ghost"))
+    order = Window.partitionBy("part").orderBy("ghost", F.col("key").desc(), "h")
     lined = rows.withColumn("ghost", F.lit(0)).unionByName(ghosts)
     return lined.select("part", F.row_number().over(order).alias("rn"), "ghost", "doc_id", "text", F.coalesce(F.lead("text").over(order), F.lit("")).alias("next_text"))
 
 
+def _share(key: Column, h: Column, often: dict[int, int]) -> Column:
+    """0, or for an id with several quantiles the number (from 1, as the hash ascends) of its own part."""
+    if not often:
+        return F.lit(0)
+    times = F.element_at(F.create_map(*[F.lit(x) for k, m in sorted(often.items()) for x in (k, m)]), key)
+    high = F.shiftrightunsigned(h.bitwiseXOR(F.lit(_LEAST)), 40)
+    return F.coalesce(F.floor(high * times / F.lit(float(1 << 24))) + 1, F.lit(0)).cast("int")
+
+
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint of every text, of its edited text, and their likenesses.
 
     The edited text has the last third of the code points replaced by the first as many (or all) of the next row's text;
-    rows go by descending id, equal ids by text hash, null ids last, and the last row is followed by the first. Null
-    texts count as empty; a lone row follows itself; repeated rows have equal fingerprints; an empty table gives no
+    rows go by descending id, equal ids by text hash, null ids last, and the last row is followed by the first. An id
+    that takes several parts comes after those of the part that it ends. Null texts count as empty; a lone row follows itself; repeated rows have equal fingerprints; an empty table gives no
     rows; other columns are ignored.
 
     Plan: one shuffle of the texts, by part; look-ahead, word votes and the pivot all keep that distribution.

@@ -160,6 +160,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if last:
             yield from complete(bucket[:last], role[:last], fp[:last])
         bucket, role, fp = bucket[last:], role[last:], fp[last:]
+        if role[0] != 0 and open_bucket != bucket[0]:  # visitors alone: one row tells as much
+            bucket, role, fp = bucket[:1], role[:1], fp[:1]
         if len(bucket) > 2 * BLOCK and (role[0] == 0 or open_bucket == bucket[0]):
             yield from blocks(int(bucket[0]), fp[: len(fp) // BLOCK * BLOCK])
             part = len(fp) // BLOCK * BLOCK
@@ -188,21 +190,53 @@ def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from links()
 
 
+#: Bits of a fingerprint's first segment's rest, and the widths of the second level's segments in it.
+FINE = (15, 14, 14)
+
+
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of long buckets dealt anew: the same tables over the bits that the bucket leaves open."""
+    for batch in batches:
+        for bucket, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            fps = np.unique(np.frombuffer(payload, np.uint64))
+            lo, width = SEGMENTS[bucket >> 60]
+            low = fps & np.uint64((1 << lo) - 1)
+            rest = low | (fps >> np.uint64(lo + width) << np.uint64(lo))
+            at = 0
+            for k, wide in enumerate(FINE):
+                key = (rest >> np.uint64(at) & np.uint64((1 << wide) - 1)).astype(np.int64)
+                at += wide
+                tag = (bucket >> 60 << 60) | (bucket & ((1 << 22) - 1)) << 24 | k << 20
+                found, role, who = [key | tag], [np.zeros(len(key), np.int32)], [fps]
+                for bit in range(wide):
+                    has = key >> bit & 1 == 1
+                    found.append(key[has] & ~(1 << bit) | tag)
+                    role.append(np.ones(int(has.sum()), np.int32))
+                    who.append(fps[has])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found)), pa.array(np.concatenate(role)), pa.array(np.concatenate(who).view(np.int64))], ["bucket", "role", "fp"])
+
+
 def links(fps: DataFrame) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints ``fp`` exactly as all pairs within RADIUS would.
 
-    Buckets hold distinct fingerprints, so exact copies can't make one hot; what near copies put into one bucket is
-    compared in blocks spread over tasks, and each comparison returns a forest, not the pairs.
+    Buckets hold distinct fingerprints, so exact copies can't make one hot. A bucket that near copies, or sheer numbers,
+    make long is dealt anew by the same method over the bits that it leaves open (three segments, balls of radius 1);
+    what stays long then is compared in pairs of blocks spread over tasks. Each comparison returns a forest, not pairs.
     """
     prepare(fps.sparkSession)
     table = probes(fps).repartition("bucket").sortWithinPartitions("bucket", "role")
     found = materialize(table.mapInArrow(_verify, _LINKS), "simhash-links")
+    out = found.where("payload IS NULL").select("a", "b")
+    if found.where("payload IS NOT NULL").isEmpty():
+        return out
+    finer = found.where("payload IS NOT NULL").select("bucket", "payload").mapInArrow(_finer, "bucket long, role int, fp long").distinct()
+    found = materialize(finer.repartition("bucket").sortWithinPartitions("bucket", "role").mapInArrow(_verify, _LINKS), "simhash-finer-links")
     parts = found.where("payload IS NOT NULL").select("bucket", "blk", "payload")
     total = parts.groupBy("bucket").agg(F.count(F.lit(1)).cast("int").alias("n"))
     meet = parts.join(total, "bucket").withColumn("other", F.explode(F.expr("sequence(0, n - 1)")))
     meet = meet.where("other <> blk OR n = 1").select("bucket", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"), "payload")
     pairs = meet.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi").mapInArrow(_block_pairs, "a long, b long")
-    return found.where("payload IS NULL").select("a", "b").union(pairs)
+    return out.union(found.where("payload IS NULL").select("a", "b")).union(pairs)
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -161,6 +161,26 @@ def test_fingerprints(spark, docs, none):
     assert alone.edited_sha256 == h("abcdef " + "abc") and alone.near_next == 1.0
 
 
+@pytest.mark.parametrize("hot", [None, 7])
+def test_an_id_that_many_rows_have_is_split(spark, hot):
+    rows = [(hot, f"{i:04d} {'abc ' * 6}") for i in range(300)] + [(1000 + i, f"{300 + i:04d} {'abc ' * 6}") for i in range(60)] + [(i - 60, f"{360 + i:04d} {'abc ' * 6}") for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    lined = fingerprint._followed(df, "doc_id", "text").where("ghost = 0").collect()
+    after = {r.text: r.next_text for r in lined}
+    ids = {t: i for i, t in rows}
+    assert len(after) == len(rows) and set(after.values()) == set(ids)
+    at = max((i, t) for i, t in rows if i is not None)[1]
+    seen = []
+    for _ in rows:
+        seen.append(ids[at])
+        at = after[at]
+    assert len(set(after)) == 380 and at == max((i, t) for i, t in rows if i is not None)[1]
+    known = [i for i in seen if i is not None]
+    assert known == sorted(known, reverse=True) and (hot is not None or seen[-300:] == [None] * 300)
+    sizes = Counter(r.part for r in lined)
+    assert max(sizes.values()) < 200
+
+
 def test_simhash_votes(spark):
     text = "the The quick brown brown fox a"
     words = Counter(text.lower().split())
@@ -266,6 +286,34 @@ def test_long_buckets_are_compared_in_blocks(spark, monkeypatch, extra):
     assert roots(len(fps), found) == roots(len(fps), want)
 
 
+@pytest.mark.parametrize("segment", [0, 1, 2])
+def test_long_buckets_are_dealt_anew(monkeypatch, segment):
+    import pyarrow as pa
+
+    rng = random.Random(segment)
+    lo, width = neardup.SEGMENTS[segment]
+    mask = ((1 << width) - 1) << lo
+    centre = rng.getrandbits(64)
+    flip = lambda x, k, bits: x ^ sum(1 << b for b in rng.sample(bits, k))
+    free = [b for b in range(64) if not mask >> b & 1]
+    fps = {flip(centre, rng.randint(0, 12), free) for _ in range(300)}
+    fps = np.array(sorted(fps | {flip(x, rng.randint(1, 4), free) for x in list(fps)[:200]}), np.uint64)
+    bucket = segment << 60 | (centre >> lo & ((1 << width) - 1))
+
+    def sorted_rows(batches):
+        rows = sorted({(r["bucket"], r["role"], r["fp"]) for b in batches for r in b.to_pylist()})
+        cols = list(zip(*rows))
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64())], ["bucket", "role", "fp"])
+
+    payload = [pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([p.tobytes()], pa.binary())], ["bucket", "payload"]) for p in np.array_split(fps, 5)]
+    out = [r for b in neardup._verify(iter([sorted_rows(neardup._finer(iter(payload)))])) for r in b.to_pylist()]
+    assert not [r for r in out if r["payload"]]
+    place = {int(f): i for i, f in enumerate(fps)}
+    found = [(place[r["a"] % 2**64], place[r["b"] % 2**64]) for r in out]
+    want = [(i, j) for i in range(len(fps)) for j in range(i) if bin(int(fps[i] ^ fps[j])).count("1") <= 4]
+    assert len(want) > 100 and roots(len(fps), found) == roots(len(fps), want)
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(50)] + [(7, 7), (None, 3), (200, 201), (201, 200)]

@@ -13,10 +13,12 @@ from quillon.llm.arrow import prepare, texts
 
 #: Dimensions of a hypervector, letters of an n-gram, seed of the random letter vectors.
 DIMS, GRAM, SEED = 512, 3, 20240607
-#: Texts are read in windows of so many characters (overlapping by GRAM - 1), counts are summed over all of them.
+#: Texts are read in windows of so many characters, n-grams run on from one to the next.
 WINDOW = 1 << 20
 #: Count tables and vector tables are flushed or rebuilt beyond so many entries.
 TABLE = 40_000
+#: Labelled rows from which the score is taken below which a text is rejected, at most.
+REJECT_ROWS = 4000
 SPACE = 32
 
 
@@ -63,30 +65,23 @@ def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
     """
     found, counts = [], []
     text = text.lower()
-    step = WINDOW - GRAM + 1
-    for at in range(0, max(1, len(text)), step):
-        part = text[at : at + WINDOW]
-        points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+    tail, before = np.full(1, SPACE, np.uint64), False  # what the next window goes on from
+    for at in range(0, len(text), WINDOW):
+        points = np.frombuffer(text[at : at + WINDOW].encode("utf-32-le", "surrogatepass"), np.uint32)
         letter = _classes()[points]
-        if not letter.any():
-            continue
-        points = np.where(letter, points, SPACE).astype(np.uint64)
-        keep = np.ones(len(points), bool)
-        keep[1:] = letter[1:] | letter[:-1]
-        seq = points[keep]
-        edge = np.full(1, SPACE, np.uint64)
-        if at == 0 and seq[0] != SPACE:
-            seq = np.concatenate([edge, seq])
-        if at + WINDOW >= len(text) and seq[-1] != SPACE:
-            seq = np.concatenate([seq, edge])
-        if len(seq) < GRAM:
-            continue
-        codes = (seq[:-2] << np.uint64(42)) | (seq[1:-1] << np.uint64(21)) | seq[2:]
-        u, c = np.unique(codes, return_counts=True)
-        found.append(u)
-        counts.append(c)
-        if at + WINDOW >= len(text):
-            break
+        keep = letter.copy()
+        keep[0] |= before
+        keep[1:] |= letter[:-1]
+        before = bool(letter[-1])
+        seq = np.concatenate([tail, np.where(letter, points, SPACE).astype(np.uint64)[keep]])
+        if at + WINDOW >= len(text) and before:
+            seq = np.append(seq, np.uint64(SPACE))
+        tail = seq[-2:]
+        if len(seq) >= GRAM:
+            codes = (seq[:-2] << np.uint64(42)) | (seq[1:-1] << np.uint64(21)) | seq[2:]
+            u, c = np.unique(codes, return_counts=True)
+            found.append(u)
+            counts.append(c)
     if not found:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     if len(found) == 1:
@@ -208,7 +203,7 @@ def _judged(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str, k
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "__lang_pred", "__score"])
 
-    own = docs.select(*[F.col(c).alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("__text"))
+    own = docs.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("__text"))
     return own.mapInArrow(judge, own.drop("__text").schema.add("__lang_pred", "string").add("__score", "double"))
 
 
@@ -222,9 +217,22 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     return out.select(F.col("__k0").alias("doc_id"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
 
 
+def rejection(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limit: int = REJECT_ROWS) -> float:
+    """The score below which a text is in none of the languages: half of what all but a hundredth of labelled texts reach.
+
+    Judged are the ``limit`` labelled rows with the smallest hash of id and text, by the cosine with the language that
+    they win. Rows with a null text, language or id don't count; no labelled row, no prototypes: 0, nothing is rejected.
+    """
+    labelled = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    chosen = labelled.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(limit)
+    scores = predict(chosen, prototypes).where("lang_pred <> 'und'")
+    return 0.5 * (scores.agg(F.percentile("score", F.lit(0.01))).first()[0] or 0.0)
+
+
 def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` that have a language (and a score of ``least`` at least), all columns as they are.
+    """The rows of ``docs`` that have a language, with a score of ``least`` at least; all columns as they are, whatever their names.
 
+    Null texts and texts without a letter have none, and go; repeated rows are judged alike; an empty table stays empty.
     Without prototypes no row can be judged, and all stay.
     """
     if not prototypes:

@@ -1,4 +1,4 @@
-"""Quality classifier: random-indexing word vectors, pooled per document, under a two-layer network in numpy."""
+"""Quality classifier: random-indexing word vectors of the whole corpus, pooled per document, under a two-layer network in numpy."""
 
 from __future__ import annotations
 
@@ -9,11 +9,11 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.arrow import prepare, texts
-from quillon.llm.store import materialize
+from quillon.llm.store import drop, materialize
 from quillon.llm.tokencount import trimmed
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hash of their id.
@@ -151,32 +151,47 @@ def train(features: np.ndarray, labels: np.ndarray, vectors: np.ndarray, epochs:
     return net
 
 
+_SUMS = "slot int, sums binary"
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, any_row = np.zeros((SLOTS, DIMS)), False
+    """A task's context sums, one row for each slot that it has."""
+    total = np.zeros((SLOTS, DIMS))
     for batch in batches:
         total += context_sums([slots(t) for t in texts(batch)])
-        any_row = True
-    if any_row:
-        used = np.flatnonzero(np.abs(total).sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([r.tobytes() for r in total[used].astype(np.float32)], pa.binary())], ["slot", "sums"])
+    used = np.flatnonzero(np.abs(total).sum(1))
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array([r.tobytes() for r in total[used]], pa.binary())], ["slot", "sums"])
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of some slots, each added up: whole numbers, so their order doesn't matter."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for slot, sums in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            total[slot] = total.get(slot, 0.0) + np.frombuffer(sums, np.float64)
+    yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["slot", "sums"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = FIT_ROWS) -> Network:
-    """Fit on the labelled rows of ``docs`` with the ``limit`` smallest id hashes; everything about the model has a fixed size.
+    """Word contexts of all documents, and a network fitted on the labelled rows with the ``limit`` smallest id hashes.
 
-    Labels: the largest of an id's non-null labels; rows without one, and ids that are null, are passed over. Word
-    contexts are summed on the executors (eight partial tables of SLOTS rows at most reach the driver), features are
-    pooled there too, and the driver trains on ``limit`` short rows.
+    Labels: the largest of an id's non-null labels; rows without one, and ids that are null, are passed over. Of rows
+    with one id, the text with the smallest hash is the labelled one. Everything about the model has a fixed size: word
+    contexts are summed on the executors (SLOTS rows reach the driver), features are pooled there too, and the driver
+    trains on ``limit`` short rows.
     """
     spark = docs.sparkSession
     prepare(spark)
     named = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("k IS NOT NULL AND y IS NOT NULL")
     chosen = named.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(limit)
     sample = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "k")
-    sample = materialize(sample.dropDuplicates(["k"]).repartition(8).select("k", "text", "y"), "quality-sample")
+    first = Window.partitionBy("k").orderBy(F.xxhash64("text"), "text")
+    sample = sample.withColumn("n", F.row_number().over(first)).where("n = 1").repartition(8).select("k", "text", "y")
+    sample = materialize(sample, "quality-sample")
     sums = np.zeros((SLOTS, DIMS))
-    for row in sample.select("text").repartition(8).mapInArrow(_contexts, "slot int, sums binary").toPandas().itertuples(index=False):
-        sums[row.slot] += np.frombuffer(row.sums, np.float32)
+    every = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_contexts, _SUMS).repartition(8, "slot").mapInArrow(_summed, _SUMS)
+    for row in every.toPandas().itertuples(index=False):
+        sums[row.slot] = np.frombuffer(row.sums, np.float64)
     vectors = word_vectors(sums)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,11 +201,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     rows = sample.mapInArrow(features, sample.select("k", "y").schema.add("f", "binary")).toPandas().sort_values("k")
     table = np.stack([np.frombuffer(f, np.float64) for f in rows["f"]]) if len(rows) else np.zeros((0, FEATURES))
+    drop(sample)
     return train(table, rows["y"].to_numpy(np.int64), vectors)
 
 
 def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and score (0 to 1: how likely label 1 is) of every whole text; null counts as empty and is scored too."""
+    """doc_id and score (0 to 1: how likely label 1 is) of every whole text; null counts as empty and is scored too.
+
+    Repeated rows have equal scores, ties in score stay ties; an empty table gives no rows; other columns are ignored.
+    """
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -85,6 +85,22 @@ def test_differencing_two_way_is_the_textbook_one():
     assert len(sharding.differencing(np.zeros(0, np.int64), 3)) == 0
 
 
+@pytest.mark.parametrize("k,n", [(2, 9), (3, 40), (5, 7), (40, 200), (7, 3), (1, 4)])
+def test_differencing_by_brute_force(k, n):
+    """The same largest-difference rule on lists of lists: equal shard sums."""
+    loads = random.Random(100 * k + n).sample(range(1, 100_000), n)
+    parts = [(x, i, [[x]] + [[] for _ in range(k - 1)]) for i, x in enumerate(loads)]  # spread, age, fullest part first
+    age = n
+    while len(parts) > 1:
+        parts.sort(key=lambda p: (-p[0], p[1]))
+        (_, _, a), (_, _, b) = parts.pop(0), parts.pop(0)
+        joint = sorted((x + y for x, y in zip(a, reversed(b))), key=lambda x: -sum(x))
+        parts.append((sum(joint[0]) - sum(joint[-1]), age, joint))
+        age += 1
+    out = sharding.differencing(np.array(loads), k)
+    assert sorted(np.bincount(out, loads, k).astype(int).tolist()) == sorted(map(sum, parts[0][2]))
+
+
 @pytest.mark.parametrize("k", [2, 3, 40])
 def test_differencing_balances(k):
     loads = np.random.default_rng(k).integers(1, 5000, 3000)
@@ -127,12 +143,49 @@ def test_profiles_are_sums_of_bound_vectors():
     assert (langid.bundle(codes, counts) == v).all()
 
 
-def test_long_text_in_windows(monkeypatch):
-    text = "ab cd ef " * 300
-    whole = langid.grams(text)
-    monkeypatch.setattr(langid, "WINDOW", 100)
-    parts = langid.grams(text)
-    assert abs(whole[1].sum() - parts[1].sum()) <= 2 * len(text) // 98 and set(whole[0]) <= set(parts[0])
+def brute_grams(text):
+    line = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+    line = " ".join(line.split())
+    line = f" {line} " if line else ""
+    code = lambda g: sum(ord(c) << k for c, k in zip(g, (42, 21, 0)))
+    return Counter(code(line[i : i + 3]) for i in range(len(line) - 2))
+
+
+@pytest.mark.parametrize("window", [1, 2, 3, 7, 100, 1 << 20])
+def test_long_text_in_windows(monkeypatch, window):
+    monkeypatch.setattr(langid, "WINDOW", window)
+    for text in ["ab cd ef " * 30, "  a1b--c d", "", "...", "x", "éß日本 --- Ω" * 9, " " * 250 + "end", "ab" + "." * 210 + "cd"]:
+        u, c = langid.grams(text)
+        assert dict(zip(u.tolist(), c.tolist())) == brute_grams(text)
+
+
+def test_language_by_brute_force(spark):
+    rng = random.Random(31)
+    words = {"aa": vocabulary(41), "bb": vocabulary(42)}
+    rows = [(i, " ".join(rng.choices(words[lang], k=rng.choice([1, 9, 50]))), lang) for i, lang in enumerate(["aa", "bb"] * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    vector = lambda grams: sum(n * np.prod([np.roll(langid._letter_vector(g >> k & 0x1FFFFF).astype(int), t) for k, t in ((42, 2), (21, 1), (0, 0))], axis=0) for g, n in grams.items())
+    bundles = {lang: vector(sum((brute_grams(t) for _, t, x in rows if x == lang), Counter())) for lang in words}
+    fitted = langid.fit(df)
+    assert all((fitted[lang] == bundles[lang]).all() for lang in words)
+    for r in langid.predict(df, fitted).collect():
+        v = vector(brute_grams(dict((i, t) for i, t, _ in rows)[r.doc_id]))
+        cosines = {lang: b @ v / np.linalg.norm(b) / np.linalg.norm(v) for lang, b in bundles.items()}
+        assert cosines[r.lang_pred] == pytest.approx(max(cosines.values())) and r.score == pytest.approx(max(0, cosines[r.lang_pred]))
+
+
+def test_rejection(spark, none):
+    words = vocabulary(51)
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(words, k=40)), "aa") for i in range(60)]
+    df = spark.createDataFrame([*rows, (100, "жщю " * 30, None), (101, None, "aa"), (102, "...", "aa"), (None, "x", "aa")], "doc_id long, text string, lang string")
+    p = langid.fit(df)
+    least = langid.rejection(df, p)
+    got = {r.doc_id: r.score for r in langid.predict(df, p).collect()}
+    own = sorted([got[i] for i in range(60)])
+    assert least == pytest.approx(0.5 * (own[0] + 0.59 * (own[1] - own[0]))) and got[100] < least
+    assert sorted(r.doc_id for r in langid.keep_known(df, p, least=least).where("doc_id IS NOT NULL").collect()) == [*range(60)]
+    assert langid.rejection(none, p) == 0 and langid.rejection(df.where("lang IS NULL"), p) == 0
 
 
 # -- 3 fingerprints
@@ -693,5 +746,55 @@ def test_quality(spark, none):
     assert all(0 <= s <= 1 for s in got.values()) and {900, 901} <= set(got)
     held = [(got[i], y) for i, _, y in rows if i % 5 == 0]
     assert np.mean([(s >= 0.3) == y for s, y in held]) > 0.95
+    assert {r.doc_id: r.score for r in quality.score(df.repartition(7), quality.fit(df.repartition(3), labels)).collect()} == pytest.approx(got, abs=1e-9)
     flat = quality.fit(none.select("doc_id", "text"), labels.limit(0))
     assert {round(r.score, 9) for r in quality.score(df, flat).collect()} == {0.5} and quality.score(none, net).count() == 0
+
+
+def test_quality_features_by_brute_force(spark):
+    rng = random.Random(13)
+    texts = [" ".join(rng.choices(vocabulary(61, 30) + ["ABC", "!!", "x1"], k=rng.choice([0, 1, 2, 5, 40]))) for _ in range(30)]
+    places, signs = quality.index_vectors()
+    own = np.zeros((quality.SLOTS, quality.DIMS))
+    for s in range(quality.SLOTS):
+        own[s, places[s]] = signs[s]
+    sums = np.zeros_like(own)
+    seqs = [quality.slots(t).tolist() for t in texts]
+    for seq in seqs:
+        for i, a in enumerate(seq):
+            for j in range(max(0, i - 2), min(len(seq), i + 3)):
+                if j != i:
+                    sums[a] += own[seq[j]]
+    assert (quality.context_sums([quality.slots(t) for t in texts]) == sums).all()
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    net = quality.fit(docs, spark.createDataFrame([(i, i % 2) for i in range(30)], "doc_id long, quality int"))
+    vectors = np.where(np.abs(sums).sum(1, keepdims=True) > 0, sums, own)
+    vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+    assert np.allclose(net.vectors, vectors, atol=1e-6)
+    for seq in seqs:
+        got = quality.pool(np.array(seq, np.int32), net.vectors)
+        if not seq:
+            assert not got.any()
+            continue
+        rows = vectors[seq]
+        alike = [sum(float(rows[i] @ rows[i + k]) for i in range(len(seq) - k)) / len(seq) for k in (1, 2)]
+        want = np.concatenate([rows.mean(0), rows.std(0), [np.linalg.norm(rows.mean(0))], alike, [np.log1p(len(seq))]])
+        assert np.allclose(got, want, atol=1e-3)
+    raw = np.array([quality.pool(np.array(s, np.int32), net.vectors) for s in seqs])
+    hidden = np.tanh((raw - net.shift) / net.scale @ net.first + net.first_bias)
+    want = 1 / (1 + np.exp(-(hidden @ net.second + net.second_bias) / net.temperature))
+    got = {r.doc_id: r.score for r in quality.score(docs, net).collect()}
+    assert np.allclose([got[i] for i in range(30)], want)
+
+
+def test_temperature_has_the_least_loss_on_the_held_out_fifth():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, quality.FEATURES))
+    y = (x[:, 0] + rng.normal(size=200) > 0).astype(np.int64)
+    net = quality.train(x, y, np.zeros((1, 1)), epochs=20)
+    held = np.random.default_rng(quality.SEED)
+    held.normal(0, 1 / np.sqrt(quality.FEATURES), (quality.FEATURES, quality.HIDDEN))
+    fifth = held.permutation(200)[:40]
+    p = lambda t: 1 / (1 + np.exp(-net.logits(x[fifth]) / t))
+    loss = lambda t: -np.mean(np.log(np.where(y[fifth] == 1, p(t), 1 - p(t))))
+    assert loss(net.temperature) == pytest.approx(min(loss(t) for t in np.geomspace(0.25, 16, 49)))

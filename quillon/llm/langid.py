@@ -17,8 +17,9 @@ DIMS, GRAM, SEED = 512, 3, 20240607
 WINDOW = 1 << 20
 #: Count tables and vector tables are flushed or rebuilt beyond so many entries.
 TABLE = 40_000
-#: Labelled rows from which the score is taken below which a text is rejected, at most.
-REJECT_ROWS = 4000
+#: Labelled rows from which the score is taken below which a text is rejected, at most; n-grams of a text that can be
+#: rejected by it, at least: the cosines of shorter ones say little.
+REJECT_ROWS, REJECT_GRAMS = 4000, 100
 SPACE = 32
 
 
@@ -179,7 +180,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict
 
 
 def _judged(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str, keep: list[str]) -> DataFrame:
-    """The ``keep`` columns under the names __k0, __k1, ..., with __lang_pred and __score."""
+    """The ``keep`` columns under the names __k0, __k1, ..., with __lang_pred, __score and __n (n-grams)."""
     prepare(docs.sparkSession)
     names = list(prototypes)
     if names:
@@ -188,9 +189,10 @@ def _judged(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str, k
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = [], []
+            langs, scores, sizes = [], [], []
             for text in texts(batch, "__text"):
                 u, c = grams(text)
+                sizes.append(int(c.sum()))
                 if not len(u) or not names:
                     langs.append("und")
                     scores.append(0.0)
@@ -201,10 +203,10 @@ def _judged(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str, k
                 langs.append(names[best])
                 scores.append(float(min(1.0, max(0.0, cosines[best]))))
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[:-1], "__lang_pred", "__score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(sizes, pa.int64())], [*batch.schema.names[:-1], "__lang_pred", "__score", "__n"])
 
     own = docs.select(*[F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(keep)], F.col(text_col).cast("string").alias("__text"))
-    return own.mapInArrow(judge, own.drop("__text").schema.add("__lang_pred", "string").add("__score", "double"))
+    return own.mapInArrow(judge, own.drop("__text").schema.add("__lang_pred", "string").add("__score", "double").add("__n", "long"))
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,21 +223,22 @@ def rejection(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str =
     """The score below which a text is in none of the languages: half of what all but a hundredth of labelled texts reach.
 
     Judged are the ``limit`` labelled rows with the smallest hash of id and text, by the cosine with the language that
-    they win. Rows with a null text, language or id don't count; no labelled row, no prototypes: 0, nothing is rejected.
+    they win, those of REJECT_GRAMS at least. Rows with a null text, language or id don't count; no such row, no
+    prototypes: 0, nothing is rejected.
     """
     labelled = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     chosen = labelled.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(limit)
-    scores = predict(chosen, prototypes).where("lang_pred <> 'und'")
-    return 0.5 * (scores.agg(F.percentile("score", F.lit(0.01))).first()[0] or 0.0)
+    scores = _judged(chosen, prototypes, "text", ["doc_id"]).where((F.col("__lang_pred") != "und") & (F.col("__n") >= REJECT_GRAMS))
+    return 0.5 * (scores.agg(F.percentile("__score", F.lit(0.01))).first()[0] or 0.0)
 
 
 def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", least: float = 0.0) -> DataFrame:
     """The rows of ``docs`` that have a language, with a score of ``least`` at least; all columns as they are, whatever their names.
 
-    Null texts and texts without a letter have none, and go; repeated rows are judged alike; an empty table stays empty.
+    Null texts and texts without a letter have none, and go; texts under REJECT_GRAMS don't go by their score; repeated rows are judged alike; an empty table stays empty.
     Without prototypes no row can be judged, and all stay.
     """
     if not prototypes:
         return docs
-    out = _judged(docs, prototypes, text_col, docs.columns).where((F.col("__lang_pred") != "und") & (F.col("__score") >= least))
+    out = _judged(docs, prototypes, text_col, docs.columns).where((F.col("__lang_pred") != "und") & ((F.col("__score") >= least) | (F.col("__n") < REJECT_GRAMS)))
     return out.select(*[F.col(f"__k{i}").alias(c) for i, c in enumerate(docs.columns)])

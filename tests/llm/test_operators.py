@@ -178,13 +178,13 @@ def test_rejection(spark, none):
     words = vocabulary(51)
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choices(words, k=40)), "aa") for i in range(60)]
-    df = spark.createDataFrame([*rows, (100, "жщю " * 30, None), (101, None, "aa"), (102, "...", "aa"), (None, "x", "aa")], "doc_id long, text string, lang string")
+    df = spark.createDataFrame([*rows, (100, "жщю " * 30, None), (103, "жщю", None), (101, None, "aa"), (102, "...", "aa"), (None, "x", "aa")], "doc_id long, text string, lang string")
     p = langid.fit(df)
     least = langid.rejection(df, p)
     got = {r.doc_id: r.score for r in langid.predict(df, p).collect()}
     own = sorted([got[i] for i in range(60)])
     assert least == pytest.approx(0.5 * (own[0] + 0.59 * (own[1] - own[0]))) and got[100] < least
-    assert sorted(r.doc_id for r in langid.keep_known(df, p, least=least).where("doc_id IS NOT NULL").collect()) == [*range(60)]
+    assert sorted(r.doc_id for r in langid.keep_known(df, p, least=least).where("doc_id IS NOT NULL").collect()) == [*range(60), 103]
     assert langid.rejection(none, p) == 0 and langid.rejection(df.where("lang IS NULL"), p) == 0
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.arrow import prepare, texts
+from quillon.llm.sample import smallest_hashes
 
 #: Weights are learned from so many pages at most, and so many features of theirs, the commonest, are kept.
 FIT_PAGES, FEATURES = 4000, 20_000
@@ -315,7 +316,7 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", limit
     empty table: the prior alone.
     """
     prepare(pages.sparkSession)
-    chosen = pages.select(F.col(id_col).alias("k")).where("k IS NOT NULL").distinct().orderBy(F.xxhash64("k"), "k").limit(limit)
+    chosen = smallest_hashes(pages.select(F.col(id_col).alias("k")).where("k IS NOT NULL").distinct(), limit)
     sample = pages.select(F.col(id_col).alias("k"), F.col(html_col).cast("string").alias("html")).join(F.broadcast(chosen), "k").select("html")
     rows = sample.mapInArrow(_tally, "feature string, within long, beyond long").groupBy("feature").agg(F.sum("within").alias("within"), F.sum("beyond").alias("beyond"))
     return learn({r.feature: (r.within, r.beyond) for r in rows.orderBy(F.desc(F.col("within") + F.col("beyond")), "feature").limit(FEATURES).collect()})

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.arrow import prepare, texts
+from quillon.llm.sample import smallest_hashes
 
 #: Dimensions of a hypervector, letters of an n-gram, seed of the random letter vectors.
 DIMS, GRAM, SEED = 512, 3, 20240607
@@ -222,12 +223,15 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
 def rejection(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limit: int = REJECT_ROWS) -> float:
     """The score below which a text is in none of the languages: half of what all but a hundredth of labelled texts reach.
 
-    Judged are the ``limit`` labelled rows with the smallest hash of id and text, by the cosine with the language that
+    Judged are the ``limit`` labelled rows with the smallest hash of id and text (equal rows count each), by the cosine with the language that
     they win, those of REJECT_GRAMS at least. Rows with a null text, language or id don't count; no such row, no
     prototypes: 0, nothing is rejected.
     """
-    labelled = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    chosen = labelled.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(limit)
+    named = F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()
+    text = F.col(text_col).cast("string")
+    labelled = docs.where(named).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h0"), text.alias("text"))
+    keys = smallest_hashes(labelled.select("doc_id", "h0").distinct(), limit)
+    chosen = labelled.join(F.broadcast(keys), ["doc_id", "h0"])
     scores = _judged(chosen, prototypes, "text", ["doc_id"]).where((F.col("__lang_pred") != "und") & (F.col("__n") >= REJECT_GRAMS))
     return 0.5 * (scores.agg(F.percentile("__score", F.lit(0.01))).first()[0] or 0.0)
 

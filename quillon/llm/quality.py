@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillon.llm.arrow import prepare, texts
+from quillon.llm.sample import smallest_hashes
 from quillon.llm.store import drop, materialize
 from quillon.llm.tokencount import trimmed
 
@@ -183,7 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     spark = docs.sparkSession
     prepare(spark)
     named = labels.select(F.col(id_col).alias("k"), F.col(label_col).cast("int").alias("y")).where("k IS NOT NULL AND y IS NOT NULL")
-    chosen = named.groupBy("k").agg(F.max("y").alias("y")).orderBy(F.xxhash64("k"), "k").limit(limit)
+    graded = named.groupBy("k").agg(F.max("y").alias("y"))
+    chosen = graded.join(F.broadcast(smallest_hashes(graded.select("k"), limit)), "k")
     sample = docs.select(F.col(id_col).alias("k"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "k")
     first = Window.partitionBy("k").orderBy(F.xxhash64("text"), "text")
     sample = sample.withColumn("n", F.row_number().over(first)).where("n = 1").repartition(8).select("k", "text", "y")

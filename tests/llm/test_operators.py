@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, components, decontam, fingerprint, html, langid, neardup, quality, sharding, substr, tokencount
+from quillon.llm import bpe, components, decontam, fingerprint, html, langid, neardup, quality, sample, sharding, substr, tokencount
 from quillon.llm.queries import tokenizer_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, cell int, part int, shard int, fp long, __component string"
@@ -58,6 +58,14 @@ def none(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+@pytest.mark.parametrize("limit", [1, 7, 100, 3000])
+def test_smallest_hashes(spark, limit):
+    keys = spark.range(2000).selectExpr("id AS k", "CAST(id % 7 AS string) AS `a.b`").union(spark.createDataFrame([(None, None)], "k long, s string")).repartition(5)
+    want = keys.selectExpr("xxhash64(k, `a.b`) AS h", "k").orderBy("h", "k").limit(limit)
+    assert sorted(str(r.k) for r in sample.smallest_hashes(keys, limit).collect()) == sorted(str(r.k) for r in want.collect())
+    assert sample.smallest_hashes(keys.limit(0), limit).count() == 0
+
+
 # -- 1 sharding
 
 

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
-from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quillon.config import DEFAULTS
+from quillon.config import DEFAULTS, Settings
 
 # Kinds of feedback.
 FEEDBACK_KINDS = ("relevant", "irrelevant", "useful", "not_useful", "wrong_doc", "outdated", "duplicate", "bad_citation")
@@ -43,9 +42,13 @@ def latest_incomplete(batches: DataFrame) -> DataFrame:
 
 
 def first_in_batch(prepared: DataFrame) -> DataFrame:
-    """Rows with ``duplicate``: of equal doc_ids in a batch the first by path is taken, the others fail."""
-    order = Window.partitionBy("batch_id", "doc_id").orderBy("path")
-    return prepared.withColumn("duplicate", F.row_number().over(order) > 1)
+    """Rows with ``duplicate``: of equal doc_ids in a batch the first by path is taken, the others fail.
+
+    With a column ``ok``, only rows that are claim an id, and only they can be duplicates.
+    """
+    keys = ["batch_id", "doc_id", *(["ok"] if "ok" in prepared.columns else [])]
+    late = F.row_number().over(Window.partitionBy(*keys).orderBy("path")) > 1
+    return prepared.withColumn("duplicate", late & F.col("ok") if "ok" in prepared.columns else late)
 
 
 # -- ownership
@@ -134,20 +137,27 @@ def integrity(chunks: DataFrame, vectors: DataFrame, fts: DataFrame, documents:
     document_tags: doc_id, tag; runs: run_id, state, started_at. Unknown model data (null, '' or 0) is no mismatch.
     """
     row = lambda df, name, key: df.select(F.lit(name).alias("check_name"), F.col(key).cast("string").alias("key"))
-    repeated = lambda df: df.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     known = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("")).isin("", "0") == F.lit(False)
     lang = documents.where("language IS NOT NULL").select("doc_id", F.concat(F.lit("lang:"), F.lower("language")).alias("tag"))
+    marked = lambda df, key, name: df.select(key, F.lit(name).alias("store"))
+    # ids of three stores side by side, then of documents: one grouping each tells which have what
+    ids = marked(chunks, "chunk_id", "c").unionByName(marked(vectors, "chunk_id", "v")).unionByName(marked(fts, "chunk_id", "f"))
+    ids = ids.groupBy("chunk_id").agg(*[F.count_if(F.col("store") == k).alias(k) for k in "cvf"])
+    cases = [(F.col("v") * (F.col("c") == 0).cast("int"), "vector_without_chunk"), (F.col("c") * (F.col("v") == 0).cast("int"), "chunk_without_vector"), ((F.col("f") > 1).cast("int"), "duplicate_fts"), ((F.col("c") > 1).cast("int"), "duplicate_chunk")]
+    listed = F.flatten(F.array(*[F.array_repeat(F.lit(name), n.cast("int")) for n, name in cases]))
+    owners = marked(chunks, "doc_id", "c").unionByName(marked(documents, "doc_id", "d")).unionByName(marked(document_tags, "doc_id", "t"))
+    owners = owners.groupBy("doc_id").agg(*[F.count_if(F.col("store") == k).alias(k) for k in "cdt"])
+    alone = [(F.col("d") * (F.col("c") == 0).cast("int"), "document_without_chunks"), (((F.col("c") > 0) & (F.col("d") == 0)).cast("int"), "chunks_without_document"), (((F.col("t") > 0) & (F.col("d") == 0)).cast("int"), "tag_orphan")]
+    listed_owner = F.flatten(F.array(*[F.array_repeat(F.lit(name), n.cast("int")) for n, name in alone]))
+    wrong = F.array_compact(F.array(
+        F.when(~known("model_version"), "missing_model"), F.when(known("model_version") & (F.col("model_version") != model), "model_mismatch"),
+        F.when(known("embedding_dim") & (F.col("embedding_dim") != dim), "dim_mismatch"),
+    ))
+    each = lambda df, names, key: df.select(F.explode(names).alias("check_name"), F.col(key).cast("string").alias("key"))
     parts = [
-        row(vectors.join(chunks, "chunk_id", "left_anti"), "vector_without_chunk", "chunk_id"),
-        row(chunks.join(vectors, "chunk_id", "left_anti"), "chunk_without_vector", "chunk_id"),
-        row(repeated(fts), "duplicate_fts", "chunk_id"),
-        row(repeated(chunks), "duplicate_chunk", "chunk_id"),
-        row(chunks.where(~known("model_version")), "missing_model", "chunk_id"),
-        row(chunks.where(known("model_version") & (F.col("model_version") != model)), "model_mismatch", "chunk_id"),
-        row(chunks.where(known("embedding_dim") & (F.col("embedding_dim") != dim)), "dim_mismatch", "chunk_id"),
-        row(documents.join(chunks, "doc_id", "left_anti"), "document_without_chunks", "doc_id"),
-        row(chunks.select("doc_id").distinct().join(documents, "doc_id", "left_anti"), "chunks_without_document", "doc_id"),
-        row(document_tags.select("doc_id").distinct().join(documents, "doc_id", "left_anti"), "tag_orphan", "doc_id"),
+        each(ids, listed, "chunk_id"),
+        each(chunks, wrong, "chunk_id"),
+        each(owners, listed_owner, "doc_id"),
         row(lang.join(document_tags, ["doc_id", "tag"], "left_anti"), "missing_derived_tag", "doc_id"),
         row(stale_runs(runs, now), "stale_run", "run_id"),
         row(runs.where("state = 'FAILED'"), "failed_run", "run_id"),
@@ -170,20 +180,74 @@ def store_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.groupBy("doc_id").agg(F.min(F.coalesce(F.col("n") == F.col("m"), F.lit(False))).alias("equal"))
 
 
-def doctor(counts: DataFrame) -> DataFrame:
-    """(check_name, status) from one row of counts: n_chunks, n_vectors, n_fts, n_sparse, n_issues, n_stale, n_failed."""
+def config_issues(settings: Settings = DEFAULTS, model_version: str = "1") -> list[str]:
+    """What is wrong with settings that must be sane."""
+    tests = {
+        "embedding_dim must be above 0": settings.embedding_dim > 0, "model_version is empty": bool(model_version), "top_k must be above 0": settings.top_k > 0,
+        "rrf_k must be above 0": settings.rrf_k > 0, "sparse_coverage must be from 0 to 1": 0 <= settings.sparse_coverage <= 1,
+    }
+    return [k for k, good in tests.items() if not good]
+
+
+def health_counts(chunks: DataFrame, vectors: DataFrame, fts: DataFrame, sparse: DataFrame, runs: DataFrame, findings: DataFrame, now: Column) -> DataFrame:
+    """One row of counts for :func:`doctor`; chunks, vectors, fts and sparse have chunk_id, findings are :func:`integrity`'s.
+
+    The id sets are unioned with flags and grouped once; nothing is read twice.
+    """
+    mark = lambda df, name: df.select("chunk_id", F.lit(name).alias("store"))
+    every = mark(chunks, "c").unionByName(mark(vectors, "v")).unionByName(mark(fts, "f")).unionByName(mark(sparse.select("chunk_id").distinct(), "s"))
+    per = every.groupBy("chunk_id").agg(*[F.count_if(F.col("store") == k).alias(k) for k in "cvfs"])
+    total = per.agg(
+        F.coalesce(F.sum("c"), F.lit(0)).alias("n_chunks"), F.coalesce(F.sum("v"), F.lit(0)).alias("n_vectors"), F.count_if((F.col("c") > 0) & (F.col("f") == 0)).alias("fts_missing"),
+        F.count_if((F.col("c") == 0) & (F.col("f") > 0)).alias("fts_orphans"), F.count_if((F.col("c") > 0) & (F.col("s") > 0)).alias("n_sparse"),
+    )
+    grave = F.col("check_name").isin("vector_without_chunk", "chunk_without_vector", "duplicate_chunk")
+    light = F.col("check_name").isin("model_mismatch", "dim_mismatch")
+    found = findings.agg(F.count_if(grave).alias("n_grave"), F.count_if(light).alias("n_light"))
+    state = runs.agg(F.count_if(F.col("state") == "FAILED").alias("n_failed"), F.count_if((F.col("state") == "IN_PROGRESS") & (F.col("started_at") < now - F.expr(f"INTERVAL {DEFAULTS.stale_minutes} MINUTES"))).alias("n_stale"))
+    return total.crossJoin(found).crossJoin(state)  # a row each
+
+
+def doctor(counts: DataFrame, issues: list[str] | None = None, n_hits: int | None = None, settings: Settings = DEFAULTS) -> DataFrame:
+    """(check_name, status) of eight checks, OK, WARN or FAIL, from :func:`health_counts`, :func:`config_issues` and the hits of a test query (None: not asked)."""
     c = F.col
+    empty = c("n_chunks") == 0
     checks = {
-        "docstore": F.when(c("n_chunks") > 0, "OK").otherwise("WARN"),
-        "vectors": F.when(c("n_vectors") == c("n_chunks"), "OK").otherwise("FAIL"),
-        "fts": F.when(c("n_fts") == c("n_chunks"), "OK").otherwise("FAIL"),
-        "coverage": F.when(c("n_sparse") >= DEFAULTS.sparse_coverage * c("n_chunks"), "OK").otherwise("WARN"),
-        "reconcile": F.when(c("n_issues") == 0, "OK").otherwise("FAIL"),
-        "ingest": F.when(c("n_failed") > 0, "FAIL").when(c("n_stale") > 0, "WARN").otherwise("OK"),
+        "config": F.lit("FAIL" if (config_issues(settings) if issues is None else issues) else "OK"),
+        "docstore": F.when(empty, "WARN").otherwise("OK"),
+        "vectors": F.when(c("n_vectors") == 0, "WARN").otherwise("OK"),
+        "fts": F.when(empty, "WARN").when(c("fts_missing") == c("n_chunks"), "FAIL").when((c("fts_missing") > 0) | (c("fts_orphans") > 0), "WARN").otherwise("OK"),
+        "coverage": F.when(empty | (c("n_sparse") / c("n_chunks") < settings.sparse_coverage), "WARN").otherwise("OK"),
+        "reconcile": F.when(c("n_grave") > 0, "FAIL").when(c("n_light") > 0, "WARN").otherwise("OK"),
+        "ingest": F.when(c("n_stale") > 0, "FAIL").when(c("n_failed") > 0, "WARN").otherwise("OK"),
+        "test_query": F.lit("WARN" if n_hits is None else "OK" if n_hits else "FAIL"),
     }
     return counts.select(F.explode(F.array(*[F.struct(F.lit(k).alias("check_name"), v.alias("status")) for k, v in checks.items()])).alias("r")).select("r.check_name", "r.status")
 
 
+def diagnose(chunks: DataFrame, sparse: DataFrame, fts: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(section, key, n, total): coverage of each document, spans that several chunks of a document share, model versions, and the stores' sizes.
+
+    chunks: chunk_id, doc_id, line_start, line_end, model_version; the others: chunk_id.
+    """
+    have = sparse.select("chunk_id").distinct().withColumn("has", F.lit(1))
+    row = lambda df, section, key, n, total: df.select(F.lit(section).alias("section"), key.cast("string").alias("key"), n.cast("long").alias("n"), total.cast("long").alias("total"))
+    one = F.lit(1)
+    per = chunks.join(have, "chunk_id", "left").groupBy("doc_id").agg(F.sum(F.coalesce("has", F.lit(0))).alias("n"), F.count(one).alias("t"))
+    spans = chunks.groupBy("doc_id", "line_start", "line_end").agg(F.count(one).alias("n")).where("n > 1")
+    models = chunks.groupBy(F.coalesce(F.nullif(F.trim("model_version"), F.lit("")), F.lit("(unknown)")).alias("m")).agg(F.count(one).alias("n"))
+    parts = [
+        row(per, "document", F.col("doc_id"), F.col("n"), F.col("t")),
+        row(spans, "shared_span", F.concat_ws(":", "doc_id", "line_start", "line_end"), F.col("n"), F.lit(None)),
+        row(models, "model", F.col("m"), F.col("n"), F.lit(None)),
+        *[row(df.agg(F.count(one).alias("n")), "store", F.lit(name), F.col("n"), F.lit(None)) for name, df in (("chunks", chunks), ("fts", fts), ("vectors", vectors))],
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 # -- cache
 
 def config_hash(settings: dict) -> str:
@@ -191,6 +255,13 @@ def config_hash(settings: dict) -> str:
     return hashlib.sha256(json.dumps(settings, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
 
 
+def corpus_fingerprint(chunks: DataFrame, runs: DataFrame, revision: int = 0, run_id: str = "run_id") -> DataFrame:
+    """(corpus_fp): number of chunks, largest run (0 without any) and the metadata's revision; it changes with every ingest, deletion and change of tags."""
+    last = runs.agg(F.coalesce(F.max(run_id).cast("string"), F.lit("0")).alias("r"))
+    both = chunks.agg(F.count(F.lit(1)).alias("n")).crossJoin(last)  # a row each
+    return both.select(F.concat_ws(":", "n", "r", F.lit(str(revision))).alias("corpus_fp"))
+
+
 def cache_keys(queries: DataFrame, settings: dict, text: str = "text") -> DataFrame:
     """Queries with cache_key: normalised query and every setting that changes the result."""
     from quillon.functions.text import query_hash
@@ -225,6 +296,26 @@ def feedback_valid(events: DataFrame) -> DataFrame:
     return events.where(F.col("feedback").isin(*FEEDBACK_KINDS))
 
 
+def feedback_add(events: DataFrame, new: DataFrame, settings: dict, text: str = "query_text") -> DataFrame:
+    """The log with new events of known kinds, numbered on from its last id in the order of their text, chunk and kind, with their query and settings hashes.
+
+    Events of an unknown kind are not added; ``new`` is one batch, small enough to be numbered in one task.
+    """
+    from quillon.functions.text import query_hash
+
+    normal = F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
+    made = feedback_valid(new).withColumn("normalized_query", normal).withColumn("query_hash", query_hash(F.col(text))).withColumn("retrieval_config_hash", F.lit(config_hash(settings)))
+    last = events.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
+    order = Window.orderBy(text, "chunk_id", "feedback")
+    made = made.crossJoin(last).withColumn("id", (F.col("last") + F.row_number().over(order)).cast("long")).drop("last")  # one row
+    return events.unionByName(made, allowMissingColumns=True)
+
+
+def feedback_clear(events: DataFrame) -> tuple[DataFrame, int]:
+    """The empty log, and how many events went."""
+    return events.limit(0), events.count()
+
+
 def feedback_list(events: DataFrame, where: Column | None = None, limit: int = 100) -> DataFrame:
     """Newest first; the limit is the listing's own."""
     out = events if where is None else events.where(where)
@@ -248,7 +339,3 @@ def top_chunks(rows: DataFrame, column: str = "chunks_retrieved", n: int = 5) ->
     """The n chunk keys that answers used most, from a JSON list of keys."""
     each = rows.select(F.explode(F.from_json(column, "array<string>")).alias("chunk_key"))
     return each.groupBy("chunk_key").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "chunk_key").limit(n)
-
-
-def utc_now() -> str:
-    return datetime.utcnow().replace(microsecond=0).isoformat()

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,9 +20,21 @@ def ship_package(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([_ROOT, *paths])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares (spark.checkpoint.dir); one of our own only where none is set and one machine runs everything."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+    own = f"/tmp/checkpoints/{uuid.uuid4().hex}"
+    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
+    atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return f"file://{own}"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the folder that the cluster shares (spark.checkpoint.dir) and read back."""
-    root = df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{uuid.uuid4().hex}"
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """``df`` written once to the shared folder and read back."""
+    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1,5 +1,8 @@
 """The ingest and evaluation plans end to end on small inputs."""
 
+from dataclasses import replace
+
+import pytest
 from pyspark.sql import functions as F
 
 from quillon.operators.dense import dense_topk
@@ -26,16 +29,105 @@ def test_ingest_publishes_what_changed(spark, tmp_path):
     (folder / "e.md").write_text("---\nx: [\n---\n")
     got = {r.path.rsplit("/", 1)[1]: (r.decision, r.error) for r in ingest.run(spark, f"file://{folder}", store).collect()}
     assert got == {"a.md": ("CREATE", None), "b.md": ("CREATE", None), "c.md": ("FAILED", "duplicate_doc_id"), "d.md": ("CREATE", None), "e.md": ("FAILED", "validation")}
-    assert sorted({r.doc_id for r in store.read("chunks").collect()}) == ["a", "b", "d"] and store.generation("chunks") == 1
+    assert sorted({r.doc_id for r in ingest.published(store).collect()}) == ["a", "b", "d"] and store.generation("documents") == 1
     again = {r.decision for r in ingest.run(spark, f"file://{folder}", store).where("error IS NULL").collect()}
-    assert again == {"NOOP_OWNER"} and store.generation("chunks") == 1
+    assert again == {"NOOP_OWNER"} and store.generation("documents") == 1
     write(folder, "b.md", "b", "gamma " * 80)
     ingest.run(spark, f"file://{folder}", store)
-    text = {r.doc_id: r.text for r in store.read("chunks").collect()}
-    assert store.generation("chunks") == 2 and "gamma" in text["b"] and "alpha" in text["a"]
+    text = {r.doc_id: r.text for r in ingest.published(store).collect()}
+    assert store.generation("documents") == 2 and "gamma" in text["b"] and "alpha" in text["a"]
+    assert {r.doc_id for r in store.read("chunks", 2).collect()} == {"b"}  # a generation holds what is new
     assert {r.doc_id: r.generation for r in store.read("documents").collect()} == {"a": 1, "b": 2, "d": 1}
 
 
+def test_a_bad_file_claims_no_id(spark, tmp_path):
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    (folder / "a_bad.md").write_text(HEAD.format("same").replace("---\n#", "tags: 5\n---\n#") + "bad " * 80)
+    write(folder, "b_good.md", "same", "good " * 80)
+    write(folder, "c_late.md", "same", "late " * 80)
+    got = {r.path.rsplit("/", 1)[1]: (r.ok, r.error) for r in ingest.prepare(ingest.files.read_markdown(spark, f"file://{folder}")).collect()}
+    assert got == {"a_bad.md": (False, "validation"), "b_good.md": (True, None), "c_late.md": (False, "duplicate_doc_id")}
+
+
+def test_generations_are_never_written_again(spark, tmp_path):
+    store = VersionedStore(spark, f"file://{tmp_path}/store")
+    for n in (1, 2, 3):
+        assert store.publish({"t": spark.range(n)}) == n
+    store.roll_back(["t"], 1)
+    assert store.read("t").count() == 1 and store.publish({"t": spark.range(9)}) == 4
+    assert [store.read("t", g).count() for g in (1, 2, 3, 4)] == [1, 2, 3, 9] and store.read("t").count() == 9
+    store.append({"t": spark.range(5)}, 5)  # a crash before the pointer moves
+    assert store.generation("t") == 4 and store.publish({"t": spark.range(6)}) == 6 and store.published() == [1, 2, 3, 4, 6]
+    with pytest.raises(ValueError):
+        store.roll_back(["t"], 7)
+
+
+def test_states_read_what_is_stored(spark, tmp_path):
+    """Each table of the store, broken in one way, shows in the decision."""
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    store = VersionedStore(spark, f"file://{tmp_path}/store")
+    write(folder, "a.md", "a", "alpha " * 80)
+    ingest.run(spark, f"file://{folder}", store, model=("m1", 4))
+    prepared = ingest.prepare(ingest.files.read_markdown(spark, f"file://{folder}"))
+    chunks = ingest.markdown.chunk_documents(prepared.where("ok").withColumnRenamed("clean", "body"), "doc_id", "body")
+    stored = ingest.read_stored(store)
+
+    def decision(force=False, model=("m1", 4), **changed):
+        row = ingest.lifecycle.decide(ingest.states(prepared, chunks, replace(stored, **changed), force, model)).first()
+        return row.decision, row.reason
+
+    lit = F.lit
+    assert decision() == ("NOOP_OWNER", "unchanged") and decision(force=True) == ("REPLACE", "changed") and decision(model=("m2", 4)) == ("REPLACE", "changed")
+    assert decision(ops=spark.createDataFrame([("a", "WRITING")], "doc_id string, phase string"))[1] == "pending_operation"
+    assert decision(ops=spark.createDataFrame([("a", "DONE")], "doc_id string, phase string"))[0] == "NOOP_OWNER"
+    assert decision(runs=stored.runs.withColumn("state", lit("FAILED")))[1] == "run_not_committed"
+    assert decision(runs=stored.runs.withColumn("content_hash", lit(None).cast("string")))[1] == "hash_missing"
+    assert decision(documents=stored.documents.withColumn("content_hash", lit("other")))[1] == "document_hash"
+    assert decision(documents=stored.documents.withColumn("path", lit("other")))[1] == "path"
+    assert decision(vectors=None)[1] == "vectors_unverifiable"
+    assert decision(vectors=stored.vectors.withColumn("text_sha", lit("x")))[1] == "stores_differ" and decision(fts=stored.fts.union(stored.fts))[1] == "stores_differ"
+    two = stored.chunks.unionByName(stored.chunks.withColumn("chunk_id", lit("more")).withColumn("model_version", lit("m9")))
+    assert decision(chunks=two)[1] == "mixed_models"
+    fewer = stored.runs.withColumn("chunk_ids", F.array(lit("gone")))
+    assert decision(runs=fewer)[1] == "chunk_ids"
+    assert decision(documents=stored.documents.withColumn("title", lit("Other")))[0] == "REPLACE"
+    assert decision(documents=stored.documents.withColumn("path", lit("q")), runs=stored.runs.withColumn("path", lit("q")))[0] == "NOOP_EQUIVALENT_OTHER_SOURCE"
+    legacy = stored.documents.withColumn("run_id", lit(None).cast("string"))
+    assert decision(documents=legacy) == ("NOOP_OWNER", "unchanged")
+    assert decision(documents=None, runs=None, chunks=None, vectors=stored.vectors.limit(0), fts=stored.fts.limit(0)) == ("CREATE", "new")
+    assert decision(documents=None, runs=None, chunks=None)[1] == "orphans"
+
+
+def test_an_ingest_writes_every_table(spark, tmp_path):
+    folder = tmp_path / "docs"
+    folder.mkdir()
+    store = VersionedStore(spark, f"file://{tmp_path}/store")
+    write(folder, "a.md", "a", "alpha " * 80)
+    (folder / "bad.md").write_text("---\nx: [\n---\n")
+    embed = lambda rows: rows.withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)))
+    ingest.run(spark, f"file://{folder}", store, embed=embed, model=("m1", 2))
+    n = ingest.published(store).count()
+    assert n and all(ingest.published(store, t).count() == n for t in ("vectors", "fts")) and ingest.published(store, "vectors").first().embedding == [1.0, 0.0]
+    assert {r.tag for r in ingest.published(store, "document_tags").collect()} == {"domain:d", "source_type:s", "lang:en"}
+    assert [(r.total, r.committed, r.failed, r.status) for r in store.history("batches").collect()] == [(2, 1, 1, "PARTIAL")]
+    write(folder, "b.md", "b", "beta " * 80)
+    ingest.run(spark, f"file://{folder}", store, embed=embed, model=("m1", 2))
+    store.roll_back(["documents"], 1)
+    assert {r.doc_id for r in ingest.published(store).collect()} == {"a"}
+    ingest.run(spark, f"file://{folder}", store, embed=embed, model=("m1", 2))
+    assert store.generation("documents") == 3 and {r.doc_id for r in ingest.published(store).collect()} == {"a", "b"}
+
+
+def test_repair(spark):
+    chunks = spark.createDataFrame([("c1", "d", "x", "", 0), ("c2", "d", "y", "m", 4)], "chunk_id string, doc_id string, text string, model_version string, embedding_dim int")
+    vectors = spark.createDataFrame([("c1", "d"), ("zz", "d")], "chunk_id string, doc_id string")
+    fts = spark.createDataFrame([("d", "c1", "s"), ("d", "c1", "s")], "doc_id string, chunk_id string, text_sha string")
+    full, kept, index = ingest.repair(chunks, vectors, fts, ("m", 4))
+    assert {(r.model_version, r.embedding_dim) for r in full.collect()} == {("m", 4)} and [r.chunk_id for r in kept.collect()] == ["c1"] and sorted(r.chunk_id for r in index.collect()) == ["c1", "c2"]
+
+
 def chunks_of(spark):
     words = ["trade data set", "price index data", "survey of trade", "nothing else here", "trade trade data"]
     rows = [(f"c{i}", f"d{i % 2}", t, f"Part {i}", i, i + 1, [1.0, i / 10, 0.0]) for i, t in enumerate(words)]

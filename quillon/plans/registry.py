@@ -1,13 +1,17 @@
 """Registered queries over the driver's tables, each with SQL that gives the same rows.
 
 How the tables stand in: a document is a chunk (chunk_id = its doc_id) whose document is its source; embeddings belong to
-the documents with vec_id = doc_id; a benchmark passage is a query, asked with its first two tokens (lexical), all its
-tokens (sparse) and the embedding of vec_id = item_id (dense). Judgements are arithmetic on the query's number. Events
-play logs: their type is a state, a phase or a kind of feedback.
+the documents with vec_id = doc_id (other documents have none, and are found by their words alone); a benchmark passage
+is a query. By its number modulo 3 it is asked in words as its first two tokens, as a phrase of these and its third
+token, or as all its tokens; sparse weights are of all its tokens, its vector is that of vec_id = item_id. Judgements are
+arithmetic on the query's number. Events play logs: their type is a state, a phase or a kind of feedback.
+
+The corpus is indexed once for a session and folder, in the shared folder; all searches read that index.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -18,9 +22,10 @@ from quillon.functions import text as T
 from quillon.operators import context, lifecycle, markdown, metadata, metrics, verification
 from quillon.operators.dense import dense_topk, sparse_coverage, sparse_rank
 from quillon.operators.fusion import candidate_pool, document_cap, document_mmr, weighted_rrf
-from quillon.operators.lexical import LexicalIndex, bm25, build_index, query_terms
-from quillon.plans.retrieval import Corpus, expand_queries, explain, hybrid_search, merge_variants, rerank, run_variant
+from quillon.operators.lexical import bm25
+from quillon.plans.retrieval import Corpus, expand_queries, explain, hybrid_search, index_corpus, merge_variants, read_corpus, rerank, run_variant
 from quillon.providers import overlap_score
+from quillon.runtime import shared_folder
 from quillon.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,8 +57,7 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents")).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), "text", "lang")
 
 
-def _index(spark: SparkSession, d: str, all_terms: bool = False) -> LexicalIndex:
-    return build_index(_chunks(spark, d), only=None if all_terms else query_terms(_queries(spark, d)))
+_CORPORA: dict[tuple[str, str], str] = {}
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -61,23 +65,24 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding").join(docs, "chunk_id")
 
 
-def _queries(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.array_join(F.slice(T.tokens(F.col("text")), 1, 2), " ").alias("text"))
-    return items.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), "embedding"), "qid", "left")
+def _corpus(spark: SparkSession, d: str) -> Corpus:
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _CORPORA:
+        root = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+        index_corpus(spark, _chunks(spark, d), _vectors(spark, d), root)
+        _CORPORA[key] = root
+    return read_corpus(spark, _CORPORA[key])
 
 
-def _weights(df: DataFrame, key: str) -> DataFrame:
-    each = df.select(key, F.explode(T.tokens(F.col("text"))).alias("token"))
-    return each.groupBy(key, "token").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+def _queries(spark: SparkSession, d: str) -> DataFrame:
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), T.tokens(F.col("text")).alias("t"))
+    text = F.when(F.col("qid") % 3 == 0, F.array_join(F.slice("t", 1, 2), " ")).when(F.col("qid") % 3 == 1, F.concat_ws(" ", F.array_join(F.slice("t", 1, 2), "-"), F.get("t", F.lit(2)))).otherwise(F.array_join("t", " "))
+    return items.select("qid", text.alias("text")).join(table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), "embedding"), "qid", "left")
 
 
 def _query_sparse(spark: SparkSession, d: str) -> DataFrame:
-    return _weights(table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text"), "qid")
-
-
-def _corpus(spark: SparkSession, d: str, all_terms: bool = False) -> Corpus:
-    index = _index(spark, d, all_terms)
-    return Corpus(_vectors(spark, d), index, _weights(_chunks(spark, d), "chunk_id"), sparse_coverage(index.lengths, "len > 0"))
+    each = table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.explode(T.tokens(F.col("text"))).alias("token"))
+    return each.groupBy("qid", "token").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def _hybrid(spark: SparkSession, d: str, diversity: str = "off", **more: object) -> DataFrame:
@@ -93,12 +98,17 @@ _TOK = """
 tok AS (SELECT doc_id AS chunk_id, source AS doc_id, lang, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS t FROM documents),
 len AS (SELECT chunk_id, doc_id, len(t) AS n FROM tok), stat AS (SELECT count(*) AS n, avg(n) AS a FROM len),
 term AS (SELECT chunk_id, unnest(t) AS w FROM tok), tf AS (SELECT chunk_id, w, count(*) AS tf FROM term GROUP BY ALL),
-item AS (SELECT item_id AS qid, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS t FROM benchmark)"""
+item AS (SELECT item_id AS qid, regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+') AS t FROM benchmark),
+asked AS (SELECT qid, CASE qid % 3 WHEN 0 THEN t[1:2] WHEN 1 THEN t[1:3] ELSE t END AS w FROM item)"""
 _BM25 = (
     _TOK
     + """,
-ask AS (SELECT qid, len(t[1:2]) AS m, unnest(range(1, len(t[1:2]) + 1)) AS no, unnest(t[1:2]) AS w FROM item),
-hit AS (SELECT qid, m, no, tf.chunk_id, tf FROM ask JOIN tf USING (w)), df AS (SELECT qid, no, count(*) AS df FROM hit GROUP BY ALL),
+ph AS (SELECT qid, i AS no, [w[i]] AS p FROM (SELECT qid, w, unnest(range(1, len(w) + 1)) AS i FROM asked WHERE qid % 3 <> 1)
+  UNION ALL SELECT qid, 1, w[1:2] FROM asked WHERE qid % 3 = 1 AND len(w) > 0 UNION ALL SELECT qid, 2, [w[3]] FROM asked WHERE qid % 3 = 1 AND len(w) > 2),
+ask AS (SELECT qid, no, len(p) AS n, count(*) OVER (PARTITION BY qid) AS m, p FROM ph), part AS (SELECT qid, no, n, m, unnest(range(0, n)) AS j, unnest(p) AS w FROM ask),
+occ AS (SELECT chunk_id, unnest(range(1, len(t) + 1)) AS i, unnest(t) AS w FROM tok),
+place AS (SELECT qid, no, m, chunk_id, i - j AS s FROM part JOIN occ USING (w) WHERE n > 1 GROUP BY qid, no, n, m, chunk_id, s HAVING count(*) = n),
+hit AS (SELECT qid, m, no, chunk_id, tf FROM part JOIN tf USING (w) WHERE n = 1 UNION ALL SELECT qid, m, no, chunk_id, count(*) FROM place GROUP BY ALL), df AS (SELECT qid, no, count(*) AS df FROM hit GROUP BY ALL),
 bm AS (SELECT qid, chunk_id, len.doc_id, sum((CASE WHEN ln((stat.n - df + 0.5) / (df + 0.5)) > 0 THEN ln((stat.n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len.n / a))) AS s
   FROM hit JOIN df USING (qid, no) JOIN len USING (chunk_id), stat GROUP BY qid, chunk_id, len.doc_id, m HAVING count(*) = m)"""
 )
@@ -147,18 +157,17 @@ def tokenize_stats(spark: SparkSession, d: str) -> DataFrame:
 
 @register(f"WITH {_TOK} SELECT w AS term, count(*) AS df, sum(tf)::BIGINT AS cf FROM tf GROUP BY w")
 def postings_df(spark: SparkSession, d: str) -> DataFrame:
-    p = _index(spark, d, all_terms=True).postings
-    return p.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.size("positions")).cast("long").alias("cf"))
+    return _corpus(spark, d).lexical.terms
 
 
 @register(f"WITH {_BM25}, {_ranked('r', 'bm', 's', 30)} SELECT qid, chunk_id, doc_id, round(s, 6) AS bm25_score, rk AS bm25_rank FROM r")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return bm25(_index(spark, d), _queries(spark, d), 30).withColumn("bm25_score", F.round("bm25_score", 6))
+    return bm25(_corpus(spark, d).lexical, _queries(spark, d), 30).withColumn("bm25_score", F.round("bm25_score", 6))
 
 
 @register(f"WITH {_BM25}, {_ranked('r', 'bm', 's', 30, _ODD)} SELECT qid, chunk_id, doc_id, round(s, 6) AS bm25_score, rk AS bm25_rank FROM r")
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return bm25(_index(spark, d), _queries(spark, d), 30, _en(spark, d)).withColumn("bm25_score", F.round("bm25_score", 6))
+    return bm25(_corpus(spark, d).lexical, _queries(spark, d), 30, _en(spark, d)).withColumn("bm25_score", F.round("bm25_score", 6))
 
 
 # -- dense, sparse, fusion
@@ -177,8 +186,9 @@ def dense_filtered(spark: SparkSession, d: str) -> DataFrame:
 @register(f"{_FUSED} SELECT qid, chunk_id, pool_pos, sparse_score, sparse_rank FROM sp")
 def sparse_rescore(spark: SparkSession, d: str) -> DataFrame:
     q = _queries(spark, d)
-    pool = candidate_pool(dense_topk(_vectors(spark, d), q, _K), bm25(_index(spark, d), q, _K))
-    return sparse_rank(pool, _query_sparse(spark, d), _weights(_chunks(spark, d), "chunk_id")).select("qid", "chunk_id", "pool_pos", "sparse_score", "sparse_rank")
+    corpus = _corpus(spark, d)
+    pool = candidate_pool(dense_topk(corpus.vectors, q, _K), bm25(corpus.lexical, q, _K))
+    return sparse_rank(pool, _query_sparse(spark, d), corpus.sparse).select("qid", "chunk_id", "pool_pos", "sparse_score", "sparse_rank")
 
 
 @register(f"{_FUSED} SELECT qid, chunk_id, doc_id, round(rrf_score, 9) AS rrf_score, rrf_rank FROM rr")
@@ -219,7 +229,7 @@ def coverage_gate(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register(
-    f"{_FUSED}, top AS (SELECT * FROM mmr WHERE final_pos <= 20), q AS (SELECT qid, list_distinct(t[1:2]) AS w FROM item), s AS (SELECT top.qid, top.chunk_id, final_pos, CASE WHEN len(w) > 0 THEN len(list_intersect(w, t)) / len(w)::DOUBLE ELSE 0 END AS s FROM top JOIN q USING (qid) JOIN tok USING (chunk_id))"
+    f"{_FUSED}, top AS (SELECT * FROM mmr WHERE final_pos <= 20), q AS (SELECT qid, list_distinct(w) AS w FROM asked), s AS (SELECT top.qid, top.chunk_id, final_pos, CASE WHEN len(w) > 0 THEN len(list_intersect(w, t)) / len(w)::DOUBLE ELSE 0 END AS s FROM top JOIN q USING (qid) JOIN tok USING (chunk_id))"
     " SELECT qid, chunk_id, round(s, 6) AS rerank_score, p AS rerank_pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, final_pos) AS p FROM s) WHERE p <= 8"
 )
 def rerank_stage(spark: SparkSession, d: str) -> DataFrame:
@@ -294,8 +304,9 @@ _GRID_SQL = ", ".join(f"({i}, {k}, {a}::DOUBLE, {b}::DOUBLE, {s}::DOUBLE)" for i
 )
 def grid_calibration(spark: SparkSession, d: str) -> DataFrame:
     q = _queries(spark, d)
-    pool = candidate_pool(dense_topk(_vectors(spark, d), q, _K), bm25(_index(spark, d), q, _K))
-    ranked = sparse_rank(pool, _query_sparse(spark, d), _weights(_chunks(spark, d), "chunk_id"))
+    corpus = _corpus(spark, d)
+    pool = candidate_pool(dense_topk(corpus.vectors, q, _K), bm25(corpus.lexical, q, _K))
+    ranked = sparse_rank(pool, _query_sparse(spark, d), corpus.sparse)
     grid = spark.createDataFrame(_GRID, "config_id int, rrf_k int, dense_w double, bm25_w double, sparse_w double")
     hits = metrics.calibrate(ranked, grid)
     per = metrics.reciprocal_rank(hits, _judgements(spark, d), keys=("config_id", "qid"))

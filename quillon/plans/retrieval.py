@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +12,8 @@ from quillon.config import DEFAULTS, Settings
 from quillon.functions.text import last_terms, without_stop_words
 from quillon.operators.dense import dense_topk, sparse_coverage, sparse_rank
 from quillon.operators.fusion import candidate_pool, document_cap, document_mmr, weighted_rrf
-from quillon.operators.lexical import LexicalIndex, bm25
+from quillon.operators.lexical import LexicalIndex, bm25, index_of, post
+from quillon.providers import overlap_score
 
 #: Presets: signals used, and diversity (off, cap or mmr).
 VARIANTS = {
@@ -24,6 +26,8 @@ VARIANTS = {
     "full": (("dense", "bm25", "sparse"), "off"),
     "full_hyde": (("dense", "bm25", "sparse"), "off"),
 }
+#: Presets whose whole list is put in a reranker's order.
+RERANKED = ("full", "full_hyde")
 
 
 @dataclass
@@ -82,12 +86,25 @@ def hybrid_search(
     return diversify(fused, diversity_mode(diversity, settings), settings)
 
 
-def run_variant(name: str, corpus: Corpus, queries: DataFrame, query_sparse: DataFrame | None = None, settings: Settings = DEFAULTS, docs: DataFrame | None = None) -> DataFrame:
-    """One preset; ``full_hyde`` takes the hypothetical answer's vector from a column hyde_embedding where there is one."""
+def run_variant(
+    name: str, corpus: Corpus, queries: DataFrame, query_sparse: DataFrame | None = None, settings: Settings = DEFAULTS, docs: DataFrame | None = None, texts: DataFrame | None = None,
+    scorer: Callable[[Column, Column], Column] = overlap_score,
+) -> DataFrame:
+    """One preset; ``full`` and ``full_hyde`` then put all that they found in the order of a reranker.
+
+    ``scorer`` gives a score from the query's and the chunk's text (``texts``: chunk_id, text); without texts there is
+    no reranker, and the order stays. ``full_hyde`` takes the hypothetical answer's vector from a column hyde_embedding
+    where there is one.
+    """
     signals, mode = VARIANTS[name]
     if name == "full_hyde" and "hyde_embedding" in queries.columns:
         queries = queries.withColumn("embedding", F.coalesce("hyde_embedding", "embedding"))
-    return hybrid_search(corpus, queries, query_sparse, settings, docs, mode, signals).withColumn("variant", F.lit(name))
+    hits = hybrid_search(corpus, queries, query_sparse, settings, docs, mode, signals)
+    if name in RERANKED and texts is not None:
+        asked = queries.select("qid", F.col("text").alias("question"))
+        ranked = rerank(hits.join(asked, "qid").join(texts.select("chunk_id", "text"), "chunk_id"), scorer(F.col("question"), F.col("text")), pool=settings.top_k)
+        hits = ranked.drop("question", "text").withColumn("final_pos", F.col("rerank_pos"))
+    return hits.withColumn("variant", F.lit(name))
 
 
 def explain(ranked: DataFrame) -> DataFrame:
@@ -131,17 +148,45 @@ def presets(**changes: object) -> Settings:
 
 
 def write_corpus(corpus: Corpus, root: str) -> None:
-    """Write an index once for many searches: postings sorted by term, so that a search's terms prune row groups."""
+    """Write an index once for many searches.
+
+    Postings stay where their chunks are and are sorted by term inside each file, so that a search's terms prune row
+    groups, nothing is shuffled but what is counted, and a common term's list is spread over all files.
+    """
     root = root.rstrip("/")
     corpus.vectors.write.mode("overwrite").parquet(f"{root}/vectors")
-    corpus.lexical.postings.repartitionByRange("term").sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{root}/postings")
+    corpus.lexical.postings.sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{root}/postings")
     corpus.lexical.lengths.write.mode("overwrite").parquet(f"{root}/lengths")
+    corpus.lexical.terms.write.mode("overwrite").parquet(f"{root}/terms")
     corpus.lexical.stats.write.mode("overwrite").parquet(f"{root}/stats")
     if corpus.sparse is not None:
         corpus.sparse.repartition("chunk_id").sortWithinPartitions("chunk_id").write.mode("overwrite").parquet(f"{root}/sparse")
 
 
+def index_corpus(spark: SparkSession, chunks: DataFrame, vectors: DataFrame, root: str) -> None:
+    """Write the index of ``chunks`` (chunk_id, doc_id, text): the texts are read and tokenized once, all else comes from the written postings.
+
+    Sparse weights are the postings' term counts, so no table of their own is written.
+    """
+    root = root.rstrip("/")
+    post(chunks).sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{root}/postings")
+    index = index_of(spark.read.parquet(f"{root}/postings"), chunks)
+    for name, df in (("terms", index.terms), ("lengths", index.lengths), ("vectors", vectors)):
+        df.write.mode("overwrite").parquet(f"{root}/{name}")
+    lengths = spark.read.parquet(f"{root}/lengths")
+    lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len")).write.mode("overwrite").parquet(f"{root}/stats")
+
+
 def read_corpus(spark: SparkSession, root: str, sparse: bool = True) -> Corpus:
+    """A written index; where it has no table of sparse weights, term counts stand in."""
     root = root.rstrip("/")
     read = lambda name: spark.read.parquet(f"{root}/{name}")
-    return Corpus(read("vectors"), LexicalIndex(read("postings"), read("lengths"), read("stats")), read("sparse") if sparse else None)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/sparse")
+    own = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    lexical = LexicalIndex(read("postings"), read("terms"), read("lengths"), read("stats"))
+    if not sparse:
+        return Corpus(read("vectors"), lexical)
+    if own:
+        return Corpus(read("vectors"), lexical, read("sparse"))
+    weights = lexical.postings.select("chunk_id", F.col("term").alias("token"), F.col("tf").cast("double").alias("weight"))
+    return Corpus(read("vectors"), lexical, weights, sparse_coverage(lexical.lengths, "len > 0"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import os
+from collections.abc import MutableMapping
+from dataclasses import dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -37,3 +39,22 @@ class Settings:
 
 
 DEFAULTS = Settings()
+
+
+def load_env(path: str, into: MutableMapping[str, str] = os.environ) -> dict[str, str]:
+    """The ``KEY=value`` lines of a file, put into the environment where a key isn't set yet; blank lines and comments are passed over, a missing file is empty."""
+    found: dict[str, str] = {}
+    if os.path.exists(path):
+        with open(path, encoding="utf-8") as lines:
+            for line in lines:
+                key, mark, value = line.strip().partition("=")
+                if mark and not key.startswith("#"):
+                    found[key.strip()] = value.strip()
+                    into.setdefault(key.strip(), value.strip())
+    return found
+
+
+def from_env(prefix: str = "QUILLON_", env: MutableMapping[str, str] = os.environ) -> Settings:
+    """The defaults with what the environment sets, e.g. QUILLON_TOP_K; true, yes, on and 1 are true."""
+    kinds = {"int": int, "float": float, "bool": lambda v: v.strip().lower() in ("1", "true", "yes", "on"), "str": str}
+    return replace(DEFAULTS, **{f.name: kinds[f.type](env[prefix + f.name.upper()]) for f in fields(Settings) if prefix + f.name.upper() in env})

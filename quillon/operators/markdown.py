@@ -12,7 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.config import DEFAULTS
@@ -383,14 +383,23 @@ def heading_level(line: Column) -> Column:
 
 
 def inspect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_lines, n_headings, n_tables, n_tokens, estimated_chunks): tables are runs of table lines."""
-    rows = lines_of(docs, id_col, text_col)
-    table = F.trim("line").startswith("|")
-    before = F.lag(table).over(Window.partitionBy("doc_id").orderBy("line_no"))
-    marked = rows.withColumn("edge", (table & ~F.coalesce(before, F.lit(False))).cast("int")).withColumn("head", (heading_level(F.col("line")) > 0).cast("int"))
-    per = marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("head").alias("n_headings"), F.sum("edge").alias("n_tables"), F.sum(F.char_length("line") + 1).alias("c"))
-    tokens = F.greatest(F.lit(1), F.floor((F.col("c") - 1) / 4)).cast("long")
-    return per.select("doc_id", "n_lines", "n_headings", "n_tables", tokens.alias("n_tokens"), F.greatest(F.lit(1), F.floor(tokens / DEFAULTS.chunk_max_tokens)).cast("long").alias("estimated_chunks"))
+    """(doc_id, n_lines, n_headings, n_tables, n_tokens, estimated_chunks): tables are runs of table lines. All within the row: nothing is shuffled."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.char_length(text).alias("c"), F.split(text, "\n").alias("lines"))
+    rows = rows.withColumn("table", F.transform("lines", lambda x: F.trim(x).startswith("|")))
+    edges = F.filter("table", lambda t, i: t & ~F.coalesce(F.get("table", i - 1), F.lit(False)))
+    tokens = F.greatest(F.lit(1), F.floor(F.col("c") / 4)).cast("long")
+    return rows.select(
+        "doc_id", F.size("lines").cast("long").alias("n_lines"), F.size(F.filter("lines", lambda x: heading_level(x) > 0)).cast("long").alias("n_headings"), F.size(edges).cast("long").alias("n_tables"),
+        tokens.alias("n_tokens"), F.greatest(F.lit(1), F.floor(tokens / DEFAULTS.chunk_max_tokens)).cast("long").alias("estimated_chunks"),
+    )
+
+
+def line_lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, long_lines, longest): lines over the limit, and the longest one's characters, within the row."""
+    sizes = F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n"), lambda x: F.char_length(x))
+    rows = docs.select(F.col(id_col).alias("doc_id"), sizes.alias("sizes"))
+    return rows.select("doc_id", F.size(F.filter("sizes", lambda n: n > LIMITS["line_length"])).cast("long").alias("long_lines"), F.array_max("sizes").cast("long").alias("longest"))
 
 
 def preview(chunks: DataFrame, limit: int) -> DataFrame:

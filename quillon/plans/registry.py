@@ -415,8 +415,7 @@ def inspect_documents(spark: SparkSession, d: str) -> DataFrame:
 
 @register("SELECT doc_id, sum((length(line) > 500)::INT)::BIGINT AS long_lines, max(length(line)) AS longest FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents) GROUP BY doc_id")
 def line_validation(spark: SparkSession, d: str) -> DataFrame:
-    rows = markdown.lines_of(table(spark, d, "documents"))
-    return rows.groupBy("doc_id").agg(F.count_if(F.char_length("line") > markdown.LIMITS["line_length"]).alias("long_lines"), F.max(F.char_length("line")).cast("long").alias("longest"))
+    return markdown.line_lengths(table(spark, d, "documents"))
 
 
 @register()

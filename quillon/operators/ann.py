@@ -52,7 +52,7 @@ def assign(vectors: DataFrame, c: np.ndarray, n: int = 1, id_col: str = "chunk_i
             cell = np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :k].reshape(-1)
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), k))), pa.array(cell.astype(np.int32))], [id_col, "cell"])
 
-    return own.mapInArrow(run, own.select(id_col).schema.add("cell", "int"))
+    return own.mapInArrow(run, own.select(id_col).schema.add("cell", "integer"))
 
 
 def search(vectors: DataFrame, queries: DataFrame, c: np.ndarray, probes: int, k: int = 50) -> DataFrame:

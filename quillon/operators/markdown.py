@@ -371,6 +371,21 @@ def blocked(report: DataFrame, strict: bool = False) -> DataFrame:
     return report.where(F.col("severity").isin(*(("ERROR", "WARN") if strict else ("ERROR",)))).select("path").distinct()
 
 
+def heading_tree(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, line, level, path): every heading with the titles above it; null texts have none."""
+    ship_package(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, h) for i, t in enumerate(batch.column(1).to_pylist()) for h in headings(t or "")]
+            own = batch.column(0).take(pa.array([i for i, _ in rows], pa.int64()))
+            cols = [pa.array([getattr(h, a) for _, h in rows], k) for a, k in (("line", pa.int32()), ("level", pa.int32()), ("path", pa.string()))]
+            yield pa.RecordBatch.from_arrays([own, *cols], ["doc_id", "line", "level", "path"])
+
+    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return own.mapInArrow(run, own.select("doc_id").schema.add("line", "integer").add("level", "integer").add("path", "string"))
+
+
 # -- built-in line statistics
 
 def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

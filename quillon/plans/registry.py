@@ -424,14 +424,15 @@ def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 @register("SELECT CAST(doc_id AS VARCHAR) AS path, 'frontmatter_missing' AS code, 'WARN' AS severity FROM documents WHERE trim(text, ' ' || chr(10)) <> '' AND NOT starts_with(text, '---')")
-def validate_documents(spark: SparkSession, d: str) -> DataFrame:
+def documents_without_front_matter(spark: SparkSession, d: str) -> DataFrame:
+    """The one code of the report that every document can have; validate_documents has all, contract_codes each on its own."""
     report = markdown.validate(table(spark, d, "documents"), "doc_id", "text")
     return report.where("code = 'frontmatter_missing'").select("path", "code", "severity")
 
 
 @register()
-def validation_report(spark: SparkSession, d: str) -> DataFrame:
-    """Every issue of every document; validate_documents is the part of it that SQL can express."""
+def validate_documents(spark: SparkSession, d: str) -> DataFrame:
+    """Every issue of every document."""
     return markdown.validate(table(spark, d, "documents"), "doc_id", "text")
 
 
@@ -638,3 +639,6 @@ def hourly_events(spark: SparkSession, d: str) -> DataFrame:
 @register("WITH e AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE OR lag(ts) OVER (PARTITION BY user_id ORDER BY ts) IS NULL THEN 1 ELSE 0 END AS b FROM events), s AS (SELECT user_id, ts, sum(b) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM e) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS finish, count(*) AS n FROM s GROUP BY user_id, k")
 def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     return jobs.sessions(table(spark, d, "events"))
+
+
+from quillon.plans import registry_more  # noqa: E402,F401  (registers its own)

@@ -70,6 +70,11 @@ def _explicit(spec: FilterSpec, like: DataFrame | None) -> DataFrame | None:
     return spark.createDataFrame([(i,) for i in dict.fromkeys(spec.doc_ids)], f"doc_id {kind}")
 
 
+def post_filter(hits: DataFrame, docs: DataFrame | None) -> DataFrame:
+    """Hits of the given documents alone, after a search; None lets all through, an empty table none."""
+    return hits if docs is None else hits.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+
+
 def filter_stats(documents: DataFrame, matched: DataFrame | None) -> DataFrame:
     """(total, matched): all documents and those that the filter lets through."""
     total = documents.agg(F.count(F.lit(1)).alias("total"))

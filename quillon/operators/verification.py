@@ -95,3 +95,27 @@ def evidence_map(cited: DataFrame) -> DataFrame:
     value = F.struct("chunk_id", "doc_id", F.concat_ws("-", "line_start", "line_end").alias("lines"), "status")
     first = cited.groupBy("qid", "cite_index").agg(F.min_by(value, "cite_no").alias("v"))
     return first.groupBy("qid").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("cite_index", "v")))).alias("evidence"))
+
+
+def bar(share: Column, width: int = 10) -> Column:
+    """A share from 0 to 1 as a bar."""
+    filled = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)) * width).cast("int")
+    return F.concat(F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), F.lit(width) - filled))
+
+
+def summary_text(cited: DataFrame, scores: DataFrame, chunks: DataFrame, score: str = "rerank_score") -> DataFrame:
+    """(qid, block): an answer's verification as lines of text: what was retrieved with scaled scores, citations, consistency, trust.
+
+    ``cited`` from :func:`classify`, ``scores`` from :func:`trust`, ``chunks`` as these had them.
+    """
+    scaled = chunks.withColumn("s", min_max(score))
+    line = F.concat(F.lit("  ["), F.col("pos").cast("string"), F.lit("] "), F.col("doc_id").cast("string"), F.lit(" | "), F.concat_ws("-", "line_start", "line_end"), F.lit("  "), F.format_number(F.col("s") * 10, 1), F.lit("/10 "), bar(F.col("s")))
+    listed = scaled.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", line.alias("x")))), lambda r: r["x"]), "\n").alias("list"))
+    counts = cited.groupBy("qid").agg(F.count_if(F.col("status") == "VALID").alias("v"), F.count(F.lit(1)).alias("n"))
+    rows = scores.join(listed, "qid", "left").join(counts, "qid", "left").fillna(0, ["v", "n"])
+    agreed = F.when(F.col("consistency_score") >= 1, "OK").when(F.col("consistency_score") > 0, "WARN").otherwise("FAIL")
+    block = F.concat_ws(
+        "\n", F.lit("Verification"), F.col("list"), F.concat(F.lit("  Citations: "), F.col("v").cast("string"), F.lit("/"), F.col("n").cast("string")), F.concat(F.lit("  Consistency: "), agreed),
+        F.concat(F.lit("  Trust: "), F.format_number("trust_score", 2), F.lit(" "), F.col("trust_level")),
+    )
+    return rows.select("qid", block.alias("block"))

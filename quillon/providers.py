@@ -8,6 +8,8 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillon.config import DEFAULTS, Settings
+
 
 class ColumnProvider(Protocol):
     """Adds the columns of a model to a table, with its failures as a status column and never as an exception per row."""
@@ -49,3 +51,34 @@ def retried(score: Callable[[DataFrame], DataFrame], attempts: int = 3) -> Colum
         return out.withColumn("consistency", F.coalesce("consistency", F.lit(0.5)))
 
     return add
+
+
+_cached: dict[tuple, object] = {}
+
+
+def cached(make: Callable[..., object], *key: object) -> object:
+    """What ``make(*key)`` gives, made once in a worker's life and key (a model and its device, say)."""
+    if (make, *key) not in _cached:
+        _cached[(make, *key)] = make(*key)
+    return _cached[(make, *key)]
+
+
+def generated(rows: DataFrame, call: ColumnProvider, settings: Settings = DEFAULTS, thinking: bool = True) -> DataFrame:
+    """``rows`` (with prompt_tokens) and output_tokens, answer, reasoning and status (ok, empty, overflow or connection).
+
+    ``call`` adds content, reasoning and failure (the error's text, or null) to the rows that have room for an answer;
+    the others are an overflow, and so is a failure that names the context's size. Nothing is raised for a row.
+    """
+    from quillon.functions.text import answer_from
+    from quillon.operators.context import output_budget
+
+    room = settings.context_window - F.col("prompt_tokens") - settings.context_margin
+    fits = room >= settings.min_output_tokens
+    asked = call(rows.where(fits).withColumn("output_tokens", output_budget(room, settings, thinking)))
+    failure = F.lower(F.coalesce("failure", F.lit("")))
+    # How model servers say that a prompt is too long.
+    long = failure.rlike("exceed_context_size|exceeds the context|n_ctx|context.*(exceed|too long|maximum)|(exceed|too long|maximum).*context")
+    answer = F.nullif(answer_from(F.col("content"), F.col("reasoning")), F.lit(""))
+    status = F.when(long, "overflow").when(failure != "", "connection").when(answer.isNull(), "empty").otherwise("ok")
+    done = asked.withColumn("status", status).withColumn("answer", F.when(F.col("status") == "ok", answer)).drop("content", "failure")
+    return done.unionByName(rows.where(~fits | fits.isNull()).withColumn("status", F.lit("overflow")), allowMissingColumns=True)

@@ -102,3 +102,25 @@ def markdown_table(rows: DataFrame, limit: int = 200) -> str:
     found = rows.limit(limit).collect()
     lines = ["| " + " | ".join(rows.columns) + " |", "|" + " --- |" * len(rows.columns)]
     return "\n".join([*lines, *("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in found)])
+
+
+ANSWER_FEEDBACK = "question string, rewritten_query string, hyde_used boolean, chunks_retrieved string, final_score double, score_level string, useful boolean, timestamp string"
+
+
+def save_answer_feedback(rows: DataFrame, path: str) -> None:
+    """More entries of the log of judged answers; the chunks are a JSON list of keys."""
+    names = [c.split(" ")[0] for c in ANSWER_FEEDBACK.split(", ")]
+    rows.select(*names).write.mode("append").json(path)
+
+
+def read_answer_feedback(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ANSWER_FEEDBACK).json(path)
+
+
+def write_index_config(spark: SparkSession, settings: dict[str, object], path: str) -> None:
+    """What an index was built with, beside it, for :func:`quillon.plans.ingest.config_diff`."""
+    spark.createDataFrame([(json.dumps(settings, sort_keys=True),)], "settings string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_index_config(spark: SparkSession, path: str) -> dict[str, object]:
+    return json.loads(spark.read.text(path).first()[0])

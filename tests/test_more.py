@@ -6,11 +6,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillon import config, errors
-from quillon.operators import ann, lifecycle, markdown
+from quillon import config, errors, providers
+from quillon.operators import ann, lifecycle, markdown, metadata, verification
 from quillon.operators.dense import dense_topk
-from quillon.plans import benchmark, evaluate, timing
+from quillon.plans import benchmark, evaluate, ingest, timing
 from quillon.plans.registry_more import CONTRACT
+from quillon.plans.retrieval import index_corpus, read_corpus
+from quillon.plans.session import Session, search
+from quillon.sources import files
 
 
 def test_environment(tmp_path):
@@ -95,3 +98,64 @@ def test_fusion_settings_see_their_own_candidates(spark):
 
 def got_frame(spark):
     return spark.createDataFrame([("v", 1, "c1", "d1", 1, 1, None, None)], "k string, qid int, chunk_id string, doc_id string, pos int, dense_rank int, bm25_rank int, sparse_rank int")
+
+
+def test_session_commands():
+    s = Session()
+    assert s.command("/docs", "a, b").docs == ("a", "b") and s.command("docs", "a").command("docs", "ALL").docs is None
+    assert s.command("mode", "hyde").hyde and not s.command("mode", "hyde").command("mode", "standard").hyde and s.command("mode", "hyde").command("mode", "fast").hyde
+    assert s.command("temp", "0.7").temperature == 0.7 and s.command("topk", "9").top_k == 9 and s.command("rewrite", "on").rewrite and s.command("feedback") == s
+    for bad in (("mode", "x"), ("hyde", "maybe"), ("temp", "warm"), ("nope", None)):
+        with pytest.raises(ValueError):
+            s.command(*bad)
+
+
+def test_session_search(spark, tmp_path):
+    words = ["trade data set", "price index data", "survey of trade", "nothing else here", "trade trade data"]
+    chunks = spark.createDataFrame([(f"c{i}", f"d{i % 2}", t, [1.0, i / 10]) for i, t in enumerate(words)], "chunk_id string, doc_id string, text string, embedding array<float>")
+    index_corpus(spark, chunks.select("chunk_id", "doc_id", "text"), chunks.select("chunk_id", "doc_id", "embedding"), f"file://{tmp_path}/index")
+    corpus = read_corpus(spark, f"file://{tmp_path}/index")
+    asked = spark.createDataFrame([(1, 0, "trade data", [1.0, 0.0]), (1, 1, "trade data", [1.0, 0.4]), (2, 0, "price", [1.0, 0.1])], "qid int, variant_no int, text string, embedding array<float>")
+    rows = search(corpus, asked, chunks.select("chunk_id", "text"), Session()).collect()
+    first = {r.qid: r for r in rows if r.pos == 1}
+    assert first[1].chunk_id in ("c0", "c4") and first[1].rerank_score == 1.0 and first[2].chunk_id == "c1"
+    assert len({(r.qid, r.chunk_id) for r in rows}) == len(rows) == 10
+    fast = search(corpus, asked, chunks.select("chunk_id", "text"), Session(mode="fast", docs=("d1",))).collect()
+    assert {r.doc_id for r in fast} == {"d1"} and {r.rerank_score for r in fast} == {None} and [r.pos for r in fast if r.qid == 1] == [r.merged_pos for r in fast if r.qid == 1]
+    sparse = spark.createDataFrame([(1, "survey", 5.0)], "qid int, token string, weight double")
+    assert search(corpus, asked, chunks.select("chunk_id", "text"), Session(), sparse).count() == 10
+
+
+def test_generation_is_a_column(spark):
+    rows = spark.createDataFrame([(1, 100), (2, 7500), (3, 100), (4, 100), (5, 100)], "qid int, prompt_tokens int")
+
+    def call(asked):
+        at = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), F.col("qid"))
+        return asked.withColumn("content", at("said", "", "", "", "")).withColumn("reasoning", at(None, None, None, None, None).cast("string")).withColumn("failure", at("", "", "the context is too long", "refused", ""))
+
+    got = {r.qid: r for r in providers.generated(rows, call).collect()}
+    assert {q: r.status for q, r in got.items()} == {1: "ok", 2: "overflow", 3: "overflow", 4: "connection", 5: "empty"} and got[1].answer == "said" and got[1].output_tokens == 7580 and got[3].answer is None
+    made = []
+    assert [providers.cached(lambda *k: made.append(k) or len(made), "m", "cpu") for _ in range(1)] == [1]
+    maker = made.append
+    providers.cached(maker, 5), providers.cached(maker, 5)
+    assert made.count(5) == 1
+
+
+def test_verification_text(spark):
+    chunks = spark.createDataFrame([(1, "d", "c1", "A", 1, 5, 9, 0.2), (1, "d", "c2", "B", 2, 1, 2, 0.8)], "qid int, doc_id string, chunk_id string, heading_path string, pos int, line_start int, line_end int, rerank_score double")
+    answers = spark.createDataFrame([(1, "x [[1] Fuente: d | Sección: A | Líneas: 5-9]", 1.0), (2, "nothing", None)], "qid int, answer string, consistency double")
+    cited = verification.classify(verification.citations(answers), chunks)
+    got = {r.qid: r.block for r in verification.summary_text(cited, verification.trust(answers, cited, chunks), chunks).collect()}
+    assert got[1].split("\n")[1:4] == ["  [1] d | 5-9  0.0/10 " + "░" * 10, "  [2] d | 1-2  10.0/10 " + "█" * 10, "  Citations: 1/1"] and "Consistency: OK" in got[1] and "0/0" in got[2]
+
+
+def test_answer_log_and_index_config(spark, tmp_path):
+    row = ("q", None, False, '["k1", "k2"]', 0.5, "LOW", True, "2024-01-01")
+    df = spark.createDataFrame([row], files.ANSWER_FEEDBACK)
+    for _ in range(2):
+        files.save_answer_feedback(df, f"file://{tmp_path}/log")
+    assert lifecycle.top_chunks(files.read_answer_feedback(spark, f"file://{tmp_path}/log")).first().n == 2
+    files.write_index_config(spark, {"cells": 32}, f"file://{tmp_path}/config")
+    assert ingest.config_diff(files.read_index_config(spark, f"file://{tmp_path}/config"), {"cells": 64}) == [("cells", 32, 64)]
+    assert metadata.post_filter(df, None) is df

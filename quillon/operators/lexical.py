@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from quillon.functions.text import phrases, tokens
-from quillon.runtime import written
+from quillon.runtime import ship_package, written
 
 #: BM25 constants, and the weight of a phrase that more than half of the chunks have.
 K1, B, FLOOR_IDF = 1.2, 0.75, 1e-6
@@ -27,13 +32,37 @@ class LexicalIndex:
     stats: DataFrame
 
 
+def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Token lists to postings: one sort of a batch's tokens by chunk and term, stable, so that positions ascend."""
+    for batch in batches:
+        tokens_of = batch.column(2)
+        size = pc.fill_null(pc.list_value_length(tokens_of), 0).to_numpy().astype(np.int64)
+        coded = tokens_of.flatten().dictionary_encode()
+        n = max(1, len(coded.dictionary))
+        row = np.repeat(np.arange(len(size)), size)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+        key = row * n + coded.indices.to_numpy().astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+        heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+        ends = np.append(heads, len(key)).astype(np.int32)
+        own = pa.array(key[heads] // n)
+        yield pa.RecordBatch.from_arrays(
+            [coded.dictionary.take(pa.array(key[heads] % n)), batch.column(0).take(own), batch.column(1).take(own), pa.array(size[key[heads] // n].astype(np.int32)), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order].astype(np.int32)))],
+            ["term", "chunk_id", "doc_id", "len", "tf", "positions"],
+        )
+
+
 def post(chunks: DataFrame, id_col: str = "chunk_id", doc_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Positional postings of all chunks, positions ascending. The texts are shuffled by chunk; what they explode to is not."""
-    base = chunks.select(F.col(id_col).alias("chunk_id"), F.col(doc_col).alias("doc_id"), F.col(text_col).alias("text")).repartition("chunk_id")
-    base = base.select("chunk_id", "doc_id", tokens(F.col("text")).alias("t"))
-    each = base.select("chunk_id", "doc_id", F.size("t").alias("len"), F.posexplode("t").alias("pos", "term"))
-    grouped = each.groupBy("chunk_id", "term").agg(F.first("doc_id").alias("doc_id"), F.first("len").alias("len"), F.array_sort(F.collect_list("pos")).alias("positions"))
-    return grouped.select("term", "chunk_id", "doc_id", "len", F.size("positions").alias("tf"), "positions")
+    """Positional postings of all chunks, positions ascending. Tokens are built-in expressions; a chunk's are grouped where they are, in Arrow batches: nothing is shuffled.
+
+    Chunk ids are taken to be unique; null texts have no postings.
+    """
+    ship_package(chunks.sparkSession)
+    base = chunks.select(F.col(id_col).alias("chunk_id"), F.col(doc_col).alias("doc_id"), tokens(F.col(text_col)).alias("t"))
+    ids = base.select("chunk_id", "doc_id").schema
+    schema = StructType([StructField("term", StringType()), *ids.fields]).add("len", "integer").add("tf", "integer").add("positions", ArrayType(IntegerType()))
+    return base.mapInArrow(_group, schema)
 
 
 def index_of(postings: DataFrame, chunks: DataFrame, id_col: str = "chunk_id", doc_col: str = "doc_id") -> LexicalIndex:

@@ -111,5 +111,5 @@ def test_registered_report_is_whole(spark, tmp_path):
         ("6", "WARN", "frontmatter_unclosed", 1), ("6", "WARN", "missing_title", None), ("7", "WARN", "large_table", 11), ("8", "ERROR", "frontmatter_invalid_yaml", 1), ("9", "ERROR", "frontmatter_not_mapping", 1),
     }
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = registry.QUERIES["validation_report"](spark, str(tmp_path)).select("path", "severity", "code", "line_number").collect()
+    got = registry.QUERIES["validate_documents"](spark, str(tmp_path)).select("path", "severity", "code", "line_number").collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,3 +47,11 @@ def by_bytes(items: list, sizes: list[int], limit: int) -> Iterator[list]:
         held += size
     if group:
         yield group
+
+
+def tidy() -> None:
+    """Give memory that a task no longer uses back to the machine: a worker lives on through stages that need it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -73,7 +73,7 @@ class ByteBPE:
             token[i] = content.encode()
         self.blob = np.frombuffer(b"".join(token), np.uint8)
         self.offset = np.concatenate([[0], np.cumsum([len(t) for t in token])])
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by both ids in one number
         self.pieces: dict[str, tuple[tuple[int, ...], str]] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.marks = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
@@ -84,7 +84,8 @@ class ByteBPE:
         It would not if some merge across the border comes before one that built either token: walk the border's inner
         halves, undoing the younger token each time, and look for such a merge.
         """
-        known = self.pairs.get((a, b))
+        pair = a << 32 | b
+        known = self.pairs.get(pair)
         if known is not None:
             return known
         x, y, limit, good = a, b, 1 << 40, True
@@ -100,7 +101,7 @@ class ByteBPE:
                 limit, y = y + 1, self.left[y]  # of equal ranks the left one merges first
             else:
                 break
-        self.pairs[a, b] = good
+        self.pairs[pair] = good
         return good
 
     def word(self, raw: bytes) -> list[int]:
@@ -184,7 +185,11 @@ def coder(path: str) -> ByteBPE:
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and token ids (array of int) of every whole text; null texts have no tokens."""
+    """doc_id and token ids (array of int) of every whole text.
+
+    Null and empty texts have no tokens; texts of any length are encoded whole; repeated rows alike; an empty table
+    gives no rows; other columns are ignored, whatever their names.
+    """
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,7 +203,11 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
 
 def decode_documents(rows: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """doc_id and text of every row of token ids; bytes that are no UTF-8 become U+FFFD; null ids give the empty text."""
+    """doc_id and text of every row of token ids; bytes that are no UTF-8 become U+FFFD.
+
+    Null and empty ids give the empty text; repeated rows are decoded alike; an empty table gives no rows; other columns
+    are ignored.
+    """
     prepare(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

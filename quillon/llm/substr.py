@@ -24,11 +24,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillon.llm.arrow import prepare, utf8
+from quillon.llm.arrow import prepare, tidy, utf8
 from quillon.llm.store import drop, materialize
 
 #: Words of a window and of an anchor; words of documents for each reference block; bytes hashed at once.
-WINDOW, GRAM, BLOCK_WORDS, CHUNK = 13, 3, 400_000, 1 << 20
+WINDOW, GRAM, BLOCK_WORDS, CHUNK = 13, 3, 250_000, 1 << 18
 #: An anchor is common with this share of all anchors (over 16 for each partition, bounded): so many are sent out at most.
 LEAST_SHARE = 2.0**-20
 
@@ -202,8 +202,10 @@ class Windows:
         self.words = len(lo)
         self.text = buffer.tobytes()
         self.lo, self.hi = lo, hi
-        h = word_hashes(buffer, lo, hi)
+        del raw, buffer
+        h = word_hashes(np.frombuffer(self.text, np.uint8), lo, hi)
         whole, gram = _rolled(h, _WINDOW_POWERS), _rolled(h, _GRAM_POWERS)
+        del h
         self.inside = np.flatnonzero(of[: len(whole)] == of[WINDOW - 1 :]) if len(whole) else np.zeros(0, np.int64)
         if not len(self.inside):
             return
@@ -237,6 +239,7 @@ def _tally(share: float):
             counts = np.bincount(back, np.concatenate([counts, n]), len(grams)).astype(np.int64)
             kept = counts >= share / 4 * seen  # what is rarer so far is forgotten: an undercount of a quarter at most
             grams, counts = grams[kept], counts[kept]
+        tidy()
         kept = counts >= share / 2 * seen
         found = [*grams[kept].view(np.int64).tolist(), None, None]
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array([*counts[kept].tolist(), words, None], pa.int64()), pa.array([None] * (len(found) - 1) + [seen], pa.int64())], ["gram", "n", "anchors"])
@@ -282,6 +285,7 @@ def _postings(blocks: int, common: np.ndarray, hash_bits: int):
                     out.append((int(block[a]), None, np.array([b - a, len(head)], "<i8").tobytes() + head + body))
             if out:
                 yield _rows(out)
+        tidy()
 
     return run
 
@@ -338,6 +342,7 @@ def _resolve(hash_bits: int):
                     yield _rows([(p, doc, blob)])
         if held:
             yield from answer()
+        tidy()
 
     return run
 
@@ -520,3 +525,4 @@ def _replace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             left.append(text)
         rows = batch.take(pa.array(stay, pa.int64()))
         yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(left, pa.string()), rows.column(3)], ["doc_id", "text", "rest"])
+    tidy()

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ def centres(vectors: DataFrame, cells: int, seed: int = 7) -> np.ndarray:
     rows = own.orderBy(F.xxhash64("chunk_id"), "chunk_id").limit(FIT_VECTORS).select("e").toPandas()["e"]
     if not len(rows):
         return np.zeros((0, 0))
-    x = unit(np.stack(rows))
+    x = unit(np.stack([r for r in rows if len(r) == len(rows[0])]))
     at = np.random.default_rng(seed).choice(len(x), min(cells, len(x)), replace=False)
     c = x[np.sort(at)]
     for _ in range(ROUNDS):
@@ -39,12 +40,14 @@ def centres(vectors: DataFrame, cells: int, seed: int = 7) -> np.ndarray:
 
 
 def assign(vectors: DataFrame, c: np.ndarray, n: int = 1, id_col: str = "chunk_id") -> DataFrame:
-    """``id_col`` and cell: the n nearest cells of every vector, in Arrow batches."""
+    """``id_col`` and cell: the n nearest cells of every vector, in Arrow batches. Vectors of another length than the centres', or null, have none."""
     ship_package(vectors.sparkSession)
     own = vectors.where("embedding IS NOT NULL").select(id_col, F.col("embedding").cast("array<double>").alias("e"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if len(c):
+                batch = batch.filter(pc.equal(pc.list_value_length(batch.column(1)), c.shape[1]))
             if not batch.num_rows or not len(c):
                 continue
             x = unit(batch.column(1).flatten().to_numpy().reshape(batch.num_rows, -1))

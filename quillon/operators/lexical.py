@@ -31,6 +31,14 @@ class LexicalIndex:
     lengths: DataFrame
     stats: DataFrame
 
+    @property
+    def counts(self) -> DataFrame:
+        """(term, chunk_id, tf) of every posting."""
+        return self.postings.select("term", "chunk_id", "tf")
+
+    def search(self, queries: DataFrame, k: int = 30, docs: DataFrame | None = None, qid: str = "qid", text_col: str = "text") -> DataFrame:
+        return bm25(self, queries, k, docs, qid, text_col)
+
 
 def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Token lists to postings: one sort of a batch's tokens by chunk and term, stable, so that positions ascend."""
@@ -96,7 +104,8 @@ def phrase_matches(postings: DataFrame, asked: DataFrame) -> DataFrame:
 def bm25(index: LexicalIndex, queries: DataFrame, k: int = 30, docs: DataFrame | None = None, qid: str = "qid", text_col: str = "text") -> DataFrame:
     """(qid, chunk_id, doc_id, bm25_score, bm25_rank): the k best chunks that have every phrase of the query.
 
-    Phrase weights come from all chunks, also under a document filter ``docs`` (doc_id). Equal scores go by chunk_id.
+    Phrase weights come from all chunks, also under a document filter ``docs`` (doc_id). Equal scores go by chunk_id. Of
+    rows with one chunk id each term counts once, with its best score.
 
     What is asked, with frequencies, is written once (its size then tells Spark whether to broadcast it). Of each query
     the rarest phrase's chunks are the candidates; the other phrases are looked up there alone, by (term, chunk).
@@ -118,12 +127,13 @@ def bm25(index: LexicalIndex, queries: DataFrame, k: int = 30, docs: DataFrame |
     candidates = lists.join(known.where("k = 1").select("qid", "term"), "term").select("qid", "chunk_id", "doc_id")
     if docs is not None:
         candidates = candidates.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
-    pairs = candidates.select("qid", "chunk_id").join(known.select("qid", "term", "times", "df", "n_terms"), "qid")
+    pairs = candidates.select("qid", "chunk_id").distinct().join(known.select("qid", "term", "times", "df", "n_terms"), "qid")
     asked = lists.join(known.select("term").distinct(), "term", "left_semi")
     scored = pairs.join(asked, ["term", "chunk_id"]).crossJoin(F.broadcast(index.stats))  # one row
     raw = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(raw > 0, raw).otherwise(FLOOR_IDF)
     part = F.col("times") * idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    total = scored.groupBy("qid", "chunk_id", "doc_id", "n_terms").agg(F.sum(part).alias("bm25_score"), F.count(F.lit(1)).alias("have")).where("have = n_terms")
+    each = scored.withColumn("part", part).repartition("qid", "chunk_id").groupBy("qid", "chunk_id", "term", "n_terms").agg(F.max("part").alias("part"), F.min("doc_id").alias("doc_id"))
+    total = each.groupBy("qid", "chunk_id", "n_terms").agg(F.sum("part").alias("bm25_score"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("have")).where("have = n_terms")
     order = Window.partitionBy("qid").orderBy(F.round("bm25_score", 9).desc(), "chunk_id")
     return total.withColumn("bm25_rank", F.row_number().over(order)).where(F.col("bm25_rank") <= k).select("qid", "chunk_id", "doc_id", "bm25_score", "bm25_rank")

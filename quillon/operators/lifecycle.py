@@ -275,6 +275,22 @@ def cache_lookup(queries: DataFrame, cache: DataFrame, fingerprint: str, now: in
     return queries.join(live, "cache_key", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
 
 
+def cache_set(cache: DataFrame, new: DataFrame) -> DataFrame:
+    """The cache with new entries (the cache's columns): each replaces what its key has; of several with one key the last created stays."""
+    one = new.groupBy("cache_key").agg(F.max_by(F.struct(*[c for c in cache.columns if c != "cache_key"]), "created").alias("e")).select("cache_key", "e.*")
+    return cache.join(one.select("cache_key"), "cache_key", "left_anti").select(*cache.columns).unionByName(one.select(*cache.columns))
+
+
+def cache_invalidate(cache: DataFrame, keys: DataFrame) -> DataFrame:
+    """The cache without the entries of these keys (cache_key)."""
+    return cache.join(keys.select("cache_key").distinct(), "cache_key", "left_anti").select(*cache.columns)
+
+
+def cache_clear(cache: DataFrame) -> DataFrame:
+    """No entries, the same columns."""
+    return cache.limit(0)
+
+
 def cache_touch(cache: DataFrame, hits: DataFrame, now: int) -> DataFrame:
     """Cache rows with the counters of their hits moved on."""
     n = hits.where("hit").groupBy("cache_key").agg(F.count(F.lit(1)).alias("__n"))

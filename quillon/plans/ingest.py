@@ -7,13 +7,20 @@ from dataclasses import dataclass, fields
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillon.errors import CommitConflict, GenerationUnavailable
 from quillon.functions.text import fold
 from quillon.operators import lifecycle, markdown
 from quillon.providers import ColumnProvider
 from quillon.runtime import written
 from quillon.sources import files
+from quillon.sources.segments import SegmentIndex, Snapshot
 from quillon.sources.versions import VersionedStore
 
+#: Tables of a generation with rows of documents, beside documents itself.
+OF_DOCUMENTS = ("chunks", "vectors", "fts", "document_tags", "document_rows")
+#: Ingests that are decided anew after another writer's commit, before one gives up.
+TRIES = 8
+
 _CLASS = ("title", "domain", "source_type", "language", "version")
 
 
@@ -147,38 +154,88 @@ def states(prepared: DataFrame, chunks: DataFrame, stored: Stored, force: bool =
 
 
 def read_stored(store: VersionedStore) -> Stored:
-    """The tables of a store: documents as published, of the others the rows of the generation that each document's row names."""
+    """The tables of a store: documents as published, of the others the rows of the generation that each document's row names.
+
+    ops are the journal's rows of generations that are claimed and neither published nor given up: their writer is at work or has died.
+    """
     documents = store.read("documents")
+    ops = journal(store).where("phase = 'WRITING'").select("doc_id", "phase") if store.open() else None
     if documents is None:
-        return Stored(vectors=_NO_ROWS(store.spark), fts=_NO_ROWS(store.spark))
+        return Stored(vectors=_NO_ROWS(store.spark), fts=_NO_ROWS(store.spark), ops=ops)
     now = documents.select("doc_id", "generation")
-    live = {f.name: store.history(f.name).join(now, ["doc_id", "generation"], "left_semi") for f in fields(Stored) if f.name in ("chunks", "vectors", "fts")}
-    runs = store.history("runs")
-    return Stored(documents=documents, runs=runs.where(F.col("generation").isin(store.published())), **live)
+    live = {}
+    for f in fields(Stored):
+        if f.name in ("chunks", "vectors", "fts"):
+            rows = store.history(f.name)
+            live[f.name] = rows.join(now, ["doc_id", "generation"], "left_semi") if rows is not None else _NO_ROWS(store.spark)
+    return Stored(documents=documents, runs=store.history("runs"), ops=ops, **live)
 
 
 def _NO_ROWS(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "doc_id string, chunk_id string, text_sha string")
 
 
-def run(spark: SparkSession, folder: str, store: VersionedStore, force: bool = False, strict: bool = False, embed: ColumnProvider | None = None, model: tuple[str, int] | None = None) -> DataFrame:
+def journal(store: VersionedStore) -> DataFrame:
+    """(doc_id, operation, generation, phase): what was begun for each document; DONE once its generation is published, GIVEN_UP once it never will be."""
+    _, entry = store.state()
+    have = [x for x in store._names(f"{store.root}/_ops") if x.startswith("generation=")]
+    if not have:
+        return store.spark.createDataFrame([], "doc_id string, operation string, generation long, phase string")
+    rows = store.spark.read.option("basePath", f"{store.root}/_ops").schema("doc_id string, operation string, generation long").parquet(*[f"{store.root}/_ops/{x}" for x in have])
+    phase = F.when(F.col("generation").isin(entry["published"]), "DONE").when(F.col("generation").isin(entry["given_up"]), "GIVEN_UP").otherwise("WRITING")
+    return rows.withColumn("phase", phase)
+
+
+def _begin(store: VersionedStore, docs: DataFrame, operation: str) -> int:
+    """Claim a generation and journal the documents (doc_id) that it is about, before anything of it is written."""
+    g = store.next_generation()
+    docs.select("doc_id", F.lit(operation).alias("operation")).write.parquet(f"{store.root}/_ops/generation={g}")
+    return g
+
+
+def lexical(store: VersionedStore) -> tuple[SegmentIndex, Snapshot]:
+    """The index of what is published, and the snapshot of it that belongs to the published documents."""
+    index = SegmentIndex(store.spark, f"{store.root}/_lexical")
+    return index, index.snapshot(store.state()[1]["extra"].get("lexical", 0))
+
+
+def run(
+    spark: SparkSession, folder: str, store: VersionedStore, force: bool = False, strict: bool = False, embed: ColumnProvider | None = None, model: tuple[str, int] | None = None, lease_minutes: float = 30.0,
+) -> DataFrame:
     """Ingest a folder of Markdown: publish new and changed documents as one generation; returns (doc_id, path, decision, error).
 
-    A generation holds only what is new: chunks, vectors (``embed`` adds the column embedding), index rows, tags and
-    runs; the documents table says for each document which generation counts, and is the one thing that is written
-    anew. Documents that are refused or unchanged keep what is published; a crash before the pointer moves leaves the
-    old state, and the generation's number is not used again. Nothing new: no generation. Run and batch rows of files
-    that failed are written with the generation, if there is one.
+    A generation holds only what is new: chunks, vectors (``embed`` adds the column embedding), index rows, tags, rows
+    and runs; the documents table says for each document which generation counts, and is the one thing that is written
+    anew. The lexical index gets a segment of the new chunks, and which of its commits counts is said by the same log
+    entry, so a search sees a document as soon as, and never before, it is published.
+
+    Documents that are refused or unchanged keep what is published. A generation is claimed and its documents journaled
+    before it is written; a crash leaves the old state, and its documents refused as pending until the lease is over (or
+    ``store.recover()`` says that the writer is dead). Where another writer publishes first, this one gives its
+    generation up, reads the new state and decides again. Nothing new: no generation. Run and batch rows of files that
+    failed are written with the generation, if there is one.
     """
+    store.recover(lease_minutes)
     prepared = written(prepare(files.read_markdown(spark, folder), strict), "prepared")
     chunks = written(markdown.chunk_documents(prepared.where("ok").withColumnRenamed("clean", "body"), "doc_id", "body"), "chunks")
+    for _ in range(TRIES):
+        try:
+            return _publish(store, prepared, chunks, force, embed, model)
+        except CommitConflict:
+            continue
+    raise CommitConflict(f"{store.root}: {TRIES} ingests were overtaken by other writers")
+
+
+def _publish(store: VersionedStore, prepared: DataFrame, chunks: DataFrame, force: bool, embed: ColumnProvider | None, model: tuple[str, int] | None) -> DataFrame:
+    """One try of an ingest from the state as it is now."""
+    base, entry = store.state()
     stored = read_stored(store)
     decided = written(lifecycle.decide(states(prepared, chunks, stored, force, model)).select("doc_id", "path", "decision", "reason"), "decided")
     outcome = prepared.select("doc_id", "path", "error").join(decided.select("path", "decision", "reason"), "path", "left").select("doc_id", "path", F.coalesce("decision", F.lit("FAILED")).alias("decision"), F.coalesce("error", F.when(F.col("decision").isin("INCOHERENT", "INSUFFICIENT_EVIDENCE", "NOT_OWNER"), F.col("reason"))).alias("error"))
     accepted = decided.where("decision IN ('CREATE', 'REPLACE')").select("doc_id")
     if accepted.isEmpty():
         return outcome
-    g = store.next_generation()
+    g = _begin(store, accepted, "ingest")
     new = chunks.join(accepted, "doc_id", "left_semi")
     if model is not None:
         new = new.withColumn("model_version", F.lit(model[0])).withColumn("embedding_dim", F.lit(model[1]))
@@ -192,17 +249,112 @@ def run(spark: SparkSession, folder: str, store: VersionedStore, force: bool = F
     state = F.when(F.col("decision").isin("CREATE", "REPLACE"), "COMMITTED").when(F.col("decision").startswith("NOOP"), "SKIPPED").otherwise("FAILED")
     batch = outcome.select(F.lit(g).cast("long").alias("batch_id"), "doc_id", "path", state.alias("state"), "error")
     tags = front.select("doc_id", F.explode("all_tags").alias("tag"))
-    store.append({"chunks": new, "vectors": vectors, "fts": _shas(new), "document_tags": tags, "runs": runs, "batch_documents": batch, "batches": lifecycle.batch_status(batch)}, g)
-    row = front.select("doc_id", "path", F.col("md5").alias("content_hash"), *_CLASS, "tags", run_id.alias("run_id"), F.lit(g).cast("long").alias("generation"))
     old = stored.documents
-    store.publish({"documents": row if old is None else old.join(accepted, "doc_id", "left_anti").unionByName(row)}, g)
+    row = front.select("doc_id", "path", F.col("md5").alias("content_hash"), *_CLASS, "tags", run_id.alias("run_id"), F.lit(g).cast("long").alias("generation"))
+    # what each document comes after: where its run goes back to
+    before = row.withColumn("previous", F.lit(None).cast("long")) if old is None else row.join(old.select("doc_id", F.col("generation").alias("previous")), "doc_id", "left")
+    own = before.drop("generation")
+    store.append({"chunks": new, "vectors": vectors, "fts": _shas(new), "document_tags": tags, "document_rows": own, "runs": runs, "batch_documents": batch, "batches": lifecycle.batch_status(batch)}, g)
+    index, snap = lexical(store)
+    written_new = store.read("chunks", g).select("chunk_id", "doc_id", "text")
+    number = index.add(written_new, base=snap.number)
+    store.publish({"documents": row if old is None else old.join(accepted, "doc_id", "left_anti").unionByName(row)}, g, base, {"lexical": number})
     return outcome
 
 
 def published(store: VersionedStore, name: str = "chunks") -> DataFrame | None:
     """The rows of a table that count now: of each document those of the generation that its row names."""
     documents = store.read("documents")
-    return None if documents is None else store.history(name).join(documents.select("doc_id", "generation"), ["doc_id", "generation"], "left_semi")
+    rows = store.history(name)
+    return None if documents is None or rows is None else rows.join(documents.select("doc_id", "generation"), ["doc_id", "generation"], "left_semi")
+
+
+# -- single documents
+
+
+def delete_documents(store: VersionedStore, docs: DataFrame) -> int:
+    """Delete documents (doc_id) that are published; returns how many. Only the table of documents is written anew, and tombstones in the index.
+
+    Their rows stay in their generations, out of every reader's sight, until a compaction. Ids that aren't published are passed over.
+    """
+    base, _ = store.state()
+    old = store.read("documents")
+    if old is None:
+        return 0
+    gone = written(old.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id"), "deleted")
+    n = gone.count()
+    if n:
+        g = _begin(store, gone, "delete")
+        index, snap = lexical(store)
+        number = index.remove(gone, base=snap.number)
+        store.publish({"documents": old.join(gone, "doc_id", "left_anti")}, g, base, {"lexical": number}, "delete")
+    return n
+
+
+def roll_back_runs(store: VersionedStore, runs: DataFrame) -> int:
+    """Undo runs (run_id), each of one document: it goes back to what it was before that run, or away if it was new.
+
+    GenerationUnavailable, and nothing changes, where a run isn't its document's active one, or what came before it has
+    been compacted away. Other documents' files aren't touched.
+    """
+    base, entry = store.state()
+    old = store.read("documents")
+    asked = written(runs.select("run_id").distinct(), "asked-runs")
+    if old is None or asked.isEmpty():
+        if asked.isEmpty():
+            return 0
+        raise GenerationUnavailable("nothing is published")
+    active = old.select("doc_id", F.col("run_id").alias("active_run"), "generation")
+    found = asked.join(active, F.col("run_id") == F.col("active_run"), "left")
+    refused = found.where(~lifecycle.may_roll_back(F.col("run_id"), F.col("active_run"))).select("run_id").limit(3).collect()
+    if refused:
+        raise GenerationUnavailable(f"not active: {', '.join(r.run_id for r in refused)}")
+    rows = store.history("document_rows")
+    back = written(found.select("doc_id", "generation").join(rows.select("doc_id", "generation", "previous"), ["doc_id", "generation"]).select("doc_id", F.col("previous").alias("generation")), "rolled-back")
+    lost = back.where(F.col("generation").isNotNull() & ~F.col("generation").isin(entry["published"])).limit(1).collect()
+    if lost or back.count() != asked.count():
+        raise GenerationUnavailable("what came before has been compacted away")
+    g = _begin(store, back, "roll_back")
+    kept = old.join(back, "doc_id", "left_anti")
+    restored = rows.join(back.where("generation IS NOT NULL"), ["doc_id", "generation"], "left_semi").select(*old.columns)
+    index, snap = lexical(store)
+    number = index.remove(back.where("generation IS NULL"), base=snap.number)
+    again = store.history("chunks").join(back.where("generation IS NOT NULL"), ["doc_id", "generation"], "left_semi").select("chunk_id", "doc_id", "text")
+    number = index.add(again, base=number)
+    store.publish({"documents": kept.unionByName(restored)}, g, base, {"lexical": number}, "roll_back")
+    return back.count()
+
+
+def compact(store: VersionedStore, keep: int = 2) -> list[str]:
+    """Write what counts as one generation, merge the index, and delete what none of the last ``keep`` log entries counts on; returns what went.
+
+    Reads after it touch one folder a table, however many generations there were. Runs can't be gone back behind it.
+    """
+    base, _ = store.state()
+    old = store.read("documents")
+    if old is None:
+        return []
+    g = _begin(store, old, "compact")
+    tables = {}
+    for name in OF_DOCUMENTS:
+        rows = published(store, name)
+        if rows is not None:
+            rows = rows.drop("generation")
+            tables[name] = rows.withColumn("previous", F.lit(None).cast("long")) if name == "document_rows" else rows
+    runs = store.history("runs")
+    if runs is not None:
+        tables["runs"] = runs.join(old.select("run_id"), "run_id", "left_semi").drop("generation")
+    for name in ("batches", "batch_documents"):
+        rows = store.history(name)
+        if rows is not None:
+            tables[name] = rows.drop("generation")
+    index, snap = lexical(store)
+    number = index.merge(base=snap.number) or snap.number
+    tables["documents"] = old.withColumn("generation", F.lit(g).cast("long"))
+    store.publish(tables, g, base, {"lexical": number}, "compact", only=True)
+    gone = store.vacuum(keep)
+    named = [store.state(n)[1]["extra"].get("lexical", 0) for n in store.log.numbers() if store.log.entry(n) is not None]
+    return gone + [f"_lexical/{x}" for x in index.vacuum(0, tuple(named))]
 
 
 # -- repairs and migrations

@@ -22,10 +22,10 @@ from quillon.functions import text as T
 from quillon.operators import context, lifecycle, markdown, metadata, metrics, verification
 from quillon.operators.dense import dense_topk, sparse_coverage, sparse_rank
 from quillon.operators.fusion import candidate_pool, document_cap, document_mmr, weighted_rrf
-from quillon.operators.lexical import bm25
 from quillon.plans.retrieval import Corpus, expand_queries, explain, hybrid_search, index_corpus, merge_variants, read_corpus, rerank, run_variant
 from quillon.providers import overlap_score
-from quillon.runtime import shared_folder
+from quillon.runtime import shared_folder, written
+from quillon.sources.log import delete, stamp
 from quillon.streaming import jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +57,8 @@ def _chunks(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents")).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("doc_id"), "text", "lang")
 
 
-_CORPORA: dict[tuple[str, str], str] = {}
+#: By application and folder: what the tables were when the index was written, and where it is.
+_CORPORA: dict[tuple[str, str], tuple[tuple, str]] = {}
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -66,12 +67,17 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _corpus(spark: SparkSession, d: str) -> Corpus:
+    """The index of a folder's tables as they are now: written anew, and the old one deleted, where a file's name, size or time is another."""
     key = (spark.sparkContext.applicationId, d)
-    if key not in _CORPORA:
+    now = tuple(stamp(spark, f"{d}/{name}.parquet") for name in ("documents", "embeddings"))
+    then, root = _CORPORA.get(key, (None, None))
+    if then != now:
+        if root is not None:
+            delete(spark, root)
         root = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
         index_corpus(spark, _chunks(spark, d), _vectors(spark, d), root)
-        _CORPORA[key] = root
-    return read_corpus(spark, _CORPORA[key])
+        _CORPORA[key] = (now, root)
+    return read_corpus(spark, root)
 
 
 def _queries(spark: SparkSession, d: str) -> DataFrame:
@@ -162,12 +168,12 @@ def postings_df(spark: SparkSession, d: str) -> DataFrame:
 
 @register(f"WITH {_BM25}, {_ranked('r', 'bm', 's', 30)} SELECT qid, chunk_id, doc_id, round(s, 6) AS bm25_score, rk AS bm25_rank FROM r")
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
-    return bm25(_corpus(spark, d).lexical, _queries(spark, d), 30).withColumn("bm25_score", F.round("bm25_score", 6))
+    return _corpus(spark, d).lexical.search(_queries(spark, d), 30).withColumn("bm25_score", F.round("bm25_score", 6))
 
 
 @register(f"WITH {_BM25}, {_ranked('r', 'bm', 's', 30, _ODD)} SELECT qid, chunk_id, doc_id, round(s, 6) AS bm25_score, rk AS bm25_rank FROM r")
 def bm25_filtered(spark: SparkSession, d: str) -> DataFrame:
-    return bm25(_corpus(spark, d).lexical, _queries(spark, d), 30, _en(spark, d)).withColumn("bm25_score", F.round("bm25_score", 6))
+    return _corpus(spark, d).lexical.search(_queries(spark, d), 30, _en(spark, d)).withColumn("bm25_score", F.round("bm25_score", 6))
 
 
 # -- dense, sparse, fusion
@@ -187,7 +193,7 @@ def dense_filtered(spark: SparkSession, d: str) -> DataFrame:
 def sparse_rescore(spark: SparkSession, d: str) -> DataFrame:
     q = _queries(spark, d)
     corpus = _corpus(spark, d)
-    pool = candidate_pool(dense_topk(corpus.vectors, q, _K), bm25(corpus.lexical, q, _K))
+    pool = candidate_pool(dense_topk(corpus.vectors, q, _K), corpus.lexical.search(q, _K))
     return sparse_rank(pool, _query_sparse(spark, d), corpus.sparse).select("qid", "chunk_id", "pool_pos", "sparse_score", "sparse_rank")
 
 
@@ -244,7 +250,8 @@ _POS = ", h AS (SELECT qid, chunk_id, doc_id, final_pos AS pos, dense_rank, bm25
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    return _hybrid(spark, d, "mmr").withColumn("pos", F.col("final_pos"))
+    """Hits of all queries, written once for all measures that read them; so building such a query searches."""
+    return written(_hybrid(spark, d, "mmr"), "hits").withColumn("pos", F.col("final_pos"))
 
 
 @register(
@@ -305,7 +312,7 @@ _GRID_SQL = ", ".join(f"({i}, {k}, {a}::DOUBLE, {b}::DOUBLE, {s}::DOUBLE)" for i
 def grid_calibration(spark: SparkSession, d: str) -> DataFrame:
     q = _queries(spark, d)
     corpus = _corpus(spark, d)
-    pool = candidate_pool(dense_topk(corpus.vectors, q, _K), bm25(corpus.lexical, q, _K))
+    pool = candidate_pool(dense_topk(corpus.vectors, q, _K), corpus.lexical.search(q, _K))
     ranked = sparse_rank(pool, _query_sparse(spark, d), corpus.sparse)
     grid = spark.createDataFrame(_GRID, "config_id int, rrf_k int, dense_w double, bm25_w double, sparse_w double")
     hits = metrics.calibrate(ranked, grid)

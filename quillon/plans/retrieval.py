@@ -12,8 +12,10 @@ from quillon.config import DEFAULTS, Settings
 from quillon.functions.text import last_terms, without_stop_words
 from quillon.operators.dense import dense_topk, sparse_coverage, sparse_rank
 from quillon.operators.fusion import candidate_pool, document_cap, document_mmr, weighted_rrf
-from quillon.operators.lexical import LexicalIndex, bm25, index_of, post
+from quillon.operators.lexical import LexicalIndex
 from quillon.providers import overlap_score
+from quillon.sources.log import names_in
+from quillon.sources.segments import IndexView, SegmentIndex
 
 #: Presets: signals used, and diversity (off, cap or mmr).
 VARIANTS = {
@@ -35,7 +37,7 @@ class Corpus:
     """What a search reads: vectors(chunk_id, doc_id, embedding), the lexical index, sparse(chunk_id, token, weight), and by which column diversity counts."""
 
     vectors: DataFrame
-    lexical: LexicalIndex
+    lexical: LexicalIndex | IndexView
     sparse: DataFrame | None = None
     coverage: DataFrame | None = None  # (coverage), one row: the share of chunks with sparse weights, where it is known
 
@@ -77,7 +79,7 @@ def hybrid_search(
     k = settings.candidate_multiplier * settings.top_k
     nothing = queries.where("false")
     dense = dense_topk(corpus.vectors, queries if "dense" in signals else nothing, k, docs)
-    lexical = bm25(corpus.lexical, queries if "bm25" in signals else nothing, k, docs)
+    lexical = corpus.lexical.search(queries if "bm25" in signals else nothing, k, docs)
     pool = candidate_pool(dense, lexical)
     if "sparse" in signals and corpus.sparse is not None and query_sparse is not None:
         if corpus.sparse_share() >= settings.sparse_coverage:
@@ -148,11 +150,7 @@ def presets(**changes: object) -> Settings:
 
 
 def write_corpus(corpus: Corpus, root: str) -> None:
-    """Write an index once for many searches.
-
-    Postings stay where their chunks are and are sorted by term inside each file, so that a search's terms prune row
-    groups, nothing is shuffled but what is counted, and a common term's list is spread over all files.
-    """
+    """Write the plain tables of a corpus once for many searches. A search over them reads all postings; :func:`index_corpus` writes an index that is read by address."""
     root = root.rstrip("/")
     corpus.vectors.write.mode("overwrite").parquet(f"{root}/vectors")
     corpus.lexical.postings.sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{root}/postings")
@@ -164,29 +162,27 @@ def write_corpus(corpus: Corpus, root: str) -> None:
 
 
 def index_corpus(spark: SparkSession, chunks: DataFrame, vectors: DataFrame, root: str) -> None:
-    """Write the index of ``chunks`` (chunk_id, doc_id, text): the texts are read and tokenized once, all else comes from the written postings.
+    """Write the index of ``chunks`` (chunk_id, doc_id, text) as a first segment, to which later ones may be added; the texts are read and tokenized once.
 
     Sparse weights are the postings' term counts, so no table of their own is written.
     """
     root = root.rstrip("/")
-    post(chunks).sortWithinPartitions("term", "chunk_id").write.mode("overwrite").parquet(f"{root}/postings")
-    index = index_of(spark.read.parquet(f"{root}/postings"), chunks)
-    for name, df in (("terms", index.terms), ("lengths", index.lengths), ("vectors", vectors)):
-        df.write.mode("overwrite").parquet(f"{root}/{name}")
-    lengths = spark.read.parquet(f"{root}/lengths")
-    lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avg_len")).write.mode("overwrite").parquet(f"{root}/stats")
+    SegmentIndex(spark, f"{root}/lexical").add(chunks)
+    vectors.write.mode("overwrite").parquet(f"{root}/vectors")
 
 
 def read_corpus(spark: SparkSession, root: str, sparse: bool = True) -> Corpus:
     """A written index; where it has no table of sparse weights, term counts stand in."""
     root = root.rstrip("/")
     read = lambda name: spark.read.parquet(f"{root}/{name}")
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/sparse")
-    own = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-    lexical = LexicalIndex(read("postings"), read("terms"), read("lengths"), read("stats"))
+    there = names_in(spark, root)
+    if "lexical" in there:
+        lexical = SegmentIndex(spark, f"{root}/lexical").view()
+    else:
+        lexical = LexicalIndex(read("postings"), read("terms"), read("lengths"), read("stats"))
     if not sparse:
         return Corpus(read("vectors"), lexical)
-    if own:
+    if "sparse" in there:
         return Corpus(read("vectors"), lexical, read("sparse"))
-    weights = lexical.postings.select("chunk_id", F.col("term").alias("token"), F.col("tf").cast("double").alias("weight"))
+    weights = lexical.counts.select("chunk_id", F.col("term").alias("token"), F.col("tf").cast("double").alias("weight"))
     return Corpus(read("vectors"), lexical, weights, sparse_coverage(lexical.lengths, "len > 0"))

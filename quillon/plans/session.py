@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillon.config import DEFAULTS, Settings
+from quillon.errors import CommandUnknown
 from quillon.operators.metadata import post_filter
 from quillon.plans.retrieval import Corpus, hybrid_search, merge_variants, rerank
 from quillon.providers import overlap_score
@@ -32,21 +33,21 @@ class Session:
         """The session after a setting command (docs, mode, temp, topk, hyde, rewrite, feedback); without a value it stays as it is. Else ValueError."""
         name = name.lower().lstrip("/")
         if name not in ("docs", "mode", "temp", "topk", "hyde", "rewrite", "feedback"):
-            raise ValueError(f"unknown command: {name}")
+            raise CommandUnknown(f"unknown command: {name}")
         if value is None:
             return self
         if name == "docs":
             return replace(self, docs=None if value.lower() == "all" else tuple(x.strip() for x in value.split(",")))
         if name == "mode":
             if value.lower() not in MODES:
-                raise ValueError(f"mode is one of {', '.join(MODES)}")
+                raise CommandUnknown(f"mode is one of {', '.join(MODES)}")
             return replace(self, mode=value.lower(), hyde={"hyde": True, "standard": False}.get(value.lower(), self.hyde))
         if name == "temp":
             return replace(self, temperature=float(value))
         if name == "topk":
             return replace(self, top_k=int(value))
         if value.lower() not in ("on", "off"):
-            raise ValueError(f"{name} is on or off")
+            raise CommandUnknown(f"{name} is on or off")
         return replace(self, **{name: value.lower() == "on"})
 
 

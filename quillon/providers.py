@@ -77,7 +77,7 @@ def generated(rows: DataFrame, call: ColumnProvider, settings: Settings = DEFAUL
     asked = call(rows.where(fits).withColumn("output_tokens", output_budget(room, settings, thinking)))
     failure = F.lower(F.coalesce("failure", F.lit("")))
     # How model servers say that a prompt is too long.
-    long = failure.rlike("exceed_context_size|exceeds the context|n_ctx|context.*(exceed|too long|maximum)|(exceed|too long|maximum).*context")
+    long = failure.rlike("(?s)exceed_context_size|exceeds the context|n_ctx|context.*(exceed|too long|maximum)|(exceed|too long|maximum).*context")
     answer = F.nullif(answer_from(F.col("content"), F.col("reasoning")), F.lit(""))
     status = F.when(long, "overflow").when(failure != "", "connection").when(answer.isNull(), "empty").otherwise("ok")
     done = asked.withColumn("status", status).withColumn("answer", F.when(F.col("status") == "ok", answer)).drop("content", "failure")

@@ -9,6 +9,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quillon.errors import SharedFolderMissing
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
@@ -26,7 +28,7 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        raise SharedFolderMissing("spark.checkpoint.dir must name a folder that all machines share")
     own = f"/tmp/checkpoints/{uuid.uuid4().hex}"
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     atexit.register(shutil.rmtree, own, ignore_errors=True)

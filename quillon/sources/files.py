@@ -7,6 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillon.errors import SuiteInvalid
 from quillon.functions.text import clean_markdown
 
 # File names that count as Markdown.
@@ -64,7 +65,7 @@ def load_suite(spark: SparkSession, path: str) -> DataFrame:
         found = json.loads(text)
     rows = found.get("queries", []) if isinstance(found, dict) else found or []
     if not rows:
-        raise ValueError(f"no queries in {path}")
+        raise SuiteInvalid(f"no queries in {path}")
     names = [c.strip().split(" ")[0] for c in SUITE.split(", ")]
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in rows], SUITE)
 

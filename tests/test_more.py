@@ -24,9 +24,22 @@ def test_environment(tmp_path):
     assert (s.top_k, s.rrf_k, s.mmr_on, s.mmr_lambda) == (7, 30, False, config.DEFAULTS.mmr_lambda)
 
 
-def test_errors():
-    e = errors.ContextOverflowError("too long", required_tokens=9, budget_tokens=5, window=8)
-    assert isinstance(e, errors.EngineError) and (e.required_tokens, e.budget_tokens, e.window) == (9, 5, 8)
+def test_errors_are_contracts(spark, tmp_path):
+    """Every error class is raised by the contract that it names, and is a ValueError for those who don't know it."""
+    from quillon.sources.versions import VersionedStore
+
+    (tmp_path / "suite.json").write_text("[]")
+    with pytest.raises(errors.SuiteInvalid):
+        files.load_suite(spark, f"file://{tmp_path}/suite.json")
+    with pytest.raises(errors.CommandUnknown):
+        Session().command("/nothing", "x")
+    store = VersionedStore(spark, f"file://{tmp_path}/store")
+    with pytest.raises(errors.GenerationUnavailable):
+        store.roll_back(["t"], 1)
+    store.publish({"t": spark.range(1)})
+    with pytest.raises(errors.CommitConflict):
+        store.publish({"t": spark.range(2)}, base=0)
+    assert store.open() == [] and store.generation("t") == 1 and issubclass(errors.ContractError, ValueError)
 
 
 def test_timer_and_log(spark, tmp_path):

@@ -19,6 +19,8 @@ from quillon.llm.tokencount import trimmed
 
 #: Labelled rows that the model is fitted on, at most: those with the smallest hash of their id.
 FIT_ROWS = 8000
+#: Tasks that sum word contexts, at most.
+SUM_TASKS = 2048
 #: Word slots, dimensions, non-zero entries of an index vector, neighbours on each side, hidden units, seed.
 SLOTS, DIMS, ONES, REACH, HIDDEN, SEED = 1 << 14, 64, 8, 2, 32, 20240613
 #: Tokens of a text that are pooled at once; length of a pooled row.
@@ -191,7 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = sample.withColumn("n", F.row_number().over(first)).where("n = 1").repartition(8).select("k", "text", "y")
     sample = materialize(sample, "quality-sample")
     sums = np.zeros((SLOTS, DIMS))
-    every = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(_contexts, _SUMS).repartition(8, "slot").mapInArrow(_summed, _SUMS)
+    # a task sends SLOTS rows at most, whatever it reads: of many splits several go through one task, so that what is sent stays bounded
+    every = docs.select(F.col(text_col).cast("string").alias("text")).coalesce(SUM_TASKS).mapInArrow(_contexts, _SUMS).repartition(8, "slot").mapInArrow(_summed, _SUMS)
     for row in every.toPandas().itertuples(index=False):
         sums[row.slot] = np.frombuffer(row.sums, np.float64)
     vectors = word_vectors(sums)

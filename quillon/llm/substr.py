@@ -3,9 +3,9 @@
 The reference text is every document that comes before (smaller id), kept in blocks of word sequences. Where a document
 may be factored is found by anchors: every 13-word window has one run of GRAM words with the least hash, so windows that
 are equal have equal anchors and the pieces of text around an anchor meet in one block. A block factors each piece
-against the pieces of earlier documents: the longest run of words from the left that such a piece has too is a factor if
-it is a window long, and the parse goes on at its border, where the windows that straddle it are looked up on their own.
-Hashes only propose; a factor counts when its words equal the reference's, byte by byte. Factors of neighbouring pieces
+against the pieces of earlier documents. It is not the greedy parse of the textbook: each window is referred to the
+smallest id that has it, and a factor is a run of windows referred to one document, so a passage that a later document has
+in one piece may come as two factors of two documents. Which words are covered is the same under either parse. Hashes only propose; a factor counts when its words equal the reference's, byte by byte. Factors of neighbouring pieces
 with one source are joined again where the document is cut.
 
 Anchors that are too common to be a block's (found by a first pass over all documents) rank behind all others. Windows

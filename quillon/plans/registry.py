@@ -6,7 +6,8 @@ is a query. By its number modulo 3 it is asked in words as its first two tokens,
 token, or as all its tokens; sparse weights are of all its tokens, its vector is that of vec_id = item_id. Judgements are
 arithmetic on the query's number. Events play logs: their type is a state, a phase or a kind of feedback.
 
-The corpus is indexed once for a session and folder, in the shared folder; all searches read that index.
+The corpus is indexed once for a session and folder, in the shared folder, and again where a table's files are others; all
+searches read that index.
 """
 
 from __future__ import annotations

@@ -187,3 +187,20 @@ def test_log_entries_are_json(spark, tmp_path):
     index.add(texts(spark, {"a": ["trade"]}))
     entry = json.loads((tmp_path / "i" / "log" / "000000000001.json").read_text())
     assert [s["chunks"] for s in entry["segments"]] == [1] and entry["dead"] == []
+
+
+def test_the_registered_index_follows_its_folder(spark, tmp_path):
+    """Tables written anew are indexed anew, and the old index goes."""
+    from quillon.plans import registry
+
+    d, seen = f"file://{tmp_path}", []
+    for n in (5, 40):
+        spark.range(n).selectExpr("id AS doc_id", "concat('common word', id) AS text", "'en' AS lang", "'src1' AS source", "5 AS n_chars").coalesce(1).write.mode("overwrite").parquet(f"{d}/documents.parquet")
+        spark.range(n).selectExpr("id AS vec_id", "array(1.0F) AS embedding", "1 AS label").coalesce(1).write.mode("overwrite").parquet(f"{d}/embeddings.parquet")
+        assert registry.postings_df(spark, d).count() == n + 1
+        seen.append(registry._CORPORA[(spark.sparkContext.applicationId, d)][1])
+        registry.postings_df(spark, d)
+        assert registry._CORPORA[(spark.sparkContext.applicationId, d)][1] == seen[-1]
+    from quillon.sources.log import names_in
+
+    assert seen[0] != seen[1] and names_in(spark, seen[0]) == [] != names_in(spark, seen[1])

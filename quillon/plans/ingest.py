@@ -182,7 +182,7 @@ def journal(store: VersionedStore) -> DataFrame:
     if not have:
         return store.spark.createDataFrame([], "doc_id string, operation string, generation long, phase string")
     rows = store.spark.read.option("basePath", f"{store.root}/_ops").schema("doc_id string, operation string, generation long").parquet(*[f"{store.root}/_ops/{x}" for x in have])
-    phase = F.when(F.col("generation").isin(entry["published"]), "DONE").when(F.col("generation").isin(entry["given_up"]), "GIVEN_UP").otherwise("WRITING")
+    phase = F.when(F.col("generation").isin([*entry["published"], *entry["settled"]]), "DONE").when(F.col("generation").isin(entry["given_up"]), "GIVEN_UP").otherwise("WRITING")
     return rows.withColumn("phase", phase)
 
 

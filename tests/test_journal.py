@@ -129,6 +129,7 @@ def test_reads_stay_flat(spark, tmp_path, place):
     ingest.compact(store, keep=1)
     folders = lambda t: [x for x in os.listdir(tmp_path / "store" / t) if x.startswith("generation=")]
     assert all(folders(t) == ["generation=3"] for t in (*ingest.OF_DOCUMENTS, "documents", "runs", "batches"))
+    assert store.open() == [] and {r.phase for r in ingest.journal(store).collect()} == {"DONE"}
     assert searched(spark, store) == want and store.history("batches").count() == 2
     with pytest.raises(GenerationUnavailable):
         ingest.roll_back_runs(store, spark.createDataFrame([("000000001-a",)], "run_id string"))

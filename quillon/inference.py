@@ -90,5 +90,5 @@ def encoder(make: Callable[..., Model], *key: object, dim: int, text_col: str =
 
 def hashed(rows: DataFrame, text_col: str = "text", out: str = "embedding", dim: int = 256) -> DataFrame:
     """``rows`` with the deterministic encoder's ``out`` and failure; a null text has none, a text without tokens the zero vector."""
-    joined = rows.withColumn("__tokens", F.array_join(tokens(F.col(text_col)), " "))
+    joined = rows.withColumn("__tokens", F.when(F.col(text_col).isNotNull(), F.array_join(tokens(F.col(text_col)), " ")))
     return encoder(HashingEncoder, dim, dim=dim, text_col="__tokens", out=out)(joined).drop("__tokens")

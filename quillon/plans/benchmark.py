@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from quillon.config import DEFAULTS, Settings
 from quillon.operators import metrics
 from quillon.plans.retrieval import Corpus, rerank, run_variant
+from quillon.plans.timing import PhaseTimer, observed
 from quillon.providers import overlap_score
 from quillon.runtime import written
 
@@ -54,14 +55,46 @@ def summary(per_query: DataFrame, names: tuple[str, ...] = METRICS) -> DataFrame
     return metrics.rollup(per_query, list(names))
 
 
-def report(per_query: DataFrame, variant: str = "full") -> DataFrame:
-    """(kind, category, qid, n_queries, recall@5, mrr, ndcg@10) of one variant: overall, each category, and the weak (recall@5 under a half) and strong (1) queries."""
+LATENCY = "variant string, repeat int, plan_ms double, search_ms double, total_ms double, n_hits long, n_queries long"
+
+
+def latencies(names: list[str], corpus: Corpus, queries: DataFrame, query_sparse: DataFrame | None = None, settings: Settings = DEFAULTS, texts: DataFrame | None = None, repeats: int = 3) -> DataFrame:
+    """LATENCY: milliseconds a query of every variant and repeat, building the plan (with what that writes) and running it, and what was observed in the run: hits, and queries with any.
+
+    Measured over the whole batch and divided by its queries, since a batch is what runs. The driver gets one row per variant and repeat.
+    """
+    n, rows = max(queries.count(), 1), []
+    for name in names:
+        for repeat in range(repeats):
+            with PhaseTimer() as timer:
+                timer.start("plan")
+                hits = run_variant(name, corpus, queries, query_sparse, settings, texts=texts)
+            seen, seconds = observed(hits, n_hits=F.count(F.lit(1)), n_queries=F.count_if(F.col("final_pos") == 1))
+            plan = 1000 * timer.seconds["plan"] / n
+            rows.append((name, repeat, plan, 1000 * seconds / n, plan + 1000 * seconds / n, seen["n_hits"], seen["n_queries"]))
+    return queries.sparkSession.createDataFrame(rows, LATENCY)
+
+
+def latency_by_variant(measured: DataFrame) -> DataFrame:
+    """(variant, p50, p95, p99, mean): milliseconds a query over a variant's repeats."""
+    return metrics.latency_summary(measured, ["variant"], "total_ms")
+
+
+def report(per_query: DataFrame, variant: str = "full", measured: DataFrame | None = None) -> DataFrame:
+    """(kind, category, qid, n_queries, recall@5, mrr, ndcg@10) of one variant: overall, each category, and the weak (recall@5 under a half) and strong (1) queries.
+
+    With ``measured`` (LATENCY) also p50, p95 and p99 of the variant, in the overall row; null where it wasn't measured.
+    """
     own = per_query.where(F.col("variant") == variant)
     shown = ("recall@5", "mrr", "ndcg@10")
     sums = summary(own, shown).select(F.when(F.col("category").isNull(), "overall").otherwise("category").alias("kind"), "category", F.lit(None).cast(own.schema["qid"].dataType).alias("qid"), "n_queries", *[f"`{m}`" for m in shown])
     kind = F.when(F.col("`recall@5`") < 0.5, "weak").when(F.col("`recall@5`") == 1.0, "strong")
     single = own.withColumn("kind", kind).where("kind IS NOT NULL").select("kind", F.coalesce("category", F.lit("unknown")).alias("category"), "qid", F.lit(1).cast("long").alias("n_queries"), *[f"`{m}`" for m in shown])
-    return sums.unionByName(single)
+    out = sums.unionByName(single)
+    if measured is None:
+        return out
+    took = latency_by_variant(measured.where(F.col("variant") == variant)).select(F.lit("overall").alias("kind"), "p50", "p95", "p99")
+    return out.join(F.broadcast(took), "kind", "left").select(*out.columns, "p50", "p95", "p99")  # one row
 
 
 # -- calibration
@@ -95,12 +128,27 @@ def fuse(ranked: DataFrame, grid: DataFrame, top_k: int = DEFAULTS.top_k) -> Dat
     return every.withColumn("pos", F.row_number().over(order)).where(F.col("pos") <= top_k).select("config_id", "qid", "chunk_id", "doc_id", "dense_rank", "bm25_rank", "sparse_rank", "pos")
 
 
-def calibrate(ranked: DataFrame, grid: DataFrame, judged: DataFrame, queries: DataFrame, top_k: int = DEFAULTS.top_k) -> DataFrame:
-    """(config_id, means of METRICS, place): configurations in order of nDCG, MRR and recall@5, then number; ``ranked`` should be a written table."""
+def grid_latencies(ranked: DataFrame, grid: DataFrame, n_queries: int, repeats: int = 3, top_k: int = DEFAULTS.top_k) -> DataFrame:
+    """(config_id, p50): median milliseconds a query that fusing takes under each configuration, run by itself; a job per configuration and repeat."""
+    rows = []
+    for c in grid.collect():  # some hundred rows
+        own = grid.where(F.col("config_id") == c.config_id)
+        rows += [(c.config_id, 1000 * observed(fuse(ranked, own, top_k), n=F.count(F.lit(1)))[1] / max(n_queries, 1)) for _ in range(repeats)]
+    return metrics.latency_summary(grid.sparkSession.createDataFrame(rows, "config_id int, ms double"), ["config_id"], "ms").select("config_id", "p50")
+
+
+def calibrate(ranked: DataFrame, grid: DataFrame, judged: DataFrame, queries: DataFrame, top_k: int = DEFAULTS.top_k, took: DataFrame | None = None) -> DataFrame:
+    """(config_id, means of METRICS, place): configurations in order of nDCG, MRR and recall@5, then number; ``ranked`` should be a written table.
+
+    With ``took`` (config_id, p50) the faster of equal ones comes first, and p50 is a column; one that wasn't measured comes last.
+    """
     every = queries.select("qid").crossJoin(F.broadcast(grid.select("config_id")))  # some hundred rows
     per = scores(fuse(ranked, grid, top_k), judged, every, "config_id")
     out = per.groupBy("config_id").agg(*[F.round(F.avg(F.col(f"`{m}`")), 6).alias(m) for m in METRICS])
-    order = Window.orderBy(F.col("`ndcg@10`").desc(), F.col("mrr").desc(), F.col("`recall@5`").desc(), "config_id")  # some hundred rows
+    fast = []
+    if took is not None:
+        out, fast = out.join(took.select("config_id", "p50"), "config_id", "left"), [F.col("p50").asc_nulls_last()]
+    order = Window.orderBy(F.col("`ndcg@10`").desc(), F.col("mrr").desc(), F.col("`recall@5`").desc(), *fast, "config_id")  # some hundred rows
     return out.withColumn("place", F.row_number().over(order))
 
 

@@ -649,4 +649,4 @@ def user_sessions(spark: SparkSession, d: str) -> DataFrame:
     return jobs.sessions(table(spark, d, "events"))
 
 
-from quillon.plans import registry_more  # noqa: E402,F401  (registers its own)
+from quillon.plans import registry_more, registry_state  # noqa: E402,F401  (register their own)

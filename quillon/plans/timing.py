@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.operators.metrics import floor_rank
@@ -66,3 +66,12 @@ def phase_report(log: DataFrame, width: int = 20) -> DataFrame:
     each = log.select("timestamp", F.explode("phases").alias("phase", "seconds"), F.array_max(F.map_values("phases")).alias("most"))
     filled = F.when(F.col("most") > 0, F.round(F.col("seconds") / F.col("most") * width)).otherwise(0).cast("int")
     return each.select("timestamp", "phase", "seconds", F.concat(F.repeat(F.lit("█"), filled), F.repeat(F.lit("░"), F.lit(width) - filled)).alias("bar"))
+
+
+def observed(df: DataFrame, **measures: Column) -> tuple[dict[str, object], float]:
+    """Run ``df`` to nowhere: what the aggregates ``measures`` were over its rows, taken while they passed, and the seconds."""
+    told = Observation()
+    watched = df.observe(told, *[c.alias(name) for name, c in measures.items()])
+    began = time.perf_counter()
+    watched.write.format("noop").mode("overwrite").save()
+    return told.get, time.perf_counter() - began

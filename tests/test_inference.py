@@ -31,18 +31,15 @@ def test_vectors(spark):
     assert inference.hashed(rows.where("false"), dim=32).count() == 0
 
 
-class Choosy:
-    """A model that refuses a batch with a long text and tells which process made it."""
-
-    def __call__(self, texts):
-        if any(len(t) > 10 for t in texts):
-            raise ValueError("too long")
-        return np.array([[len(t), os.getpid(), id(self) % 100003] for t in texts], float)
-
-
 def test_a_failure_is_a_column(spark):
+    class Choosy:  # refuses a batch with a long text, and tells which process made it
+        def __call__(self, texts):
+            if any(len(t) > 10 for t in texts):
+                raise ValueError("too long")
+            return np.array([[len(t), os.getpid(), id(self) % 100003] for t in texts], float)
+
     rows = spark.range(500).select("id", F.when(F.col("id") % 50 == 7, "far too long a text").when(F.col("id") % 50 == 8, F.lit(None).cast("string")).otherwise(F.repeat(F.lit("a"), (F.col("id") % 9).cast("int"))).alias("text")).repartition(8)
-    got = inference.encoder(Choosy, "choosy", dim=3, batch=16)(rows).collect()
+    got = inference.encoder(Choosy, dim=3, batch=16)(rows).collect()
     assert len(got) == 500 and {r.failure for r in got} == {None, "no text", "ValueError: too long"}
     assert all((r.embedding is None) == (r.failure is not None) == (r.id % 50 in (7, 8)) for r in got)
     assert all(r.embedding[0] == r.id % 9 for r in got if r.failure is None)

@@ -3,7 +3,8 @@
 A page is a line of words and tags. A word scores by what it stands in (its block's tag, a link outside paragraphs,
 beside the page's marked article), a tag costs, and one linear scan finds the contiguous region with the largest sum.
 Labelled pages are those that mark one ``article`` or ``main`` element: what stands within and beyond it gives the
-weights, also of the words in class, id and role names, by which parts inside the region are left out.
+weights, also of the words in class, id and role names, by which parts inside the region are left out. A compound name
+with a word of no known weight, as in comment-thread-analysis, says too little for that.
 """
 
 from __future__ import annotations
@@ -48,6 +49,14 @@ BEYOND = frozenset(
     "reply respond responses search share sharing sidebar signup skip skiplink social sponsor sponsored subscribe subscription teaser toc toolbar topbar tracking widget".split()
 )
 WITHIN = frozenset("article post entry story prose body content main text".split())
+#: Names beyond the article whatever stands beside them; and words that say nothing of what an element holds, which leave
+#: the rest of a compound name its meaning. Any other word, as in search-guide, makes the name one of its own.
+SURE = frozenset("ad ads adv advert adverts advertisement advertising adsbygoogle banner cookie cookies footer gdpr navbar navigation newsletter popover popup promo promotion sidebar sponsor sponsored".split())
+NEUTRAL = frozenset(
+    "area bar body bottom box bubble button buttons card cards center col column container content count counter desktop div feed field fixed float form group header heading holder icon icons id inner input item items js label "
+    "large layer left level line link links list lists main message messages mobile module new outer page panel panels post posts primary reader readers region results right row secondary section sections site slot small sticky "
+    "strip text thread threads title top ui unit user users view wrap wrapper zone".split()
+)
 _SPLIT = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 _TEXT, _OPEN, _CLOSE, _EMPTY = range(4)
@@ -153,6 +162,16 @@ def region(scores: list[float]) -> tuple[int, int]:
     return best
 
 
+def name_weight(words: list[str], weights: dict[str, float]) -> float:
+    """What a name says: its least word, or the mean where that word isn't SURE and another one is foreign (not known to be beyond, not NEUTRAL or WITHIN, three letters or more); such a name alone leaves nothing out."""
+    each = [weights.get(f".{w}", 0.0) for w in words]
+    least = min(each, default=0.0)
+    foreign = any(x >= 0 and w not in NEUTRAL | WITHIN and len(w) > 2 for w, x in zip(words, each))
+    if least < 0 and foreign and not any(w in SURE and weights.get(f".{w}", 0.0) < 0 for w in words):
+        return max(sum(each) / len(each), OUT_AT / 2)
+    return least
+
+
 class Page:
     """A scanned page with what each run of words stands in."""
 
@@ -177,8 +196,8 @@ class Page:
                     blocks.append((name, bool(self.names.get(i, ([], False))[0]))) if step > 0 else blocks.pop()
 
     def weight(self, i: int, weights: dict[str, float]) -> float:
-        """Sum over the names of an element; a name of several words counts by its least one."""
-        return sum(min((weights.get(f".{w}", 0.0) for w in words), default=0.0) for words in self.names.get(i, ([], False))[0])
+        """Sum over the names of an element (:func:`name_weight`)."""
+        return sum(name_weight(words, weights) for words in self.names.get(i, ([], False))[0])
 
     def best(self, weights: dict[str, float]) -> str:
         """The text of the contiguous region with the largest sum of scores, without the parts that are left out."""

@@ -222,8 +222,12 @@ def test_fingerprints(spark, docs, none):
     assert alone.edited_sha256 == h("abcdef " + "abc") and alone.near_next == 1.0
 
 
+@pytest.mark.parametrize("bounded", [False, True])
 @pytest.mark.parametrize("hot", [None, 7])
-def test_an_id_that_many_rows_have_is_split(spark, hot):
+def test_an_id_that_many_rows_have_is_split(spark, hot, bounded, monkeypatch):
+    if bounded:  # fewer parts than splits, bounds from a third of the rows
+        monkeypatch.setattr(fingerprint, "MAX_PARTS", 3)
+        monkeypatch.setattr(fingerprint, "MARK_ROWS", 120)
     rows = [(hot, f"{i:04d} {'abc ' * 6}") for i in range(300)] + [(1000 + i, f"{300 + i:04d} {'abc ' * 6}") for i in range(60)] + [(i - 60, f"{360 + i:04d} {'abc ' * 6}") for i in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     lined = fingerprint._followed(df, "doc_id", "text").where("ghost = 0").collect()
@@ -424,6 +428,22 @@ def test_names_are_learned_not_listed():
     assert html.Page(f'<main><h1>T</h1><p>{words}</p></main><section id="comments">{comments}</section>').best(prior) == f"T {words}"
 
 
+@pytest.mark.parametrize("name, kept", [
+    ("search-guide", True), ("comment-thread-analysis", True), ("shareHistory", True), ("related-literature", True), ("search-box", False), ("reader-comments", False), ("main-nav", False), ("article-related-posts", False),
+    ("ad-leaderboard", False), ("cookie-pledge", False), ("comments", False), ("notice", False), ("analysis", True), ("content-sidebar", False), ("site-footer-links", False), ("share-xy", False),
+])
+def test_compound_names(name, kept):
+    """A name with a word of its own leaves nothing out, alone on a page or inside the article; beside a plain one it does."""
+    prior = html.learn({})
+    words, tail = " ".join(f"w{i}" for i in range(50)), "these are the last words of it"
+    part = f'<div class="{name}"><p>{tail}</p></div>'
+    assert html.Page(f"<main><h1>T</h1><p>{words}</p>{part}</main>").best(prior) == f"T {words}" + f" {tail}" * kept
+    assert html.Page(f"<body>{part}</body>").best(prior) == tail * kept
+    assert html.Page(f'<main><p>{words}</p><div class="{name} comments"><p>{tail}</p></div></main>').best(prior) == words
+    taught = html.learn({"": (1000, 1000), **{f".{w}": (0, 500) for w in ("guide", "analysis", "history", "literature")}})  # labelled pages have them beyond
+    assert html.Page(f"<main><p>{words}</p>{part}</main>").best(taught) == words
+
+
 LAYOUTS = (
     '<header><h1>Site</h1></header><ul class="menu"><li><a href=1>{n}</a></li></ul><div id="content" class="main"><h1>{h}</h1><p>{a}</p><div class="advert">{n}</div><p>{b}</p></div><div class="sidebar">{n}</div><footer>{n}</footer>',
     '<div class="navbar"><a>{n}</a></div><article class="entry"><h1>{h}</h1><p>{a}<p>{b}</article><section class="comments"><p>{n}</p><p>{n}</p></section><div id=footer>{n}</div>',

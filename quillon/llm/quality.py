@@ -193,8 +193,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = sample.withColumn("n", F.row_number().over(first)).where("n = 1").repartition(8).select("k", "text", "y")
     sample = materialize(sample, "quality-sample")
     sums = np.zeros((SLOTS, DIMS))
-    # a task sends SLOTS rows at most, whatever it reads: of many splits several go through one task, so that what is sent stays bounded
-    every = docs.select(F.col(text_col).cast("string").alias("text")).coalesce(SUM_TASKS).mapInArrow(_contexts, _SUMS).repartition(8, "slot").mapInArrow(_summed, _SUMS)
+    # a task sends SLOTS rows at most, whatever it reads: of many splits several go through one task, so that what is sent stays bounded; it is summed by as many as the session shuffles to
+    every = docs.select(F.col(text_col).cast("string").alias("text")).coalesce(SUM_TASKS).mapInArrow(_contexts, _SUMS).repartition("slot").mapInArrow(_summed, _SUMS)
     for row in every.toPandas().itertuples(index=False):
         sums[row.slot] = np.frombuffer(row.sums, np.float64)
     vectors = word_vectors(sums)

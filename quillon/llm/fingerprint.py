@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Bits of a fingerprint, and the blocks that the tables permute.
 BITS, BLOCKS = 64, 6
+#: Parts at most (a larger one spills), and rows that the bounds between them are taken from.
+MAX_PARTS, MARK_ROWS = 16_384, 2_000_000
 _LANE = 0x0000000100000001
 _LEAST = -(1 << 63)
 
@@ -67,16 +69,18 @@ def _part(key: Column, bounds: list[int]) -> Column:
 def _followed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """part, rn, ghost, doc_id, text, next_text: rows in descending id within parts, each with the following row's text.
 
-    Parts are ranges of ids, bounded by approximate quantiles of the whole id column, one per shuffle partition or input
-    split, whichever are more, so no task sees more than a part. An id that takes several quantiles (null ids count as
+    Parts are ranges of ids, bounded by approximate quantiles of the id column (of about MARK_ROWS rows of a larger table), one per shuffle partition or input
+    split, whichever are more (MAX_PARTS at most, so that the plan that holds the bounds doesn't grow with the table). An id that takes several quantiles (null ids count as
     one) is dealt to as many parts of its own, ranges of the text's hash. The first row of each part is also sent, as a
     ghost, to the end of the part before it; the very first ends the very last part.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text")).withColumn("key", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST))).withColumn("h", F.xxhash64("text"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions())
-    marks = rows.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []
+    n = min(max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.rdd.getNumPartitions()), MAX_PARTS)
+    total = docs.count()
+    seen = rows.sample(MARK_ROWS / total, seed=7) if total > MARK_ROWS else rows  # marks only balance the parts
+    marks = seen.agg(F.percentile_approx("key", [i / n for i in range(1, n)] or [0.5], 10 * n)).first()[0] or []
     often = {k: marks.count(k) for k in set(marks) if marks.count(k) > 1}
     part = F.lit(n) - _part(F.col("key"), sorted(set(marks)))  # ascending as ids descend
     rows = rows.withColumn("part", part.cast("long") * (n + 1) + _share(F.col("key"), F.col("h"), often))

@@ -198,7 +198,7 @@ def _search(block: dict, q: Queries, k: int, same: bool, top: float) -> tuple[np
 
 
 def build(rows: DataFrame, block: int = BLOCK, leaf: int = LEAF, sample: int = SAMPLE) -> tuple[DataFrame, dict]:
-    """The written index (cell, payload: a block's tree and rows; every row is in one) and the top of the tree.
+    """The written index (cell, part, payload: a block's tree and rows; every row is in one) and the top of the tree.
 
     The top's vantage points come from ``sample`` rows (smallest hashes); its distances to each cell are those of all rows.
     """
@@ -230,9 +230,9 @@ def build(rows: DataFrame, block: int = BLOCK, leaf: int = LEAF, sample: int = S
         own, leaves = grow(a, leaf)
         far = [[float(f(_far(a, p))) for f in (np.min, np.max)] for p in tree.points]
         held = {"tree": own, "leaves": leaves, "vec": _narrow(vec), **{c: table[c].to_numpy() for c in ("vec_id", "label", "row")}}
-        return pa.table({"cell": table["cell"][:1], "far": pa.array([far], pa.list_(pa.list_(pa.float64()))), "payload": pa.array([pickle.dumps(held)], pa.binary())})
+        return pa.table({"cell": table["cell"][:1], "part": table["part"][:1], "far": pa.array([far], pa.list_(pa.list_(pa.float64()))), "payload": pa.array([pickle.dumps(held)], pa.binary())})
 
-    index = placed.groupBy("cell", "part").applyInArrow(plant, "cell int, far array<array<double>>, payload binary")
+    index = placed.groupBy("cell", "part").applyInArrow(plant, "cell int, part int, far array<array<double>>, payload binary")
     index = materialize(index, "vector-index")
     # a cell's distances from every vantage point: at most cells^2 pairs of numbers, whatever the rows
     pair = index.select("cell", F.posexplode("far").alias("at", "x")).groupBy("cell", "at").agg(F.min(F.col("x")[0]).alias("low"), F.max(F.col("x")[1]).alias("high"))
@@ -283,7 +283,7 @@ def nearest(index: DataFrame, top: dict, queries: DataFrame, k: int, same: bool)
                         continue
                     number = lambda c: np.array(part[c], np.int64)  # noqa: B023, E731
                     wide = max(dim, max(len(v) for v in part["vec"]))
-                    q = Queries(_dense(part["vec"], wide), number("label"), number("row"), np.array(part["key"], np.int64), number("low"), number("high"), number("score"), number("least_id"))
+                    q = Queries(_narrow(_dense(part["vec"], wide)), number("label"), number("row"), np.array(part["key"], np.int64), number("low"), number("high"), number("score"), number("least_id"))
                     low, high = bounds(tree, q.vec, radius)
                     low, high = low[:, there], high[:, there]
                     own = high.argmax(1)
@@ -321,15 +321,18 @@ def nearest(index: DataFrame, top: dict, queries: DataFrame, k: int, same: bool)
     def asked(q: DataFrame, first: bool) -> DataFrame:
         q = q.select("key", "vec", "label", "row", "low", "high", "score", "least_id")
         sent = q.repartition(tasks).mapInArrow(route(first), packs)
-        return sent.join(index, "cell").select("pack", "payload").mapInArrow(ask, out)
+        # to each block of the cell; merged, since packs are far larger than Spark takes them for, and a broadcast of them would go through the driver
+        sent = sent.join(F.broadcast(parts), "cell").select("cell", "pack", F.explode("parts").alias("part"))
+        return index.hint("merge").join(sent, ["cell", "part"]).select("pack", "payload").mapInArrow(ask, out)
 
     prepare(spark)
     queries = materialize(queries, "vector-queries")
     tasks = max(1, -(-queries.count() // PACK))
+    parts = index.groupBy("cell").agg(F.collect_list("part").alias("parts"))  # a row per cell, a number per block
     start = queries.withColumn("score", F.lit(NONE)).withColumn("least_id", F.lit((1 << 63) - 1))
     near = materialize(merged(asked(start, True)), "vectors-nearest")
     full = near.where(F.col("rank") == k).select("key", F.col("score").alias("have"), F.col("vec_id").alias("have_id"))
-    rest = start.join(full, "key", "left").withColumn("score", F.coalesce("have", "score")).withColumn("least_id", F.coalesce("have_id", "least_id"))
+    rest = start.hint("merge").join(full, "key", "left").withColumn("score", F.coalesce("have", "score")).withColumn("least_id", F.coalesce("have_id", "least_id"))
     return merged(near.drop("rank").union(asked(rest, False)))
 
 

@@ -257,6 +257,16 @@ def test_negatives_of_nothing(spark):
     assert mined(spark, [(1, 1, [1.0])], "true") == [] and mined(spark, [(1, 1, [0.0]), (2, 1, [0.0]), (3, 2, [5.0])], "vec_id = 1") == [(1, 2, 1, 3, 0, 0)]
 
 
+def test_packs_are_not_broadcast(spark):
+    """Queries meet blocks in a merge, however small Spark takes the packs for: a broadcast would pass through the driver."""
+    rows = [(i, i % 3, v) for i, v in enumerate(vectors(90, 4, np.random.default_rng(9)))]
+    own = negatives.whole_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>"))
+    found = negatives.mine(own, own.where("vec_id % 9 = 0"), block=16, leaf=4, sample=90)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [cell#" in line and "part#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 def test_blocks_are_pruned(spark):
     """Tight clusters: a query visits few leaves, and gets what all of them give."""
     rng = np.random.default_rng(8)

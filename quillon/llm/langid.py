@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillon.llm.arrow import prepare, texts
-from quillon.llm.sample import smallest_hashes
+from quillon.llm.quantile import percentile
+from quillon.llm.store import drop, materialize
 
 #: Dimensions of a hypervector, letters of an n-gram, seed of the random letter vectors.
 DIMS, GRAM, SEED = 512, 3, 20240607
@@ -18,9 +19,8 @@ DIMS, GRAM, SEED = 512, 3, 20240607
 WINDOW = 1 << 20
 #: Count tables and vector tables are flushed or rebuilt beyond so many entries.
 TABLE = 40_000
-#: Labelled rows from which the score is taken below which a text is rejected, at most; n-grams of a text that can be
-#: rejected by it, at least: the cosines of shorter ones say little.
-REJECT_ROWS, REJECT_GRAMS = 4000, 100
+#: N-grams of a text that can be rejected by its score, at least: the cosines of shorter ones say little.
+REJECT_GRAMS = 100
 SPACE = 32
 
 
@@ -220,20 +220,19 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "d
     return out.select(F.col("__k0").alias("doc_id"), F.col("__lang_pred").alias("lang_pred"), F.col("__score").alias("score"))
 
 
-def rejection(docs: DataFrame, prototypes: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", limit: int = REJECT_ROWS) -> float:
+def rejection(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", lang_col: str = "lang") -> float:
     """The score below which a text is in none of the languages: half of what all but a hundredth of labelled texts reach.
 
-    Judged are the ``limit`` labelled rows with the smallest hash of id and text (equal rows count each), by the cosine with the language that
-    they win, those of REJECT_GRAMS at least. Rows with a null text, language or id don't count; no such row, no
-    prototypes: 0, nothing is rejected.
+    Judged are all labelled rows (equal rows count each), by the cosine with the language that they win, those of
+    REJECT_GRAMS at least. Rows with a null text or language don't count; no such row, no prototypes: 0, nothing is
+    rejected. The scores alone are written, once.
     """
-    named = F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull()
-    text = F.col(text_col).cast("string")
-    labelled = docs.where(named).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("h0"), text.alias("text"))
-    keys = smallest_hashes(labelled.select("doc_id", "h0").distinct(), limit)
-    chosen = labelled.join(F.broadcast(keys), ["doc_id", "h0"])
-    scores = _judged(chosen, prototypes, "text", ["doc_id"]).where((F.col("__lang_pred") != "und") & (F.col("__n") >= REJECT_GRAMS))
-    return 0.5 * (scores.agg(F.percentile("__score", F.lit(0.01))).first()[0] or 0.0)
+    labelled = docs.where(F.col(f"`{text_col}`").isNotNull() & F.col(f"`{lang_col}`").isNotNull())
+    scores = _judged(labelled, prototypes, text_col, []).where((F.col("__lang_pred") != "und") & (F.col("__n") >= REJECT_GRAMS))
+    scores = materialize(scores.select("__score"), "language-scores")
+    least = 0.5 * (percentile(scores, 0.01) or 0.0)
+    drop(scores)
+    return least
 
 
 def keep_known(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", least: float = 0.0) -> DataFrame:

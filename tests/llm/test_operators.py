@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from quillon.llm import bpe, components, decontam, fingerprint, html, langid, neardup, quality, sample, sharding, substr, tokencount
+from quillon.llm import bpe, components, decontam, fingerprint, html, langid, neardup, quality, quantile, sample, sharding, substr, tokencount
 from quillon.llm.queries import tokenizer_file
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, cell int, part int, shard int, fp long, __component string"
@@ -196,6 +196,27 @@ def test_rejection(spark, none):
     assert langid.rejection(none, p) == 0 and langid.rejection(df.where("lang IS NULL"), p) == 0
 
 
+def test_rejection_counts_all_rows(spark, monkeypatch):
+    """The threshold is that of every labelled row, also where there are more of them than the 4,000 that a sample once held."""
+    words = vocabulary(52)
+    rng = random.Random(7)
+    rows = [(i, " ".join([*rng.choices(words, k=40), *["жщю"] * rng.randrange(9)]), "aa") for i in range(4600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4).cache()
+    p = langid.fit(df)
+    own = sorted(r.score for r in langid.predict(df, p).collect())
+    assert langid.rejection(df, p) == pytest.approx(0.5 * float(np.percentile(own, 1)), abs=1e-12)
+
+
+def test_percentile(spark):
+    rng = np.random.default_rng(12)
+    for x in (rng.random(3000), rng.random(50).repeat(40), np.array([0.25]), np.array([0.0, 1.0]), 0.5 + rng.random(500) * 1e-13, rng.integers(0, 3, 300) / 2):
+        df = spark.createDataFrame([(float(v),) for v in x], "x double")
+        for share in (0.0, 0.01, 0.37, 1.0):
+            want = df.agg(F.percentile("x", F.lit(share))).first()[0]
+            assert quantile.percentile(df, share, bins=16) == pytest.approx(want, abs=1e-15) and want == pytest.approx(float(np.percentile(x, 100 * share)), abs=1e-12)
+    assert quantile.percentile(df.limit(0), 0.5) is None
+
+
 # -- 3 fingerprints
 
 

@@ -14,8 +14,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from quillon.runtime import ship_package, written
 
-#: Query vectors that go to the workers at once, and blocks that the driver holds before it writes a block's result first.
-QUERY_BLOCK, HELD_BLOCKS = 1024, 8
+#: Query vectors that go to the workers at once, rows that they meet in one product, and blocks that the driver holds before it writes a block's result first.
+QUERY_BLOCK, ROW_BLOCK, HELD_BLOCKS = 1024, 1024, 8
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -30,6 +30,15 @@ def _blocks(asked: DataFrame) -> Iterator[list]:
             yield [r for r in rows if len(r.embedding) == size]
 
 
+def _first(found: pa.Table, k: int) -> pa.Table:
+    """The k best rows of each query (q), in order; of equal ones the smallest ids, so that a vector that many rows share adds k rows at most."""
+    found = found.combine_chunks()
+    q = found["q"].to_numpy()
+    order = np.lexsort((pc.rank(found["chunk_id"]).to_numpy(), -np.round(found["similarity"].to_numpy(), 9), q))
+    q = q[order]
+    return found.take(pa.array(order[np.arange(len(q)) - np.searchsorted(q, q) < k])).combine_chunks()
+
+
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, docs: DataFrame | None = None) -> DataFrame:
     """(qid, chunk_id, doc_id, similarity, dense_score, dense_rank): the k nearest chunks by cosine.
 
@@ -56,24 +65,33 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 20, docs: DataFr
         wanted /= np.maximum(np.linalg.norm(wanted, axis=1, keepdims=True), 1e-300)
 
         def best(batches: Iterator[pa.RecordBatch], ids=ids, wanted=wanted) -> Iterator[pa.RecordBatch]:
+            held, floor = None, np.full(len(wanted), -np.inf)
             for batch in batches:
                 batch = batch.filter(pc.equal(pc.list_value_length(batch.column(2)), wanted.shape[1]))
-                if not batch.num_rows:
-                    continue
-                have = _matrix(batch.column(2))
-                have /= np.maximum(np.linalg.norm(have, axis=1, keepdims=True), 1e-300)
-                similar = wanted @ have.T
-                near = np.round(similar, 9)
-                n = min(k, batch.num_rows)
-                q, c = np.nonzero(near >= np.partition(near, -n, axis=1)[:, -n][:, None])
-                # of equal ones the smallest ids, so that a vector that many rows share adds k rows at most
-                order = np.lexsort((pc.rank(batch.column(0)).to_numpy()[c], -near[q, c], q))
-                q, c = q[order], c[order]
-                first = np.arange(len(q)) - np.searchsorted(q, q) < n
-                q, c = q[first], pa.array(c[first])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([ids[i] for i in q], qid_type), batch.column(0).take(c), batch.column(1).take(c), pa.array(similar[q, c.to_numpy()])], ["qid", "chunk_id", "doc_id", "similarity"]
-                )
+                for at in range(0, batch.num_rows, ROW_BLOCK):
+                    some = batch.slice(at, ROW_BLOCK)
+                    have = _matrix(some.column(2))
+                    have /= np.maximum(np.linalg.norm(have, axis=1, keepdims=True), 1e-300)
+                    similar = wanted @ have.T
+                    near = np.round(similar, 9)
+                    n = min(k, some.num_rows)
+                    least = np.maximum(floor, np.partition(near, -n, axis=1)[:, -n])
+                    q, c = np.nonzero(near >= least[:, None])
+                    if not len(q):
+                        continue
+                    order = np.lexsort((pc.rank(some.column(0)).to_numpy()[c], -near[q, c], q))
+                    q, c = q[order], c[order]
+                    first = np.arange(len(q)) - np.searchsorted(q, q) < n
+                    q, c = q[first], c[first]
+                    new = pa.table([pa.array(q), some.column(0).take(pa.array(c)), some.column(1).take(pa.array(c)), pa.array(similar[q, c])], ["q", "chunk_id", "doc_id", "similarity"])
+                    held = _first(new if held is None else pa.concat_tables([held, new]), k)
+                    q, s = held["q"].to_numpy(), np.round(held["similarity"].to_numpy(), 9)
+                    last = np.searchsorted(q, np.arange(len(wanted))) + k - 1
+                    full = last < np.searchsorted(q, np.arange(len(wanted)), "right")
+                    floor[full] = s[last[full]]
+            if held is not None:
+                for out in held.to_batches(max_chunksize=10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in out.column(0).to_pylist()], qid_type), *out.columns[1:]], ["qid", "chunk_id", "doc_id", "similarity"])
 
         part = base.mapInArrow(best, schema)
         if number >= HELD_BLOCKS:

@@ -11,11 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillon.errors import SharedFolderMissing
 
+#: A batch that Spark hands to Python ends at this many rows or bytes, whichever comes first: what a worker holds follows these, not the input.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed (single-machine runs)."""
+    """Bound the Arrow batches, and let Python workers import this package where it is not installed (single-machine runs)."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if _ROOT not in paths:

@@ -2,9 +2,13 @@
 
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from quillon import runtime
+from quillon.operators import dense, lexical
 from quillon.operators.dense import dense_topk
 from quillon.operators.lexical import build_index
 from quillon.plans import evaluate, ingest
@@ -180,3 +184,35 @@ def test_repairs(spark):
     docs = spark.createDataFrame([("d0", "active", "T")], "doc_id string, status string, title string")
     assert sorted((r.doc_id, r.title) for r in ingest.documents_from_chunks(docs, chunks).collect()) == [("d0", "T"), ("d1", "Part 1")]
     assert ingest.config_diff({"m": 16, "x": 1}, {"m": 32, "x": 1}) == [("m", 16, 32)]
+
+
+def test_dense_keeps_the_best_of_a_task(spark, monkeypatch):
+    """Rows meet the queries in small products; a task gives its k best of all of them, ties by the smallest ids."""
+    monkeypatch.setattr(dense, "ROW_BLOCK", 7)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(90, 4)).round(1)
+    x[40:70] = x[5]
+    vectors = spark.createDataFrame([(f"c{i * 37 % 90:02d}", f"d{i % 4}", [float(v) for v in row]) for i, row in enumerate(x)], "chunk_id string, doc_id string, embedding array<double>").coalesce(1)
+    asked = rng.normal(size=(6, 4))
+    asked[2] = x[5]
+    queries = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(asked)], "qid int, embedding array<double>")
+    unit = lambda a: a / np.linalg.norm(a, axis=1, keepdims=True)
+    near = np.round(unit(asked) @ unit(x).T, 9)
+    want = {(q, f"c{i * 37 % 90:02d}", place + 1) for q in range(6) for place, i in enumerate(sorted(range(90), key=lambda i: (-near[q, i], i * 37 % 90))[:5])}
+    assert {(r.qid, r.chunk_id, r.dense_rank) for r in dense.dense_topk(vectors, queries, 5).collect()} == want
+
+
+def test_batches_for_python_are_bounded(spark):
+    """However a session is set, what a worker is given at once has a fixed bound in rows and bytes."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(256 << 20))
+    lexical.post(spark.createDataFrame([("a", "d", "x")], "chunk_id string, doc_id string, text string"))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    thin = spark.range(0, 9000, 1, 1).mapInArrow(sizes, "n long, size long").collect()
+    wide = spark.range(0, 400, 1, 1).selectExpr("repeat(CAST(id % 10 AS string), 65536) AS t").mapInArrow(sizes, "n long, size long").collect()
+    assert sum(r.n for r in thin) == 9000 and max(r.n for r in thin) <= runtime.BATCH_ROWS
+    assert sum(r.n for r in wide) == 400 and max(r.size for r in wide) <= runtime.BATCH_BYTES + (1 << 18)

@@ -249,7 +249,8 @@ class SegmentIndex:
         ordered(terms, "term").parquet(at("terms"))
         if not n:  # a table without rows has no file that names its columns
             terms.drop("bucket").write.parquet(f"{at('terms')}/bucket=0")
-        common = self.spark.read.parquet(at("terms")).where("bits > 0").select("term", "bits")
+        # a row for every BLOCK postings at most; not broadcast, all postings would be shuffled and sorted by term once more
+        common = F.broadcast(self.spark.read.parquet(at("terms")).where("bits > 0").select("term", "bits"))
         placed = postings.join(common, "term", "left").withColumn("slice", _slice("chunk_id", F.col("bits"))).drop("bits").withColumn("bucket", _bucket(F.lit(buckets), "term", "slice"))
         ordered(placed, "term", "slice", "chunk_id").parquet(at("postings"))
         if not n:

@@ -204,3 +204,17 @@ def test_the_registered_index_follows_its_folder(spark, tmp_path):
     from quillon.sources.log import names_in
 
     assert seen[0] != seen[1] and names_in(spark, seen[0]) == [] != names_in(spark, seen[1])
+
+
+def test_common_terms_are_broadcast(spark, tmp_path):
+    """Writing a segment shuffles its postings once, also where Spark broadcasts nothing by itself."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        SegmentIndex(spark, f"file://{tmp_path}/once").add(spark.createDataFrame([(str(i), f"d{i}", f"word w{i % 50}") for i in range(2500)], "chunk_id string, doc_id string, text string"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    runs = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [runs.apply(i).physicalPlanDescription() for i in range(runs.size())]
+    writes = [p for p in plans if f"{tmp_path}/once/postings/seg=" in p and "InsertIntoHadoopFsRelationCommand" in p]
+    assert writes and not any("SortMergeJoin" in p for p in writes)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quillon.runtime import ship_package, written
+from quillon.runtime import BROADCAST_ROWS, ship_package, written
 
 #: Query vectors that go to the workers at once, rows that they meet in one product, and blocks that the driver holds before it writes a block's result first.
 QUERY_BLOCK, ROW_BLOCK, HELD_BLOCKS = 1024, 1024, 8
@@ -112,11 +112,19 @@ def sparse_coverage(chunks: DataFrame, has: str) -> DataFrame:
 def sparse_rank(pool: DataFrame, query_terms: DataFrame, chunk_terms: DataFrame) -> DataFrame:
     """Rank the pool (qid, chunk_id, pool_pos) by the dot product of sparse weights.
 
-    ``query_terms``: qid, token, weight; ``chunk_terms``: chunk_id, token, weight, cut to the pool's chunks before the
-    join. Every pool row is ranked, one without a common token with 0; equal scores keep the pool's order.
+    ``query_terms``: qid, token, weight; ``chunk_terms``: chunk_id, token, weight. Every pool row is ranked, one without a
+    common token with 0; equal scores keep the pool's order.
+
+    Pool and query terms are written once. Up to BROADCAST_ROWS of each go to where the weights are, so that these aren't
+    shuffled; of more queries, the weights are cut to the pool's chunks before the join.
     """
-    near = chunk_terms.join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", "token", F.col("weight").alias("w"))
-    pairs = pool.select("qid", "chunk_id").join(query_terms, "qid").join(near, ["chunk_id", "token"])
+    pool, query_terms = written(pool, "pool"), written(query_terms.select("qid", "token", "weight"), "query-terms")
+    weights = chunk_terms.select("chunk_id", "token", F.col("weight").alias("w"))
+    if max(pool.count(), query_terms.count()) <= BROADCAST_ROWS:
+        pairs = weights.join(F.broadcast(pool.select("qid", "chunk_id")), "chunk_id").join(F.broadcast(query_terms), ["qid", "token"])
+    else:
+        near = weights.join(pool.select("chunk_id").distinct(), "chunk_id", "left_semi")
+        pairs = pool.select("qid", "chunk_id").join(query_terms, "qid").join(near, ["chunk_id", "token"])
     dots = pairs.groupBy("qid", "chunk_id").agg(F.sum(F.col("weight") * F.col("w")).alias("dot"))
     scored = pool.join(dots, ["qid", "chunk_id"], "left").withColumn("sparse_score", F.coalesce("dot", F.lit(0.0))).drop("dot")
     order = Window.partitionBy("qid").orderBy(F.round("sparse_score", 9).desc(), "pool_pos")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from quillon.functions.text import phrases, tokens
-from quillon.runtime import ship_package, written
+from quillon.runtime import held, ship_package, written
 
 #: BM25 constants, and the weight of a phrase that more than half of the chunks have.
 K1, B, FLOOR_IDF = 1.2, 0.75, 1e-6
@@ -41,22 +41,22 @@ class LexicalIndex:
 
 
 def _group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Token lists to postings: one sort of a batch's tokens by chunk and term, stable, so that positions ascend."""
+    """Token lists to postings: one sort of a batch's tokens by term and chunk, stable, so that positions ascend; rows of one term stand together, which packs well."""
     for batch in batches:
         tokens_of = batch.column(2)
         size = pc.fill_null(pc.list_value_length(tokens_of), 0).to_numpy().astype(np.int64)
         coded = tokens_of.flatten().dictionary_encode()
-        n = max(1, len(coded.dictionary))
+        n = max(1, len(size))
         row = np.repeat(np.arange(len(size)), size)
         place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        key = row * n + coded.indices.to_numpy().astype(np.int64)
+        key = coded.indices.to_numpy().astype(np.int64) * n + row
         order = np.argsort(key, kind="stable")
         key = key[order]
         heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
         ends = np.append(heads, len(key)).astype(np.int32)
-        own = pa.array(key[heads] // n)
+        own = pa.array(key[heads] % n)
         yield pa.RecordBatch.from_arrays(
-            [coded.dictionary.take(pa.array(key[heads] % n)), batch.column(0).take(own), batch.column(1).take(own), pa.array(size[key[heads] // n].astype(np.int32)), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order].astype(np.int32)))],
+            [coded.dictionary.take(pa.array(key[heads] // n)), batch.column(0).take(own), batch.column(1).take(own), pa.array(size[key[heads] % n].astype(np.int32)), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends), pa.array(place[order].astype(np.int32)))],
             ["term", "chunk_id", "doc_id", "len", "tf", "positions"],
         )
 
@@ -123,7 +123,7 @@ def bm25(index: LexicalIndex, queries: DataFrame, k: int = 30, docs: DataFrame |
     every = Window.partitionBy("qid")
     known = asks.join(terms, "term", "left").withColumn("n_terms", F.count(F.lit(1)).over(every)).withColumn("have", F.count("df").over(every))
     known = known.where("have = n_terms").withColumn("k", F.row_number().over(every.orderBy("df", "term")))
-    known = written(known.select("qid", "term", "times", "df", "n_terms", "k"), "weighed")
+    known = held(written(known.select("qid", "term", "times", "df", "n_terms", "k"), "weighed"))
     candidates = lists.join(known.where("k = 1").select("qid", "term"), "term").select("qid", "chunk_id", "doc_id")
     if docs is not None:
         candidates = candidates.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")

@@ -8,11 +8,14 @@ import shutil
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillon.errors import SharedFolderMissing
 
 #: A batch that Spark hands to Python ends at this many rows or bytes, whichever comes first: what a worker holds follows these, not the input.
 BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+#: Rows of ids and numbers that are sent to all executors rather than that a table of the corpus is shuffled to meet them.
+BROADCAST_ROWS = 1 << 18
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -43,5 +46,17 @@ def shared_folder(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder and read back."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def forget(df: DataFrame) -> None:
+    """Delete a table that :func:`written` gave, once nothing reads it any more."""
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def held(df: DataFrame) -> DataFrame:
+    """A table that :func:`written` gave, to be broadcast while it has BROADCAST_ROWS rows at most; beyond, Spark decides."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df

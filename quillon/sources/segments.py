@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quillon.errors import CommitConflict, GenerationUnavailable
 from quillon.functions.text import phrases
 from quillon.operators.lexical import B, FLOOR_IDF, K1, LexicalIndex, bm25, post
-from quillon.runtime import written
+from quillon.runtime import forget, written
 from quillon.sources.log import CommitLog, delete, names_in
 
 #: Postings of a block, of a bucket of files, and below which a segment is one bucket; addresses written into a plan as literals, at most.
@@ -245,14 +245,18 @@ class SegmentIndex:
         terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"), F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
         bits = F.when(F.col("df") > BLOCK, F.ceil(F.log2(F.col("df") / BLOCK))).otherwise(0).cast("int")
         terms = terms.withColumn("bits", bits).withColumn("bucket", _bucket(F.lit(buckets), "term"))
-        ordered = lambda df, *by: df.repartition(buckets, "bucket").sortWithinPartitions("bucket", *by).write.partitionBy("bucket").option("parquet.block.size", 8 << 20)
-        ordered(terms, "term").parquet(at("terms"))
+        packed = lambda df, *by: df.sortWithinPartitions("bucket", *by).write.partitionBy("bucket").option("parquet.block.size", 8 << 20).option("compression", "zstd")
+        packed(terms.repartition(buckets, "bucket"), "term").parquet(at("terms"))
         if not n:  # a table without rows has no file that names its columns
             terms.drop("bucket").write.parquet(f"{at('terms')}/bucket=0")
         # a row for every BLOCK postings at most; not broadcast, all postings would be shuffled and sorted by term once more
         common = F.broadcast(self.spark.read.parquet(at("terms")).where("bits > 0").select("term", "bits"))
-        placed = postings.join(common, "term", "left").withColumn("slice", _slice("chunk_id", F.col("bits"))).drop("bits").withColumn("bucket", _bucket(F.lit(buckets), "term", "slice"))
-        ordered(placed, "term", "slice", "chunk_id").parquet(at("postings"))
+        placed = postings.join(common, "term", "left").withColumn("slice", _slice("chunk_id", F.col("bits")))
+        bucket = _bucket(F.lit(buckets), "term", "slice")
+        # what follows from the rest of a row isn't shuffled with it
+        dealt = placed.select("term", "chunk_id", "doc_id", "len", "positions", "slice").repartition(buckets, bucket)
+        placed = dealt.select("term", "chunk_id", "doc_id", "len", F.size("positions").alias("tf"), "positions", "slice", bucket.alias("bucket"))
+        packed(placed, "term", "slice", "chunk_id").parquet(at("postings"))
         if not n:
             placed.drop("bucket").write.parquet(f"{at('postings')}/bucket=0")
         blocks = self.spark.read.parquet(at("postings")).join(common, "term").groupBy("term", "slice").agg(F.max("tf").alias("max_tf"), F.min("len").alias("min_len"))
@@ -307,7 +311,10 @@ class SegmentIndex:
             after = self._bury(lengths, snap)
             return after if segment is None else replace(after, segments=(*after.segments, segment))
 
-        return self._commit(change, base)
+        forget(postings)
+        number = self._commit(change, base)
+        forget(lengths)
+        return number
 
     def remove(self, docs: DataFrame, base: int | None = None) -> int:
         """Delete documents (doc_id); the files of others aren't touched."""
@@ -332,7 +339,10 @@ class SegmentIndex:
             old = due(snap)
             own = replace(snap, segments=old)
             postings = written(self.postings(own).drop("seg"), "merged-postings")
-            segment = self._write(postings, written(self.lengths(own), "merged-lengths"))
+            lengths = written(self.lengths(own), "merged-lengths")
+            segment = self._write(postings, lengths)
+            forget(postings)
+            forget(lengths)
             kept = tuple(s for s in snap.segments if s not in old)
             return self._without_empty(replace(snap, segments=kept if segment is None else (*kept, segment)))
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillon.config import DEFAULTS, Settings
 from quillon.operators import metrics
-from quillon.plans.retrieval import Corpus, rerank, run_variant
+from quillon.plans.retrieval import Corpus, fused_search, own_texts, run_variant, searched_as
 from quillon.plans.timing import PhaseTimer, observed
 from quillon.providers import overlap_score
 from quillon.runtime import written
@@ -36,14 +36,18 @@ def scores(hits: DataFrame, judged: DataFrame, every: DataFrame, key: str, chunk
 def run(
     names: list[str], corpus: Corpus, queries: DataFrame, judged: DataFrame, query_sparse: DataFrame | None = None, settings: Settings = DEFAULTS, texts: DataFrame | None = None, chunk_grades: DataFrame | None = None,
 ) -> DataFrame:
-    """(variant, qid, category, METRICS) for every variant and query; the hits of all variants are written once and scored together.
+    """(variant, qid, category, METRICS) for every variant and query; the hits of all variants are written once and scored together. Variants that differ in diversity or reranking alone share one search.
 
     ``queries``: qid, text, embedding, category (null: unknown). A query without hits scores 0.
     """
-    hits = None
+    hits, searched = None, {}
     wide = ("qid", "chunk_id", "doc_id", "dense_rank", "bm25_rank", "sparse_rank")
     for name in names:
-        own = run_variant(name, corpus, queries, query_sparse, settings, texts=texts).select("variant", *wide, F.col("final_pos").alias("pos"))
+        signals, hyde = as_ = searched_as(name, queries)
+        if as_ not in searched:
+            asked = queries.withColumn("embedding", F.coalesce("hyde_embedding", "embedding")) if hyde else queries
+            searched[as_] = written(fused_search(corpus, asked, query_sparse, settings, signals=signals), "fused")
+        own = run_variant(name, corpus, queries, query_sparse, settings, texts=texts, fused=searched[as_]).select("variant", *wide, F.col("final_pos").alias("pos"))
         hits = own if hits is None else hits.unionByName(own)
     spark = queries.sparkSession
     every = queries.select("qid").crossJoin(F.broadcast(spark.createDataFrame([(n,) for n in names], "variant string")))  # eight rows at most
@@ -157,8 +161,9 @@ def rerank_top(
 ) -> DataFrame:
     """The n best configurations again, with everything that each found put in a reranker's order."""
     best = grid.join(F.broadcast(calibrated.where(F.col("place") <= n).select("config_id")), "config_id")
-    hits = fuse(ranked, best, top_k).join(queries.select("qid", F.col("text").alias("question")), "qid").join(texts.select("chunk_id", "text"), "chunk_id")
-    scored = hits.withColumn("rerank_score", scorer(F.col("question"), F.col("text"))).drop("question", "text")
+    hits = written(fuse(ranked, best, top_k), "to-rerank")
+    asked = hits.join(queries.select("qid", F.col("text").alias("question")), "qid").join(own_texts(hits, texts), "chunk_id")
+    scored = asked.withColumn("rerank_score", scorer(F.col("question"), F.col("text"))).drop("question", "text")
     order = Window.partitionBy("config_id", "qid").orderBy(F.col("rerank_score").desc_nulls_last(), "pos")
     again = scored.withColumn("pos", F.row_number().over(order))
     every = queries.select("qid").crossJoin(F.broadcast(best.select("config_id")))

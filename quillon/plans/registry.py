@@ -23,7 +23,7 @@ from quillon.functions import text as T
 from quillon.operators import context, lifecycle, markdown, metadata, metrics, verification
 from quillon.operators.dense import dense_topk, sparse_coverage, sparse_rank
 from quillon.operators.fusion import candidate_pool, document_cap, document_mmr, weighted_rrf
-from quillon.plans.retrieval import Corpus, expand_queries, explain, hybrid_search, index_corpus, merge_variants, read_corpus, rerank, run_variant
+from quillon.plans.retrieval import Corpus, expand_queries, explain, hybrid_search, index_corpus, merge_variants, own_texts, read_corpus, rerank, run_variant
 from quillon.providers import overlap_score
 from quillon.runtime import shared_folder, written
 from quillon.sources.log import delete, stamp
@@ -240,7 +240,8 @@ def coverage_gate(spark: SparkSession, d: str) -> DataFrame:
     " SELECT qid, chunk_id, round(s, 6) AS rerank_score, p AS rerank_pos FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, final_pos) AS p FROM s) WHERE p <= 8"
 )
 def rerank_stage(spark: SparkSession, d: str) -> DataFrame:
-    hits = _hybrid(spark, d, "mmr").join(_queries(spark, d).select("qid", F.col("text").alias("question")), "qid").join(_chunks(spark, d).select("chunk_id", "text"), "chunk_id")
+    found = _hits(spark, d)
+    hits = found.join(_queries(spark, d).select("qid", F.col("text").alias("question")), "qid").join(own_texts(found, _chunks(spark, d)), "chunk_id")
     out = rerank(hits, overlap_score(F.col("question"), F.col("text")), top_k=DEFAULTS.rerank_top_k)
     return out.select("qid", "chunk_id", F.round("rerank_score", 6).alias("rerank_score"), "rerank_pos")
 

@@ -14,6 +14,7 @@ from quillon.operators.dense import dense_topk, sparse_coverage, sparse_rank
 from quillon.operators.fusion import candidate_pool, document_cap, document_mmr, weighted_rrf
 from quillon.operators.lexical import LexicalIndex
 from quillon.providers import overlap_score
+from quillon.runtime import held, written
 from quillon.sources.log import names_in
 from quillon.sources.segments import IndexView, SegmentIndex
 
@@ -76,6 +77,13 @@ def hybrid_search(
     candidate_multiplier x top_k candidates; the sparse stage is left out if fewer than ``sparse_coverage`` of the
     chunks have weights. Ids alone go through the windows; text is joined to what is left by the caller.
     """
+    return diversify(fused_search(corpus, queries, query_sparse, settings, docs, signals), diversity_mode(diversity, settings), settings)
+
+
+def fused_search(
+    corpus: Corpus, queries: DataFrame, query_sparse: DataFrame | None = None, settings: Settings = DEFAULTS, docs: DataFrame | None = None, signals: tuple[str, ...] = ("dense", "bm25", "sparse")
+) -> DataFrame:
+    """:func:`hybrid_search` up to the fused list, on which presets differ in diversity and reranking alone."""
     k = settings.candidate_multiplier * settings.top_k
     nothing = queries.where("false")
     dense = dense_topk(corpus.vectors, queries if "dense" in signals else nothing, k, docs)
@@ -84,27 +92,39 @@ def hybrid_search(
     if "sparse" in signals and corpus.sparse is not None and query_sparse is not None:
         if corpus.sparse_share() >= settings.sparse_coverage:
             pool = sparse_rank(pool, query_sparse, corpus.sparse)
-    fused = weighted_rrf(pool, settings.rrf_k, settings.dense_weight, settings.bm25_weight, settings.sparse_weight, settings.top_k)
-    return diversify(fused, diversity_mode(diversity, settings), settings)
+    return weighted_rrf(pool, settings.rrf_k, settings.dense_weight, settings.bm25_weight, settings.sparse_weight, settings.top_k)
+
+
+def own_texts(hits: DataFrame, texts: DataFrame) -> DataFrame:
+    """(chunk_id, text) of the chunks that ``hits`` (a written table) name: texts are cut where they are read, before they are shuffled to the hits."""
+    return texts.select("chunk_id", "text").join(held(hits).select("chunk_id").distinct(), "chunk_id", "left_semi")
+
+
+def searched_as(name: str, queries: DataFrame) -> tuple[tuple[str, ...], bool]:
+    """What a preset's fused list depends on: its signals, and whether it asks with the hypothetical answer's vector."""
+    return VARIANTS[name][0], name == "full_hyde" and "hyde_embedding" in queries.columns
 
 
 def run_variant(
     name: str, corpus: Corpus, queries: DataFrame, query_sparse: DataFrame | None = None, settings: Settings = DEFAULTS, docs: DataFrame | None = None, texts: DataFrame | None = None,
-    scorer: Callable[[Column, Column], Column] = overlap_score,
+    scorer: Callable[[Column, Column], Column] = overlap_score, fused: DataFrame | None = None,
 ) -> DataFrame:
     """One preset; ``full`` and ``full_hyde`` then put all that they found in the order of a reranker.
 
     ``scorer`` gives a score from the query's and the chunk's text (``texts``: chunk_id, text); without texts there is
     no reranker, and the order stays. ``full_hyde`` takes the hypothetical answer's vector from a column hyde_embedding
-    where there is one.
+    where there is one. ``fused``: the list that :func:`fused_search` gave already for a preset with the same :func:`searched_as`.
     """
-    signals, mode = VARIANTS[name]
-    if name == "full_hyde" and "hyde_embedding" in queries.columns:
-        queries = queries.withColumn("embedding", F.coalesce("hyde_embedding", "embedding"))
-    hits = hybrid_search(corpus, queries, query_sparse, settings, docs, mode, signals)
+    signals, hyde = searched_as(name, queries)
+    if fused is None:
+        if hyde:
+            queries = queries.withColumn("embedding", F.coalesce("hyde_embedding", "embedding"))
+        fused = fused_search(corpus, queries, query_sparse, settings, docs, signals)
+    hits = diversify(fused, VARIANTS[name][1], settings)
     if name in RERANKED and texts is not None:
+        hits = written(hits, "to-rerank")
         asked = queries.select("qid", F.col("text").alias("question"))
-        ranked = rerank(hits.join(asked, "qid").join(texts.select("chunk_id", "text"), "chunk_id"), scorer(F.col("question"), F.col("text")), pool=settings.top_k)
+        ranked = rerank(hits.join(asked, "qid").join(own_texts(hits, texts), "chunk_id"), scorer(F.col("question"), F.col("text")), pool=settings.top_k)
         hits = ranked.drop("question", "text").withColumn("final_pos", F.col("rerank_pos"))
     return hits.withColumn("variant", F.lit(name))
 

@@ -1,12 +1,16 @@
 """What a search and an index leave out of shuffles and off the disk."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillon.operators import dense
+from quillon.plans import registry_more, retrieval
 from quillon.runtime import shared_folder, written
 from quillon.sources.log import names_in
 from quillon.sources.segments import SegmentIndex
 
+SF = "/root/testdata/sf0.001"
+
 
 @pytest.fixture
 def no_broadcast(spark):
@@ -35,6 +39,22 @@ def test_sparse_weights_are_not_shuffled(spark, no_broadcast, monkeypatch):
     assert [r[2] for r in rows(got) if r[:2] == (1, 3)] == [2.0 * 1 + 1.0 * 4] and rows(got)[-1] == (3, 99, 0.0, 1)
 
 
+def test_variants_share_a_search(spark, monkeypatch):
+    """Presets that differ in diversity or reranking alone search once."""
+    asked = []
+    real = retrieval.dense_topk
+    monkeypatch.setattr(retrieval, "dense_topk", lambda *a, **b: asked.append(1) or real(*a, **b))
+    per = registry_more._run(spark, SF)
+    assert len(asked) == 1 and per.count() == 3 * 40
+
+
+def test_texts_are_cut_before_they_are_shuffled(spark, no_broadcast):
+    texts = written(spark.range(50).select(F.col("id").alias("chunk_id"), F.concat(F.lit("words "), "id").alias("text")), "texts")
+    hits = written(spark.createDataFrame([(1, 7), (1, 9), (2, 7)], "qid int, chunk_id long"), "found")
+    cut = retrieval.own_texts(hits, texts)
+    assert "BroadcastHashJoin" in plan(cut) and sorted(map(tuple, cut.collect())) == [(7, "words 7"), (9, "words 9")]
+
+
 def test_an_index_leaves_no_second_copy(spark, tmp_path):
     """What a segment is written from goes when it is written."""
     left = lambda: {n for n in names_in(spark, shared_folder(spark)) if n.startswith(("new-", "merged-"))}

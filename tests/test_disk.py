@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from quillon.operators import dense
 from quillon.plans import registry_more, retrieval
 from quillon.runtime import shared_folder, written
+from quillon.sources import segments
 from quillon.sources.log import names_in
 from quillon.sources.segments import SegmentIndex
 
@@ -66,3 +67,12 @@ def test_an_index_leaves_no_second_copy(spark, tmp_path):
     assert left() == before
     rows = index.postings().where("term = 'word'").select("chunk_id", "len", "tf", "positions").collect()
     assert sorted((r.chunk_id, r.len, r.tf, r.positions) for r in rows) == [(f"c{i}", 3, 2, [0, 2]) for i in range(3)]
+
+
+def test_a_report_searches_once(spark, monkeypatch):
+    """The postings of all phrases are met once for the whole report."""
+    asked = []
+    real = segments.SegmentIndex.search
+    monkeypatch.setattr(segments.SegmentIndex, "search", lambda *a, **b: asked.append(1) or real(*a, **b))
+    assert registry_more.benchmark_report(spark, SF).where("kind = 'overall'").first().n_queries == 40
+    assert len(asked) == 1
